@@ -7,7 +7,6 @@ import tomllib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from ondula.plans.settings import FIELDS, MASKS_TYPE, PREPROCESSING, PROCESSING
 
@@ -56,7 +55,7 @@ class Template:
         rows = [
             tuple(o.get(c) for c in ("dest", "variable", *FIELDS)) for o in self.overrides
         ]
-        return spark.createDataFrame(rows, T._parse_datatype_string(schema))
+        return spark.createDataFrame(rows, schema)
 
 
 def clean_name(name) -> str:
@@ -142,7 +141,7 @@ def parse_template(text: str) -> Template:
 
     files = []
     for entry in root.get("file", []):
-        tags = {k: json.dumps(v) for k, v in entry.items() if k not in ("source", "dest")}
+        tags = {k: json.dumps(v, default=str) for k, v in entry.items() if k not in ("source", "dest")}
         files.append({"source": entry["source"], "dest": clean_name(entry["dest"]), "tags": tags})
     if not files:
         raise TemplateError("V01", "no files listed")
