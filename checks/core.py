@@ -321,8 +321,9 @@ CURVES = {
 
 def grid_query(view, n, algorithm, derivative, max_rows=MAX_ROWS):
     def chain(s):
-        grid = resample(s, KEYS, n, algorithm, derivative, max_rows=max_rows)
-        return grid.select("series", "i", "x", "y", *[c for c in grid.columns if c == "_seg"])
+        return resample(s, KEYS, n, algorithm, derivative, max_rows=max_rows).select(
+            "series", "i", "x", "y"
+        )
 
     return over(view, chain, "x", "y", max_rows=max_rows)
 

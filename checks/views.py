@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 KEYS = ["series"]
 
@@ -12,7 +11,7 @@ _MICROS = (
     "unix_date(to_date(ts)) * 86400000000L + hour(ts) * 3600000000L"
     " + minute(ts) * 60000000L + cast(date_part('SECOND', ts) * 1000000 AS bigint)"
 )
-HOURS = F"({_MICROS}) / 1e6 / 3600 - 473352"
+HOURS = f"({_MICROS}) / 1e6 / 3600 - 473352"
 HOURS_SQL = "epoch_us(ts) / 1e6 / 3600 - 473352"
 
 
@@ -22,23 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E: one series per user, x in hours."""
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("series"), F.expr(HOURS).alias("x"), F.col("value").alias("y")
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS series", f"{HOURS} AS x", "value AS y"
     )
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EH: as E, with x cut to whole hours, which repeats some of them."""
-    return events(spark, sf_dir).withColumn("x", F.floor("x") + F.lit(1.0))
+    return events(spark, sf_dir).selectExpr("series", "floor(x) + 1.0D AS x", "y")
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L: one series per return flag and line status, x in days."""
-    days = F.date_diff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date"))
-    return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("|", "l_returnflag", "l_linestatus").alias("series"),
-        days.cast("double").alias("x"),
-        F.col("l_extendedprice").alias("y"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat_ws('|', l_returnflag, l_linestatus) AS series",
+        "CAST(date_diff(to_date(l_shipdate), DATE '1990-01-01') AS double) AS x",
+        "l_extendedprice AS y",
     )
 
 
@@ -55,15 +53,12 @@ def unique(view: str) -> str:
     return f"SELECT series, x, avg(y) AS y FROM ({view}) GROUP BY series, x"
 
 
-def six(c: Column | str) -> Column:
-    """Round to six places, the same way in both engines."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * 1e6 + 0.5) / 1e6
-
-
 def six_sql(expr: str) -> str:
     return f"floor(({expr}) * 1e6 + 0.5) / 1e6"
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: six(c) for c in columns})
+    """Round to six places, the same way in both engines."""
+    return df.selectExpr(
+        *[f"floor({c} * 1e6D + 0.5D) / 1e6D AS {c}" if c in columns else c for c in df.columns]
+    )

@@ -8,66 +8,52 @@ Everything is native; the cost per sample grows with K squared.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ondula.operators.segments import moving_window
-from ondula.session import param
+from ondula.session import sql_value
 
 # Consistency factor, and the small-sample factors c_2 .. c_9.
 SN_FACTOR = 1.1926
 SN_SMALL = {2: 0.743, 3: 1.851, 4: 0.954, 5: 1.351, 6: 0.993, 7: 1.198, 8: 1.005, 9: 1.131}
 
+# Median of the sorted array w of n values.
+MEDIAN = "(get(w, CAST((n - 1) DIV 2 AS int)) + get(w, CAST(n DIV 2 AS int))) / 2"
 
-def median_of(ordered: Column) -> Column:
-    """Median of a sorted array."""
-    n = F.size(ordered)
-    lower = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    upper = F.get(ordered, F.floor(n / 2).cast("int"))
-    return F.when(n % 2 == 1, upper).otherwise((lower + upper) / 2)
+# The h-th smallest distance from one value lies at the far end of a run of h
+# neighbours that contains it, so the high median is a minimum over runs.
+HIGH_MEDIANS = """
+    transform(w, (v, i) -> array_min(transform(
+        sequence(greatest(0, i - h + 1), least(i, n - h)),
+        a -> greatest(v - get(w, a), get(w, a + h - 1) - v))))"""
 
 
-def sn_of(ordered: Column, width: int) -> Column:
-    """Sn of a sorted array of at most ``width`` values.
+def _correction() -> str:
+    small = " ".join(f"WHEN n = {size} THEN {factor}D" for size, factor in SN_SMALL.items())
+    return f"CASE {small} WHEN n > 9 AND n % 2 = 1 THEN n / (n - 0.9D) ELSE 1.0D END"
 
-    The h-th smallest distance from one value lies at the far end of a run of
-    h neighbours that contains it, so the high median is a minimum over runs.
-    """
-    n = F.size(ordered)
-    h = F.floor(n / 2).cast("int") + 1
 
-    def high_median(value: Column, i: Column) -> Column:
-        starts = F.sequence(F.greatest(F.lit(0), i - h + 1), F.least(i, n - h))
-        spread = F.transform(
-            starts,
-            lambda a: F.greatest(value - F.get(ordered, a), F.get(ordered, a + h - 1) - value),
-        )
-        return F.array_min(spread)
-
-    medians = F.sort_array(F.transform(ordered, high_median))
-    low_median = F.get(medians, F.floor((n - 1) / 2).cast("int"))
-    correction = F.lit(1.0)
-    for size, factor in SN_SMALL.items():
-        if size <= width:
-            correction = F.when(n == size, F.lit(factor)).otherwise(correction)
-    correction = F.when((n > 9) & (n % 2 == 1), n / (n - F.lit(0.9))).otherwise(correction)
-    return F.lit(SN_FACTOR) * correction * low_median
+SN = (
+    f"{SN_FACTOR}D * ({_correction()})"
+    f" * get(sort_array({HIGH_MEDIANS}), CAST((n - 1) DIV 2 AS int))"
+)
 
 
 def _windowed(samples: DataFrame, keys: list[str], width: int) -> DataFrame:
-    collected = moving_window(samples, keys, "y", width // 2, "_window")
-    return collected.withColumn("_window", F.sort_array("_window"))
+    """Adds the sorted window w, its size n and the rank h of a high median."""
+    return (
+        moving_window(samples, keys, "y", width // 2, "_window")
+        .selectExpr("*", "sort_array(_window) AS w", "size(_window) AS n")
+        .selectExpr("*", "CAST(n DIV 2 + 1 AS int) AS h")
+    )
 
 
 def median_filter(samples: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Replace y by the median of its window."""
     if width < 1:
         raise ValueError("the window width must be positive")
-    return (
-        _windowed(samples, keys, width)
-        .withColumn("y", median_of(F.col("_window")))
-        .select(*samples.columns)
-    )
+    filtered = [f"{MEDIAN} AS y" if c == "y" else f"`{c}`" for c in samples.columns]
+    return _windowed(samples, keys, width).selectExpr(*filtered)
 
 
 def impulse_filter(samples: DataFrame, keys: list[str], width: int, tuning=1.0) -> DataFrame:
@@ -76,12 +62,8 @@ def impulse_filter(samples: DataFrame, keys: list[str], width: int, tuning=1.0)
         raise ValueError("the window width must not be negative")
     if width == 0:
         return samples
-    span = 2 * (width // 2) + 1
-    window = F.col("_window")
-    scored = _windowed(samples, keys, width).withColumns(
-        {"_median": median_of(window), "_scale": sn_of(window, span)}
-    )
-    outlier = F.abs(F.col("y") - F.col("_median")) > param(tuning) * F.col("_scale")
-    return scored.withColumn("y", F.when(outlier, F.col("_median")).otherwise(F.col("y"))).select(
-        *samples.columns
-    )
+    scored = _windowed(samples, keys, width).selectExpr("*", f"{MEDIAN} AS _m")
+    # Sn is computed only where it can matter
+    outlier = f"y != _m AND abs(y - _m) > {sql_value(tuning)} * {SN}"
+    filtered = [f"IF({outlier}, _m, y) AS y" if c == "y" else f"`{c}`" for c in samples.columns]
+    return scored.selectExpr(*filtered)

@@ -174,7 +174,7 @@ def trim_violations(masked: DataFrame, settings: DataFrame, keys: list[str]) ->
     left, right = F.col("_left"), F.col("_right")
     asked_left = F.coalesce(F.col("trim_left"), left)
     asked_right = F.coalesce(F.col("trim_right"), right)
-    lo, hi = trim_bounds(left, right, F.col("trim_left"), F.col("trim_right"))
+    lo, hi = (F.expr(b) for b in trim_bounds("_left", "_right", "trim_left", "trim_right"))
     straddles = (left < 0) & (right > 0) & (lo < 0) & (hi > 0)
     return check(
         series,
@@ -219,7 +219,7 @@ def spectrum_violations(
     An inverted band gives no bins either, so it counts as empty. A transform
     shorter than its data is always an error.
     """
-    start, stop = band(F.col("dt"), n_fft, lower, upper)
+    start, stop = (F.expr(b) for b in band(n_fft, lower, upper))
     bins = n_fft // 2 + 1
     top = F.lit(float("inf") if upper is None else float(upper))
     n = F.col("n_data")

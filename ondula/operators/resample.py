@@ -8,11 +8,10 @@ follow Steffen (1990); the end slopes are those of the end intervals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ondula.operators.segments import MAX_ROWS, SEG, explode_range, neighbours, with_stats
-from ondula.session import param
+from ondula.session import sql_value
 
 LINEAR = "linear"
 STEFFEN = "steffen"
@@ -22,79 +21,42 @@ SMALL_GRID = 65_536
 BLOCK = 4096
 
 
-def _grid_x(i: Column) -> Column:
-    return i * F.col("_step") + F.col("_left")
+def _grid_x(i: str) -> str:
+    return f"({i} * _step + _left)"
 
 
-def _first_index_at(bound: Column) -> Column:
-    """Smallest grid index whose x is at or beyond ``bound``: the quotient may
-    be off by one, so its neighbours are tested on the grid values themselves."""
-    guess = F.ceil((bound - F.col("_left")) / F.col("_step")).cast("bigint")
-    return (
-        F.when(guess <= 0, F.lit(0))
-        .when(_grid_x(guess - 1) >= bound, guess - 1)
-        .when(_grid_x(guess) >= bound, guess)
-        .otherwise(guess + 1)
-    )
+def _first_index_at(bound: str, guess: str) -> str:
+    """Smallest grid index whose x is at or beyond ``bound``: the guessed
+    quotient may be off by one, so its neighbours are tested on the grid."""
+    return f"""CASE WHEN {guess} <= 0 THEN 0
+        WHEN {_grid_x(f'({guess} - 1)')} >= {bound} THEN {guess} - 1
+        WHEN {_grid_x(guess)} >= {bound} THEN {guess} ELSE {guess} + 1 END"""
 
 
-def _tangent(x0, y0, x1, y1, x2, y2) -> Column:
-    """Steffen slope at the middle of three samples, of which the first or the
-    last may be missing."""
-    h0, h1 = x1 - x0, x2 - x1
-    s0, s1 = (y1 - y0) / h0, (y2 - y1) / h1
-    parabola = (s0 * h1 + s1 * h0) / (h0 + h1)
-    interior = (F.signum(s0) + F.signum(s1)) * F.least(
-        F.abs(s0), F.abs(s1), F.lit(0.5) * F.abs(parabola)
-    )
-    return F.when(x0.isNull(), s1).when(x2.isNull(), s0).otherwise(interior)
-
-
-def _knots(samples: DataFrame, keys: list[str], slopes: bool) -> DataFrame:
-    """Each sample with its successor and, for the cubic, both end slopes."""
-    around = neighbours(samples, keys, ["x", "y"], ahead=2 if slopes else 1)
-    out = around.withColumns({"_x1": F.col("next_x"), "_y1": F.col("next_y")})
-    if not slopes:
-        return out
-    points = [
-        (F.col(f"{p}x"), F.col(f"{p}y")) for p in ("prev_", "", "next_", "next2_")
-    ]
-    return out.withColumns(
-        {
-            "_d": _tangent(*points[0], *points[1], *points[2]),
-            "_d1": _tangent(*points[1], *points[2], *points[3]),
-        }
-    )
+def _tangent(first: str, middle: str, last: str) -> str:
+    """Steffen slope at the middle of three samples, named by column prefix.
+    The first or the last may be missing."""
+    h0, h1 = f"({middle}x - {first}x)", f"({last}x - {middle}x)"
+    s0, s1 = f"(({middle}y - {first}y) / {h0})", f"(({last}y - {middle}y) / {h1})"
+    interior = f"""(sign({s0}) + sign({s1})) * least(abs({s0}), abs({s1}),
+        0.5D * abs(({s0} * {h1} + {s1} * {h0}) / ({h0} + {h1})))"""
+    return f"""CASE WHEN {first}x IS NULL THEN {s1} WHEN {last}x IS NULL THEN {s0}
+        ELSE {interior} END"""
 
 
-def _value(algorithm: Column, derivative: Column, cubic: bool) -> Column:
-    u = F.col("_u")
-    h = F.col("_x1") - F.col("_x0")
-    s = (F.col("_y1") - F.col("_y0")) / h
-    # same operation order as y0 + (x - x0) / h * (y1 - y0)
-    line = (
-        F.when(derivative == 0, F.col("_y0") + u / h * (F.col("_y1") - F.col("_y0")))
-        .when(derivative == 1, s)
-        .otherwise(F.lit(0.0))
-    )
-    if not cubic:
-        return line
-    d, d1 = F.col("_d"), F.col("_d1")
-    a = (d + d1 - 2 * s) / (h * h)
-    b = (3 * s - 2 * d - d1) / h
-    curve = (
-        F.when(derivative == 0, F.col("_y0") + u * (d + u * (b + u * a)))
-        .when(derivative == 1, d + u * (2 * b + 3 * u * a))
-        .otherwise(2 * b + 6 * u * a)
-    )
-    return F.when(algorithm == STEFFEN, curve).otherwise(line)
+# Values and derivatives at offset _u into an interval of length _h. The
+# coefficients are those of y + u * (d + u * (b + u * a)).
+LINE = """CASE _derivative WHEN 0 THEN y + _u / _h * (next_y - y)
+    WHEN 1 THEN (next_y - y) / _h ELSE 0.0D END"""
+CURVE = """CASE _derivative WHEN 0 THEN y + _u * (_d + _u * (_b + _u * _a))
+    WHEN 1 THEN _d + _u * (2 * _b + 3 * _u * _a) ELSE 2 * _b + 6 * _u * _a END"""
 
 
 def resample(
     samples: DataFrame,
     keys: list[str],
     n,
-    algorithm=LINEAR,
+    algorithm: str = LINEAR,
     derivative=0,
     n_bound: int | None = None,
     max_rows: int = MAX_ROWS,
@@ -103,55 +65,59 @@ def resample(
     grid point and the grid's ends, which the spectral operators would
     otherwise have to find again.
 
-    ``n``, ``algorithm`` and ``derivative`` may be per-series Columns. Where a
-    series can become longer than ``max_rows`` (unless ``n``, or the given
-    ``n_bound``, rules it out) rows carry a segment computed from the index.
+    ``n`` and ``derivative`` are values or per-series SQL expressions, and
+    ``algorithm`` one of the two names or such an expression. Where a series
+    can become longer than ``max_rows`` (unless ``n``, or the given ``n_bound``,
+    rules it out) rows carry a segment computed from the index.
     """
-    slopes = not (isinstance(algorithm, str) and algorithm == LINEAR)
-    if not isinstance(n, Column):
+    fixed = algorithm in (LINEAR, STEFFEN)
+    cubic = algorithm != LINEAR
+    if isinstance(n, int):
         n_bound = n
-    settings = {
-        "_n": param(n, "bigint"),
-        "_algorithm": param(algorithm, "string"),
-        "_derivative": param(derivative, "int"),
-    }
-    prepared = samples.withColumns(settings)
-    knots = _knots(prepared, keys, slopes).transform(
-        lambda df: with_stats(df, keys, _left=("min", "x"), _right=("max", "x"))
-    )
-    step = (F.col("_right") - F.col("_left")) / F.col("_n")
-    owned = knots.where(F.col("_x1").isNotNull()).select(
+    around = neighbours(samples, keys, ["x", "y"], ahead=2 if cubic else 1)
+    ends = with_stats(around, keys, _left=("min", "x"), _right=("max", "x"))
+    algorithm_sql = f"'{algorithm}'" if fixed else algorithm
+    knots = ends.where("next_x IS NOT NULL").selectExpr(
         *keys,
-        F.col("x").alias("_x0"),
-        F.col("y").alias("_y0"),
-        "_x1",
-        "_y1",
-        *(["_d", "_d1"] if slopes else []),
+        "x AS _x0",
+        "next_x AS _x1",
+        "y",
+        "next_y",
+        "next_x - x AS _h",
+        *([
+            f"{_tangent('prev_', '', 'next_')} AS _d",
+            f"{_tangent('', 'next_', 'next2_')} AS _d1",
+        ] if cubic else []),
         "_left",
-        "_n",
-        "_algorithm",
-        "_derivative",
-        step.alias("_step"),
+        f"{sql_value(n, 'bigint')} AS _n",
+        f"(_right - _left) / {sql_value(n, 'bigint')} AS _step",
+        f"{sql_value(derivative, 'int')} AS _derivative",
+        f"{algorithm_sql} AS _algorithm",
+    )
+    located = knots.selectExpr(
+        "*",
+        "CAST(ceil((_x0 - _left) / _step) AS bigint) AS _g0",
+        "CAST(ceil((_x1 - _left) / _step) AS bigint) AS _g1",
+        *(["(_d + _d1 - 2 * ((next_y - y) / _h)) / (_h * _h) AS _a",
+           "(3 * ((next_y - y) / _h) - 2 * _d - _d1) / _h AS _b"] if cubic else []),
     )
     single_explode = n_bound is not None and n_bound <= SMALL_GRID
     grid = explode_range(
-        owned,
+        located,
         "i",
-        _first_index_at(F.col("_x0")),
-        F.least(_first_index_at(F.col("_x1")), F.col("_n")),
+        _first_index_at("_x0", "_g0"),
+        f"least({_first_index_at('_x1', '_g1')}, _n)",
         block=0 if single_explode else BLOCK,
-    ).withColumn("x", _grid_x(F.col("i")))
-    evaluated = grid.withColumn("_u", F.col("x") - F.col("_x0")).withColumns(
-        {
-            "y": _value(F.col("_algorithm"), F.col("_derivative"), slopes),
-            "x_next": _grid_x(F.col("i") + 1),
-            "x_left": F.col("_left"),
-            "x_right": _grid_x(F.col("_n") - 1),
-        }
+    ).selectExpr("*", f"{_grid_x('i')} - _x0 AS _u")
+    value = f"IF(_algorithm = '{STEFFEN}', {CURVE}, {LINE})" if cubic else LINE
+    part = f"CAST(i DIV {max_rows} AS int) AS {SEG}"
+    return grid.selectExpr(
+        *keys,
+        "i",
+        f"{_grid_x('i')} AS x",
+        f"{value} AS y",
+        f"{_grid_x('(i + 1)')} AS x_next",
+        "_left AS x_left",
+        f"{_grid_x('(_n - 1)')} AS x_right",
+        *([part] if n_bound is None or n_bound > max_rows else []),
     )
-    columns = [*keys, "i", "x", "y", "x_next", "x_left", "x_right"]
-    if n_bound is None or n_bound > max_rows:
-        part = F.floor(F.col("i") / F.lit(max_rows)).cast("int")
-        evaluated = evaluated.withColumn(SEG, part)
-        columns.append(SEG)
-    return evaluated.select(*columns)

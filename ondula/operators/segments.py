@@ -12,72 +12,103 @@ segmented frame they compute a small table with one row per segment (what lies
 just outside it, or the totals of its series), materialise only that table, and
 join it on (keys, segment): no join key is hot, the big side keeps its
 partitioning, and chained operators don't multiply the plan.
+
+Expressions are SQL text: one call builds a whole expression.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ondula.session import cut
+from ondula.session import cut, parallelism
 
 SEG = "_seg"
 MAX_ROWS = 4_000_000
 
+Chain = Callable[[DataFrame], DataFrame]
+
+
+def quoted(names: list[str]) -> str:
+    return ", ".join(f"`{n}`" for n in names)
+
+
+def segmented(df: DataFrame) -> bool:
+    return SEG in df.columns
+
+
+def group_columns(df: DataFrame, keys: list[str]) -> list[str]:
+    """Columns that bound a window: the keys, and the segment if there is one."""
+    return [*keys, SEG] if segmented(df) else list(keys)
+
+
+def window_sql(keys: list[str], order: str | None = None, frame: str = "") -> str:
+    ordering = f"ORDER BY `{order}`" if order else ""
+    return f"OVER (PARTITION BY {quoted(keys)} {ordering} {frame})"
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Partition by series into a fixed number of tasks.
+
+    Resampling and sweeps multiply rows behind this shuffle, so its size must
+    not decide how many tasks there are; a number given here is kept by AQE.
+    """
+    return df.repartition(parallelism(df.sparkSession), *group_columns(df, keys))
+
 
 def lay_out(
     df: DataFrame,
     keys: list[str],
     order: str = "x",
     max_rows: int = MAX_ROWS,
-    measured_on: DataFrame | None = None,
+    prepare: Chain | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Split into the series that fit a task and, if there are any, the others.
 
-    ``measured_on`` may name a cheaper DataFrame whose series are at least as
-    long (say, before deduplication); only its key columns are read. Segments
-    are materialised by a reliable checkpoint, because a range partitioning is
-    sampled and must not differ between two evaluations.
+    Only the key columns are read to measure, and not even those when the whole
+    table is small. ``prepare`` is a step that only shortens series; it is run
+    on the long ones before they are segmented, and is left to do on the short
+    ones. Segments are materialised by a reliable checkpoint, because a range
+    partitioning is sampled and must not differ between two evaluations.
     """
-    source = df if measured_on is None else measured_on
-    sizes = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    long_series = sizes.where(F.col("_rows") > max_rows)
-    found = long_series.agg(F.sum("_rows").alias("rows")).first()["rows"]
+    if df.count() <= max_rows:
+        return df, None
+    sizes = df.groupBy(*keys).agg(F.expr("count(1) AS _rows"))
+    long_series = sizes.where(f"_rows > {max_rows}")
+    found = long_series.agg(F.expr("sum(_rows) AS rows")).first()["rows"]
     if not found:
         return df, None
     long_keys = cut(long_series.select(*keys))
+    long_rows = df.join(long_keys, keys, "left_semi")
+    if prepare is not None:
+        long_rows = prepare(long_rows)
     parts = -(-found // max_rows) + 1
-    long_rows = cut(
-        df.join(long_keys, keys, "left_semi")
-        .repartitionByRange(parts, *keys, order)
-        .withColumn(SEG, F.spark_partition_id())
-    )
-    return df.join(long_keys, keys, "left_anti"), long_rows
+    ranged = long_rows.repartitionByRange(parts, *keys, order)
+    segments = cut(ranged.withColumn(SEG, F.spark_partition_id()))
+    return df.join(long_keys, keys, "left_anti"), segments
 
 
 def by_length(
     df: DataFrame,
     keys: list[str],
-    chain: Callable[[DataFrame], DataFrame],
+    chain: Chain,
     order: str = "x",
     max_rows: int = MAX_ROWS,
-    measured_on: DataFrame | None = None,
+    prepare: Chain | None = None,
 ) -> DataFrame:
-    """Run a chain of operators over short and over segmented series."""
-    short, long = lay_out(df, keys, order, max_rows, measured_on)
-    out = chain(short)
-    return out if long is None else out.drop(SEG).unionByName(chain(long).drop(SEG))
+    """Run a chain of operators over short and over segmented series.
 
-
-def segmented(df: DataFrame) -> bool:
-    return SEG in df.columns
-
-
-def group_columns(df: DataFrame, keys: list[str]) -> list[str]:
-    """Columns that bound a window: the keys, and the segment if there is one."""
-    return [*keys, SEG] if segmented(df) else list(keys)
+    Short series are shuffled once, by key; ``prepare`` and the chain follow
+    without a further shuffle by series.
+    """
+    short, long = lay_out(df, keys, order, max_rows, prepare)
+    short = spread(short, keys)
+    out = chain(short if prepare is None else prepare(short))
+    if long is None:
+        return out
+    return out.drop(SEG).unionByName(chain(spread(long, keys)).drop(SEG))
 
 
 def _surroundings(
@@ -89,37 +120,40 @@ def _surroundings(
     to either side always hold enough.
     """
     group = [*keys, SEG]
-    row = F.struct(order, *[c for c in columns if c != order])
+    row = f"struct({quoted([order, *[c for c in columns if c != order]])})"
     if depth == 1:
         ends = df.groupBy(*group).agg(
-            F.array(F.min(row)).alias("_head"), F.array(F.max(row)).alias("_tail")
+            F.expr(f"array(min({row})) AS _head"), F.expr(f"array(max({row})) AS _tail")
         )
     else:
-        window = Window.partitionBy(*group)
+        inside = f"PARTITION BY {quoted(group)} ORDER BY `{order}`"
         ends = (
-            df.withColumns(
-                {
-                    "_up": F.row_number().over(window.orderBy(F.col(order).asc())),
-                    "_down": F.row_number().over(window.orderBy(F.col(order).desc())),
-                }
+            df.selectExpr(
+                "*",
+                f"row_number() OVER ({inside} ASC) AS _up",
+                f"row_number() OVER ({inside} DESC) AS _down",
             )
-            .where((F.col("_up") <= depth) | (F.col("_down") <= depth))
+            .where(f"_up <= {depth} OR _down <= {depth}")
             .groupBy(*group)
             .agg(
-                F.sort_array(F.collect_list(F.when(F.col("_up") <= depth, row))).alias("_head"),
-                F.sort_array(F.collect_list(F.when(F.col("_down") <= depth, row))).alias("_tail"),
+                F.expr(f"sort_array(collect_list(IF(_up <= {depth}, {row}, NULL))) AS _head"),
+                F.expr(f"sort_array(collect_list(IF(_down <= {depth}, {row}, NULL))) AS _tail"),
             )
         )
-    along = Window.partitionBy(*keys).orderBy(F.col("_head")[0][order])
-    before = F.flatten(F.collect_list("_tail").over(along.rowsBetween(-depth, -1)))
-    after = F.flatten(F.collect_list("_head").over(along.rowsBetween(1, depth)))
-    from_end = F.greatest(F.size("_before") - depth, F.lit(0)) + 1
-    table = ends.select(*group, before.alias("_before"), after.alias("_after")).select(
-        *group,
-        F.slice("_before", from_end, F.lit(depth)).alias("_before"),
-        F.slice("_after", 1, depth).alias("_after"),
+    along = f"PARTITION BY {quoted(keys)} ORDER BY _head[0].`{order}` ROWS BETWEEN"
+    return cut(
+        ends.selectExpr(
+            *group,
+            f"flatten(collect_list(_tail) OVER ({along} {depth} PRECEDING AND 1 PRECEDING))"
+            " AS _before",
+            f"flatten(collect_list(_head) OVER ({along} 1 FOLLOWING AND {depth} FOLLOWING))"
+            " AS _after",
+        ).selectExpr(
+            *group,
+            f"slice(_before, greatest(size(_before) - {depth}, 0) + 1, {depth}) AS _before",
+            f"slice(_after, 1, {depth}) AS _after",
+        )
     )
-    return cut(table)
 
 
 def neighbours(
@@ -127,124 +161,121 @@ def neighbours(
 ) -> DataFrame:
     """Attach ``prev_<c>``, ``next_<c>`` and, when ``ahead`` is 2, ``next2_<c>``
     for each of the (non-null) ``columns``; NULL beyond the ends of a series."""
-    window = Window.partitionBy(*group_columns(df, keys)).orderBy(order)
+    over = window_sql(group_columns(df, keys), order)
     added = {}
     for c in columns:
-        added[f"prev_{c}"] = F.lag(c).over(window)
-        added[f"next_{c}"] = F.lead(c).over(window)
+        added[f"prev_{c}"] = f"lag(`{c}`) {over}"
+        added[f"next_{c}"] = f"lead(`{c}`) {over}"
         if ahead == 2:
-            added[f"next2_{c}"] = F.lead(c, 2).over(window)
-    out = df.withColumns(added)
+            added[f"next2_{c}"] = f"lead(`{c}`, 2) {over}"
+    out = df.selectExpr("*", *[f"{e} AS `{n}`" for n, e in added.items()])
     if not segmented(df):
         return out
     outside = _surroundings(df, keys, columns, ahead, order)
-    joined = out.join(outside, [*keys, SEG], "left")
-    last_before = F.get("_before", F.size("_before") - 1)
     filled = {}
     for c in columns:
-        at_end = F.col(f"next_{c}").isNull()
-        first_after, second_after = F.get("_after", F.lit(0))[c], F.get("_after", F.lit(1))[c]
-        filled[f"prev_{c}"] = F.coalesce(f"prev_{c}", last_before[c])
-        filled[f"next_{c}"] = F.coalesce(f"next_{c}", first_after)
+        filled[f"prev_{c}"] = f"coalesce(prev_{c}, get(_before, size(_before) - 1).`{c}`)"
+        filled[f"next_{c}"] = f"coalesce(next_{c}, get(_after, 0).`{c}`)"
         if ahead == 2:
-            filled[f"next2_{c}"] = F.coalesce(
-                f"next2_{c}", F.when(at_end, second_after).otherwise(first_after)
+            filled[f"next2_{c}"] = (
+                f"coalesce(next2_{c}, get(_after, IF(next_{c} IS NULL, 1, 0)).`{c}`)"
             )
-    return joined.withColumns(filled).select(*df.columns, *added)
+    return out.join(outside, [*keys, SEG], "left").selectExpr(
+        *[f"`{c}`" for c in df.columns], *[f"{filled[n]} AS `{n}`" for n in added]
+    )
 
 
 def moving_window(
     df: DataFrame, keys: list[str], column: str, half: int, name: str, order: str = "x"
 ) -> DataFrame:
     """Collect ``column`` over ``half`` rows to either side, cut off at the ends."""
-    window = Window.partitionBy(*group_columns(df, keys)).orderBy(order)
-    inside = F.collect_list(column).over(window.rowsBetween(-half, half))
+    group = group_columns(df, keys)
+
+    def over(start: str, end: str) -> str:
+        return window_sql(group, order, f"ROWS BETWEEN {start} AND {end}")
+
+    around = over(f"{half} PRECEDING", f"{half} FOLLOWING")
+    inside = f"collect_list(`{column}`) {around} AS `{name}`"
     if not segmented(df) or half == 0:
-        return df.withColumn(name, inside)
+        return df.selectExpr("*", inside)
     outside = _surroundings(df, keys, [column], half, order)
-    out = df.withColumns(
-        {
-            name: inside,
-            "_lacks_before": half - F.count(column).over(window.rowsBetween(-half, -1)),
-            "_lacks_after": half - F.count(column).over(window.rowsBetween(1, half)),
-        }
-    ).join(outside, [*keys, SEG], "left")
-    lacks = F.col("_lacks_before").cast("int")
-    start = F.greatest(F.size("_before") - lacks, F.lit(0)) + 1
-    before = F.slice(F.transform("_before", lambda r: r[column]), start, lacks)
-    after = F.slice(
-        F.transform("_after", lambda r: r[column]), F.lit(1), F.col("_lacks_after").cast("int")
+    before = over(f"{half} PRECEDING", "1 PRECEDING")
+    after = over("1 FOLLOWING", f"{half} FOLLOWING")
+    return (
+        df.selectExpr(
+            "*",
+            inside,
+            f"CAST({half} - count(1) {before} AS int) AS _lacks_before",
+            f"CAST({half} - count(1) {after} AS int) AS _lacks_after",
+        )
+        .join(outside, [*keys, SEG], "left")
+        .selectExpr(
+            *[f"`{c}`" for c in df.columns],
+            f"""concat(
+                slice(transform(_before, r -> r.`{column}`),
+                      greatest(size(_before) - _lacks_before, 0) + 1, _lacks_before),
+                `{name}`,
+                slice(transform(_after, r -> r.`{column}`), 1, _lacks_after)) AS `{name}`""",
+        )
     )
-    return out.withColumn(name, F.concat(before, name, after)).select(*df.columns, name)
-
-
-_PARTIAL = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
-_TOTAL = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
 
 
-def with_stats(df: DataFrame, keys: list[str], **stats: tuple[str, Column | str]) -> DataFrame:
+def with_stats(df: DataFrame, keys: list[str], **stats: tuple[str, str]) -> DataFrame:
     """Attach series-wide aggregates to every row.
 
     ``stats`` maps a new column to ``(kind, expression)``, where kind is one of
     min, max, sum, count and mean. Unsegmented series use a window, which
     shares the partitioning of the ordered windows around it.
     """
-    parts: dict[str, tuple[str, Column]] = {}
-    made: dict[str, Column] = {}
+    kept = [f"`{c}`" for c in df.columns]
+    if not segmented(df):
+        over = window_sql(keys)
+        function = {"mean": "avg"}
+        added = [f"{function.get(k, k)}({e}) {over} AS `{n}`" for n, (k, e) in stats.items()]
+        return df.selectExpr(*kept, *added)
+    over = window_sql(keys)
+    partial, total = [], []
     for name, (kind, expr) in stats.items():
-        expr = F.col(expr) if isinstance(expr, str) else expr
         if kind == "mean":
-            parts[f"{name}_sum"] = ("sum", expr)
-            parts[f"{name}_rows"] = ("count", expr)
-            made[name] = F.col(f"{name}_sum") / F.col(f"{name}_rows")
+            partial += [f"sum({expr}) AS `{name}`", f"count({expr}) AS `{name}_rows`"]
+            total.append(f"sum(`{name}`) {over} / sum(`{name}_rows`) {over} AS `{name}`")
         else:
-            parts[name] = (kind, expr)
-            made[name] = F.col(name)
-    chosen = [made[name].alias(name) for name in stats]
-    series = Window.partitionBy(*keys)
-    if not segmented(df):
-        out = df.withColumns({n: _PARTIAL[kind](e).over(series) for n, (kind, e) in parts.items()})
-        return out.select(*df.columns, *chosen)
-    per_segment = df.groupBy(*keys, SEG).agg(
-        *[_PARTIAL[kind](e).alias(f"_part_{n}") for n, (kind, e) in parts.items()]
-    )
-    totals = per_segment.select(
-        *keys, SEG, *[_TOTAL[k](f"_part_{n}").over(series).alias(n) for n, (k, _) in parts.items()]
-    )
-    return df.join(cut(totals), [*keys, SEG], "left").select(*df.columns, *chosen)
+            again = "sum" if kind == "count" else kind
+            partial.append(f"{kind}({expr}) AS `{name}`")
+            total.append(f"{again}(`{name}`) {over} AS `{name}`")
+    per_segment = df.groupBy(*keys, SEG).agg(*[F.expr(p) for p in partial])
+    totals = cut(per_segment.selectExpr(*keys, SEG, *total))
+    return df.join(totals, [*keys, SEG], "left").selectExpr(*kept, *[f"`{n}`" for n in stats])
 
 
 def with_row_index(df: DataFrame, keys: list[str], name: str = "i", order: str = "x") -> DataFrame:
     """0-based position of each row within its series."""
-    window = Window.partitionBy(*group_columns(df, keys)).orderBy(order)
-    out = df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
+    position = f"row_number() {window_sql(group_columns(df, keys), order)} - 1"
+    out = df.selectExpr("*", f"CAST({position} AS bigint) AS `{name}`")
     if not segmented(df):
         return out
-    counts = df.groupBy(*keys, SEG).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_first")
+    before = window_sql(keys, "_first", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    offsets = cut(
+        df.groupBy(*keys, SEG)
+        .agg(F.expr("count(1) AS _rows"), F.expr(f"min(`{order}`) AS _first"))
+        .selectExpr(*keys, SEG, f"coalesce(sum(_rows) {before}, 0) AS _offset")
     )
-    before = Window.partitionBy(*keys).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut(counts.select(*keys, SEG, F.sum("_rows").over(before).alias("_offset")))
-    return (
-        out.join(offsets, [*keys, SEG], "left")
-        .withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0)))
-        .select(*df.columns, name)
+    return out.join(offsets, [*keys, SEG], "left").selectExpr(
+        *[f"`{c}`" for c in df.columns], f"`{name}` + _offset AS `{name}`"
     )
 
 
-def explode_range(df: DataFrame, name: str, lo: Column, hi: Column, block: int = 4096) -> DataFrame:
+def explode_range(df: DataFrame, name: str, lo: str, hi: str, block: int = 4096) -> DataFrame:
     """One row per integer in ``lo .. hi-1``; rows with an empty range vanish.
 
     With a ``block`` there are two explodes, so no row builds a long array.
     """
-    bounds = df.withColumns({"_lo": lo.cast("bigint"), "_hi": hi.cast("bigint")})
-    filled = F.col("_lo") < F.col("_hi")
+    bounds = df.selectExpr("*", f"CAST({lo} AS bigint) AS _lo", f"CAST({hi} AS bigint) AS _hi")
     if block:
-        starts = F.sequence(F.col("_lo"), F.col("_hi") - 1, F.lit(block))
-        bounds = bounds.withColumn("_from", F.explode(F.when(filled, starts)))
-        numbers = F.sequence(
-            F.col("_from"), F.least(F.col("_from") + (block - 1), F.col("_hi") - 1)
+        numbers = f"sequence(_from, least(_from + {block - 1}, _hi - 1))"
+        bounds = bounds.selectExpr(
+            "*", f"explode(IF(_lo < _hi, sequence(_lo, _hi - 1, {block}L), NULL)) AS _from"
         )
     else:
-        numbers = F.when(filled, F.sequence(F.col("_lo"), F.col("_hi") - 1))
-    return bounds.withColumn(name, F.explode(numbers)).drop("_lo", "_hi", "_from")
+        numbers = "IF(_lo < _hi, sequence(_lo, _hi - 1), NULL)"
+    return bounds.selectExpr("*", f"explode({numbers}) AS `{name}`").drop("_lo", "_hi", "_from")

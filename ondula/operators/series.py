@@ -1,18 +1,17 @@
 """Preprocessing of (x, y) series.
 
-Parameters may be Python values or per-series Columns, so one job can hold
-series with different settings. Row order is never stored: "sorted by x" is
-the order in which windows read a series.
+Parameters may be Python values or SQL expressions over per-series columns, so
+one job can hold series with different settings. Row order is never stored:
+"sorted by x" is the order in which windows read a series.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ondula.functions.values import is_finite
 from ondula.operators.segments import (
     MAX_ROWS,
     by_length,
@@ -20,12 +19,14 @@ from ondula.operators.segments import (
     neighbours,
     with_stats,
 )
-from ondula.session import param
+from ondula.session import sql_value
+
+FINITE = "NOT (isnan({c}) OR abs({c}) = double('inf'))"
 
 
 def finite_only(samples: DataFrame) -> DataFrame:
     """Keep rows whose x and y are both finite (the drop mode of P3)."""
-    return samples.where(is_finite(F.col("x")) & is_finite(F.col("y")))
+    return samples.where(f"{FINITE.format(c='x')} AND {FINITE.format(c='y')}")
 
 
 def dedup_mean(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,8 +35,9 @@ def dedup_mean(samples: DataFrame, keys: list[str]) -> DataFrame:
     Grouping on (keys, x) combines map-side, so repeats of one x never meet
     in one task; adding 0.0 turns -0.0 into 0.0 before they are compared.
     """
-    unified = samples.withColumn("x", F.col("x") + F.lit(0.0))
-    return unified.groupBy(*group_columns(samples, keys), "x").agg(F.avg("y").alias("y"))
+    group = group_columns(samples, keys)
+    unified = samples.selectExpr(*group, "x + 0.0D AS x", "y")
+    return unified.groupBy(*group, "x").agg(F.expr("avg(y) AS y"))
 
 
 def on_monotonic(
@@ -44,37 +46,33 @@ def on_monotonic(
     chain: Callable[[DataFrame], DataFrame],
     max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """Deduplicate, lay out, and run a chain of ordered operators. Series
-    lengths are measured on the input: deduplication can only shorten them."""
+    """Deduplicate, lay out, and run a chain of ordered operators."""
     return by_length(
-        dedup_mean(samples, keys), keys, chain, max_rows=max_rows, measured_on=samples
+        samples, keys, chain, max_rows=max_rows, prepare=lambda df: dedup_mean(df, keys)
     )
 
 
 def domain_stats(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Left and right end, length and sample count of each series."""
-    return samples.groupBy(*keys).agg(
-        F.min("x").alias("x_left"),
-        F.max("x").alias("x_right"),
-        (F.max("x") - F.min("x")).alias("x_length"),
-        F.count(F.lit(1)).alias("n"),
-    ).withColumn("log2_n", F.log2("n"))
+    ends = samples.groupBy(*keys).agg(
+        F.expr("min(x) AS x_left"), F.expr("max(x) AS x_right"), F.expr("count(1) AS n")
+    )
+    return ends.selectExpr(
+        *keys, "x_left", "x_right", "x_right - x_left AS x_length", "n", "log2(n) AS log2_n"
+    )
 
 
 def plot_extent(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Axis ranges of each series, and whether its x range is positive."""
-    return samples.groupBy(*keys).agg(
-        F.min("x").alias("x_min"),
-        F.max("x").alias("x_max"),
-        F.min("y").alias("y_min"),
-        F.max("y").alias("y_max"),
-    ).withColumn("increasing", F.col("x_min") < F.col("x_max"))
+    sides = [F.expr(f"{f}({c}) AS {c}_{f}") for c in "xy" for f in ("min", "max")]
+    return samples.groupBy(*keys).agg(*sides).selectExpr("*", "x_min < x_max AS increasing")
 
 
 def neighbour_dx(samples: DataFrame, keys: list[str]) -> DataFrame:
     """Distance to the previous sample; the first sample of a series has none."""
-    dx = F.abs(F.col("x") - F.col("prev_x"))
-    return neighbours(samples, keys, ["x"]).select(*samples.columns, dx.alias("dx"))
+    return neighbours(samples, keys, ["x"]).selectExpr(
+        *samples.columns, "abs(x - prev_x) AS dx"
+    )
 
 
 def mask(samples: DataFrame, keys: list[str], left, right) -> DataFrame:
@@ -82,60 +80,59 @@ def mask(samples: DataFrame, keys: list[str], left, right) -> DataFrame:
 
     A NULL bound leaves the series alone.
     """
-    lo, hi = param(left), param(right)
-    from_left = (F.col("x") >= lo) | F.col("next_x").isNull()
-    to_right = F.col("prev_x").isNull() | (F.col("prev_x") < hi)
-    removed = lo.isNotNull() & hi.isNotNull() & from_left & to_right
-    return neighbours(samples, keys, ["x"]).where(~removed).select(*samples.columns)
+    lo, hi = sql_value(left), sql_value(right)
+    removed = (
+        f"(x >= {lo} OR (next_x IS NULL AND {lo} IS NOT NULL))"
+        f" AND (prev_x < {hi} OR (prev_x IS NULL AND {hi} IS NOT NULL))"
+    )
+    kept = neighbours(samples, keys, ["x"]).where(f"NOT coalesce({removed}, false)")
+    return kept.select(*samples.columns)
 
 
 def mask_all(samples: DataFrame, keys: list[str], masks, count: int | None = None) -> DataFrame:
     """Apply several masks in order, each to what the previous one left.
 
-    ``masks`` is a list of (left, right) pairs, or an array<struct<left,right>>
-    column of which the first ``count`` entries are used.
+    ``masks`` is a list of (left, right) pairs, or the name of an
+    array<struct<left,right>> column whose first ``count`` entries are used.
     """
-    if isinstance(masks, Column):
-        steps = [(masks[F.lit(i)]["left"], masks[F.lit(i)]["right"]) for i in range(count)]
-        steps = [
-            (F.when(F.size(masks) > i, lo), F.when(F.size(masks) > i, hi))
-            for i, (lo, hi) in enumerate(steps)
-        ]
-    else:
-        steps = masks
-    for left, right in steps:
+    if isinstance(masks, str):
+        masks = [(f"get({masks}, {i}).left", f"get({masks}, {i}).right") for i in range(count)]
+    for left, right in masks:
         samples = mask(samples, keys, left, right)
     return samples
 
 
-def trim_bounds(x_left: Column, x_right: Column, left, right) -> tuple[Column, Column]:
+def trim_bounds(x_left: str, x_right: str, left, right) -> tuple[str, str]:
     """Effective trim bounds: open ends default to the domain, and bounds given
     as magnitudes are mirrored onto a domain that lies left of zero."""
-    lo = F.coalesce(param(left), x_left)
-    hi = F.coalesce(param(right), x_right)
-    mirrored = (x_right <= 0) & (hi >= 0)
-    return F.when(mirrored, -hi).otherwise(lo), F.when(mirrored, -lo).otherwise(hi)
+    lo = f"coalesce({sql_value(left)}, {x_left})"
+    hi = f"coalesce({sql_value(right)}, {x_right})"
+    mirrored = f"({x_right} <= 0 AND {hi} >= 0)"
+    return f"IF({mirrored}, -{hi}, {lo})", f"IF({mirrored}, -{lo}, {hi})"
 
 
 def trim(samples: DataFrame, keys: list[str], left=None, right=None) -> DataFrame:
     """Keep ``left <= x < right``. The right end is exclusive and never beyond
     the last sample, so trimming to the full domain drops the last sample."""
-    lo, hi = trim_bounds(F.col("_left"), F.col("_right"), left, right)
+    lo, hi = trim_bounds("_left", "_right", left, right)
     bounded = with_stats(samples, keys, _left=("min", "x"), _right=("max", "x"))
-    kept = (F.col("x") >= lo) & (F.col("x") < F.least(hi, F.col("_right")))
-    return bounded.where(kept).select(*samples.columns)
+    return bounded.where(f"x >= {lo} AND x < least({hi}, _right)").select(*samples.columns)
+
+
+def _replace(samples: DataFrame, column: str, expr: str) -> DataFrame:
+    columns = [f"{expr} AS {c}" if c == column else f"`{c}`" for c in samples.columns]
+    return samples.selectExpr(*columns)
 
 
 def scale_x(samples: DataFrame, factor) -> DataFrame:
     """Multiply x; a negative factor reverses the order by itself."""
-    return samples.withColumn("x", F.col("x") * param(factor))
+    return _replace(samples, "x", f"x * {sql_value(factor)}")
 
 
 def scale_y(samples: DataFrame, factor) -> DataFrame:
-    return samples.withColumn("y", F.col("y") * param(factor))
+    return _replace(samples, "y", f"y * {sql_value(factor)}")
 
 
 def invert_x(samples: DataFrame, when=True) -> DataFrame:
     """x becomes 1/x where ``when`` holds. x must not be zero there."""
-    inverse = F.when(F.col("x") != 0, F.lit(1.0) / F.col("x"))
-    return samples.withColumn("x", F.when(param(when, "boolean"), inverse).otherwise(F.col("x")))
+    return _replace(samples, "x", f"IF({sql_value(when, 'boolean')}, try_divide(1.0D, x), x)")

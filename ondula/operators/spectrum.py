@@ -13,15 +13,13 @@ Three equal routes to the amplitude of bin k, |sum_i y_i e^(-2 pi i k r_i / N)|
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ondula.functions.transforms import FourStep, batch_transform, first_step, second_step
 from ondula.operators.segments import explode_range, with_stats
-from ondula.session import param
+from ondula.session import sql_value
 
 # Longest transform that one task does in one piece (8 MB of doubles).
 GROUPED_MAX = 1 << 20
@@ -34,42 +32,30 @@ def windowed(swept: DataFrame, keys: list[str], center: bool = True, hann: bool
     position in the sub-domain and dt its first step. Sub-domains of fewer than
     two samples have no step, and are left out.
     """
-    stats = {
-        "n_data": ("count", "y"),
-        "_first": ("min", F.struct("x", "i", "x_next")),
-    }
+    stats = {"n_data": ("count", "y"), "_first": ("min", "struct(x, i, x_next)")}
     if center:
         stats["_mean"] = ("mean", "y")
-    rows = with_stats(swept, [*keys, "sweep_index"], **stats).where(F.col("n_data") > 1)
-    rows = rows.withColumns(
-        {
-            "r": F.col("i") - F.col("_first.i"),
-            "dt": F.col("_first.x_next") - F.col("_first.x"),
-        }
-    )
-    y = F.col("y") - F.col("_mean") if center else F.col("y")
+    rows = with_stats(swept, [*keys, "sweep_index"], **stats).where("n_data > 1")
+    y = "(y - _mean)" if center else "y"
     if hann:
-        angle = F.col("r") * F.lit(math.pi) / (F.col("n_data") - 1)
-        edge = (F.col("r") == 0) | (F.col("r") == F.col("n_data") - 1)
-        y = F.when(edge, F.lit(0.0)).otherwise(y * F.pow(F.sin(angle), F.lit(2)))
-    carried = [c for c in swept.columns if c not in ("i", "x", "y", "x_next")]
-    return rows.select(*carried, "n_data", "dt", "r", y.alias("y"))
+        y = f"""IF(r = 0 OR r = n_data - 1, 0.0D,
+                   {y} * pow(sin(r * pi() / (n_data - 1)), 2))"""
+    carried = [f"`{c}`" for c in swept.columns if c not in ("i", "x", "y", "x_next")]
+    return rows.selectExpr("*", "i - _first.i AS r").selectExpr(
+        *carried, "n_data", "_first.x_next - _first.x AS dt", "r", f"{y} AS y"
+    )
 
 
-def band(dt: Column, n_fft: int, lower, upper) -> tuple[Column, Column]:
-    """First bin and end bin (exclusive) of a frequency band."""
+def band(n_fft: int, lower, upper) -> tuple[str, str]:
+    """First bin and end bin (exclusive) of a frequency band, for a step dt."""
     bins = n_fft // 2 + 1
-    start = F.floor(F.coalesce(param(lower), F.lit(0.0)) * dt * F.lit(float(n_fft)))
-    stop = F.least(F.ceil(param(upper) * dt * F.lit(float(n_fft))), F.lit(bins))
-    return start.cast("bigint"), F.coalesce(stop, F.lit(bins)).cast("bigint")
-
-
-def nyquist(dt: Column) -> Column:
-    return F.lit(0.5) / dt
-
-
-def frequency(k: Column, dt: Column, n_fft: int) -> Column:
-    return k * (F.lit(1.0) / (dt * F.lit(float(n_fft))))
+    size = f"{float(n_fft)!r}D"
+    start = "0L" if lower is None else f"CAST(floor({sql_value(lower)} * dt * {size}) AS bigint)"
+    if upper is None:
+        return start, f"{bins}L"
+    # clamped as a double first, so that any bound fits
+    stop = f"CAST(least(ceil(least({sql_value(upper)} * dt * {size}, {bins}.0D)), {bins}) AS bigint)"
+    return start, stop
 
 
 def spectrum(
@@ -90,44 +76,50 @@ def spectrum(
     if method == "auto":
         method = "grouped" if n_fft <= GROUPED_MAX else "split"
     route = {"grouped": _grouped, "split": _split, "bins": _bins}[method]
-    start, stop = band(F.col("dt"), n_fft, lower, upper)
-    rows = prepared.where(F.col("n_data") <= n_fft).withColumns({"_start": start, "_stop": stop})
-    rows = rows.where(F.col("_start") < F.col("_stop"))
+    start, stop = band(n_fft, lower, upper)
+    rows = (
+        prepared.where(f"n_data <= {n_fft}")
+        .selectExpr("*", f"{start} AS _start", f"{stop} AS _stop")
+        .where("_start < _stop")
+    )
     window = [c for c in ("domain_left", "domain_right") if c in prepared.columns]
-    constants = [*window, "n_data", "dt"]
-    return route(rows, [*keys, "sweep_index"], constants, n_fft).select(
+    return route(rows, [*keys, "sweep_index"], [*window, "n_data", "dt"], n_fft).selectExpr(
         *keys,
         "sweep_index",
         "k",
-        frequency(F.col("k"), F.col("dt"), n_fft).alias("frequency"),
-        (F.col("_norm") * (F.lit(1.0) / F.col("n_data"))).alias("amplitude"),
+        f"k * (1.0D / (dt * {float(n_fft)!r}D)) AS frequency",
+        "_norm * (1.0D / n_data) AS amplitude",
         *window,
         "n_data",
     )
 
 
+def _firsts(columns: list[str]) -> list[Column]:
+    return [F.expr(f"first({c}) AS {c}") for c in columns]
+
+
 def _bins(rows: DataFrame, group: list[str], constants: list[str], n_fft: int) -> DataFrame:
     # the phase is reduced in integers, which keeps it exact for large r * k
-    angle = F.lit(2 * math.pi) * ((F.col("r") * F.col("k")) % n_fft) / F.lit(float(n_fft))
+    angle = f"2 * pi() * ((r * k) % {n_fft}) / {float(n_fft)!r}D AS _angle"
     sums = (
-        explode_range(rows, "k", F.col("_start"), F.col("_stop"))
-        .withColumn("_angle", angle)
+        explode_range(rows, "k", "_start", "_stop")
+        .selectExpr("*", angle)
         .groupBy(*group, "k")
         .agg(
-            F.sum(F.col("y") * F.cos("_angle")).alias("_re"),
-            F.sum(F.col("y") * F.sin("_angle")).alias("_im"),
-            *[F.first(c).alias(c) for c in constants],
+            F.expr("sum(y * cos(_angle)) AS _re"),
+            F.expr("sum(y * sin(_angle)) AS _im"),
+            *_firsts(constants),
         )
     )
-    return sums.withColumn("_norm", F.hypot("_re", "_im"))
+    return sums.selectExpr("*", "hypot(_re, _im) AS _norm")
 
 
 def _grouped(rows: DataFrame, group: list[str], constants: list[str], n_fft: int) -> DataFrame:
     if n_fft > GROUPED_MAX:
         raise ValueError("transforms this long need the split method")
     packed = rows.groupBy(*group).agg(
-        *[F.first(c).alias(c) for c in [*constants, "_start", "_stop"]],
-        F.collect_list(F.struct(F.col("r").cast("int").alias("r"), "y")).alias("_data"),
+        *_firsts([*constants, "_start", "_stop"]),
+        F.expr("collect_list(struct(CAST(r AS int) AS r, y)) AS _data"),
     )
     schema = T.StructType(
         [f for f in packed.schema.fields if f.name not in ("_data", "_stop")]
@@ -140,8 +132,8 @@ def _grouped(rows: DataFrame, group: list[str], constants: list[str], n_fft: int
 
 def _unpack(packed: DataFrame) -> DataFrame:
     kept = [c for c in packed.columns if c not in ("_norms", "_start")]
-    return packed.select(*kept, "_start", F.posexplode("_norms").alias("_pos", "_norm")).withColumn(
-        "k", F.col("_start") + F.col("_pos")
+    return packed.selectExpr(*kept, "_start", "posexplode(_norms) AS (_pos, _norm)").selectExpr(
+        "*", "_start + _pos AS k"
     )
 
 
@@ -164,17 +156,14 @@ def _split(
     order = [f.name for f in key_fields + shared_fields]
 
     columns_in = (
-        rows.withColumn("_r2", F.col("r") % n2)
-        .groupBy(*group, F.floor(F.col("_r2") / rows_per_tile).cast("int").alias("_row_tile"))
+        rows.selectExpr("*", f"CAST(r % {n2} AS int) AS _r2", f"CAST(r DIV {n2} AS int) AS _r1")
+        .selectExpr("*", f"CAST(_r2 DIV {rows_per_tile} AS int) AS _row_tile")
+        .groupBy(*group, "_row_tile")
         .agg(
-            *[F.first(c).alias(c) for c in shared],
-            F.collect_list(
-                F.struct(
-                    (F.col("_r2") % rows_per_tile).cast("int").alias("row"),
-                    F.floor(F.col("r") / n2).cast("int").alias("r1"),
-                    "y",
-                )
-            ).alias("_data"),
+            *_firsts(shared),
+            F.expr(
+                f"collect_list(struct(_r2 % {rows_per_tile} AS row, _r1 AS r1, y)) AS _data"
+            ),
         )
         .select(*order, "_row_tile", "_data")
     )
@@ -193,8 +182,8 @@ def _split(
         columns_in.mapInArrow(first_step(plan, order, tile_schema.names), tile_schema)
         .groupBy(*group, "_col_tile")
         .agg(
-            *[F.first(c).alias(c) for c in shared],
-            F.collect_list(F.struct("_row_tile", "_re", "_im")).alias("_data"),
+            *_firsts(shared),
+            F.expr("collect_list(struct(_row_tile, _re, _im)) AS _data"),
         )
         .select(*order, "_col_tile", "_data")
     )
@@ -208,7 +197,6 @@ def _split(
     )
 
     packed = columns_out.mapInArrow(second_step(plan, order, out_schema.names), out_schema)
-    pairs = F.explode(F.arrays_zip("_ks", "_norms")).alias("_pair")
-    return packed.select(*group, *constants, pairs).select(
-        *group, *constants, F.col("_pair._ks").alias("k"), F.col("_pair._norms").alias("_norm")
+    return packed.selectExpr(
+        *group, *constants, "inline(arrays_zip(_ks, _norms)) AS (k, _norm)"
     )

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ondula.operators.segments import SEG, neighbours, segmented, with_row_index, with_stats
-from ondula.session import param
+from ondula.session import sql_value
 
 SWEEPS = ("full", "lower", "upper", "windows")
 
 
-def _reciprocal(c: Column) -> Column:
-    return F.when(c != 0, F.lit(1.0) / c)
-
-
 def sweep_indices(sweep: str, steps: int | None) -> tuple[int, int]:
     """First and last window number. Windows count from zero, swept ends from one."""
     if sweep not in SWEEPS:
@@ -26,9 +21,16 @@ def sweep_indices(sweep: str, steps: int | None) -> tuple[int, int]:
     return (0, steps - 1) if sweep == "windows" else (1, steps)
 
 
+def _uninverted(left: str, right: str, inverted: str) -> tuple[str, str]:
+    return (
+        f"IF({inverted}, try_divide(1.0D, {right}), {left})",
+        f"IF({inverted}, try_divide(1.0D, {left}), {right})",
+    )
+
+
 def sweep_bounds(
-    sweep: str, steps: int | None, i: Column, left: Column, right: Column, inverted=False
-) -> tuple[Column, Column]:
+    sweep: str, steps: int | None, i: str, left: str, right: str, inverted=False
+) -> tuple[str, str]:
     """Bounds of window ``i`` over a series that spans ``left .. right``.
 
     Swept ends move uniformly in the x before inversion, and are mapped back;
@@ -37,37 +39,32 @@ def sweep_bounds(
     if sweep == "full":
         return left, right
     if sweep == "windows":
-        dx = (right - left) / (steps + 1)
-        return left + i * dx, left + (i + 2) * dx
-    inv = param(inverted, "boolean")
-    plain_left = F.when(inv, _reciprocal(right)).otherwise(left)
-    plain_right = F.when(inv, _reciprocal(left)).otherwise(right)
-    dx = (plain_right - plain_left) / steps
+        dx = f"(({right} - {left}) / {steps + 1})"
+        return f"({left} + {i} * {dx})", f"({left} + ({i} + 2) * {dx})"
+    inv = sql_value(inverted, "boolean")
+    plain_left, plain_right = _uninverted(left, right, inv)
+    dx = f"(({plain_right} - {plain_left}) / {steps})"
     if sweep == "lower":
-        lo, hi = plain_right - i * dx, plain_right
+        lo, hi = f"({plain_right} - {i} * {dx})", plain_right
     else:
-        lo, hi = plain_left, plain_left + i * dx
+        lo, hi = plain_left, f"({plain_left} + {i} * {dx})"
     return (
-        F.when(inv, _reciprocal(hi)).otherwise(lo),
-        F.when(inv, _reciprocal(lo)).otherwise(hi),
+        f"IF({inv}, try_divide(1.0D, {hi}), {lo})",
+        f"IF({inv}, try_divide(1.0D, {lo}), {hi})",
     )
 
 
-def _guess_index(
-    sweep: str, steps: int | None, left: Column, right: Column, inverted
-) -> Column:
+def _guess_index(sweep: str, steps: int | None, inverted) -> str:
     """Window whose moving end lies next to x, up to rounding."""
     if sweep == "full":
-        return F.lit(0)
-    x = F.col("x")
+        return "0"
     if sweep == "windows":
-        return F.floor((x - left) / ((right - left) / (steps + 1)))
-    inv = param(inverted, "boolean")
-    plain = F.when(inv, _reciprocal(x)).otherwise(x)
-    plain_left = F.when(inv, _reciprocal(right)).otherwise(left)
-    plain_right = F.when(inv, _reciprocal(left)).otherwise(right)
-    moved = plain_right - plain if sweep == "lower" else plain - plain_left
-    return F.ceil(moved / ((plain_right - plain_left) / steps))
+        return f"CAST(floor((x - x_left) / ((x_right - x_left) / {steps + 1})) AS int)"
+    inv = sql_value(inverted, "boolean")
+    plain_left, plain_right = _uninverted("x_left", "x_right", inv)
+    plain = f"IF({inv}, try_divide(1.0D, x), x)"
+    moved = f"{plain_right} - {plain}" if sweep == "lower" else f"{plain} - {plain_left}"
+    return f"CAST(ceil(({moved}) / (({plain_right} - {plain_left}) / {steps})) AS int)"
 
 
 def with_grid_columns(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,8 +72,8 @@ def with_grid_columns(series: DataFrame, keys: list[str]) -> DataFrame:
     if "i" not in series.columns:
         series = with_row_index(series, keys)
     if "x_next" not in series.columns:
-        series = neighbours(series, keys, ["x"]).select(
-            *series.columns, F.col("next_x").alias("x_next")
+        series = neighbours(series, keys, ["x"]).selectExpr(
+            *series.columns, "next_x AS x_next"
         )
     if "x_left" not in series.columns:
         series = with_stats(series, keys, x_left=("min", "x"), x_right=("max", "x"))
@@ -96,28 +93,30 @@ def sweep_series(
     Like every trim, the right end is exclusive.
     """
     first, last = sweep_indices(sweep, steps)
-    rows = with_grid_columns(series, keys)
-    ends = (F.col("x_left"), F.col("x_right"))
 
-    def holds(i: Column) -> Column:
-        lo, hi = sweep_bounds(sweep, steps, i, *ends, inverted)
-        inside = (F.col("x") >= lo) & (F.col("x") < F.least(hi, F.col("x_right")))
-        return i.between(first, last) & inside
+    def held_by(d: int) -> str:
+        i = f"(_g + {d})"
+        lo, hi = sweep_bounds(sweep, steps, i, "x_left", "x_right", inverted)
+        inside = f"x >= {lo} AND x < least({hi}, x_right)"
+        return f"IF({i} BETWEEN {first} AND {last} AND {inside}, {i}, NULL)"
 
-    guess = _guess_index(sweep, steps, *ends, inverted).cast("int")
     if sweep in ("lower", "upper"):
         # each of these windows holds the one before it
-        reached = F.coalesce(
-            *[F.when(holds(guess + d), guess + d) for d in (-1, 0, 1)], F.lit(last + 1)
-        )
-        chosen = F.when(reached <= last, F.sequence(reached, F.lit(last)))
+        reached = f"coalesce({', '.join(held_by(d) for d in (-1, 0, 1))}, {last + 1})"
+        chosen = f"IF(_r <= {last}, sequence(_r, {last}), NULL)"
     else:
         near = (0,) if sweep == "full" else (-2, -1, 0, 1)
-        chosen = F.array_compact(F.array(*[F.when(holds(guess + d), guess + d) for d in near]))
-    lo, hi = sweep_bounds(sweep, steps, F.col("sweep_index"), *ends, inverted)
-    columns = [*keys, "sweep_index", "i", "x", "y", "x_next", "domain_left", "domain_right"]
+        reached = "_g"
+        chosen = f"array_compact(array({', '.join(held_by(d) for d in near)}))"
+    lo, hi = sweep_bounds(sweep, steps, "sweep_index", "x_left", "x_right", inverted)
     return (
-        rows.withColumn("sweep_index", F.explode(chosen))
-        .withColumns({"domain_left": lo, "domain_right": hi})
-        .select(*columns, *([SEG] if segmented(series) else []))
+        with_grid_columns(series, keys)
+        .selectExpr("*", f"{_guess_index(sweep, steps, inverted)} AS _g")
+        .selectExpr("*", f"{reached} AS _r")
+        .selectExpr("*", f"explode({chosen}) AS sweep_index")
+        .selectExpr(
+            *keys, "sweep_index", "i", "x", "y", "x_next",
+            f"{lo} AS domain_left", f"{hi} AS domain_right",
+            *([SEG] if segmented(series) else []),
+        )
     )

@@ -16,7 +16,7 @@ import ondula
 from ondula.operators import quality
 from ondula.operators.columns import extract_pairs, locate_pairs, rename_columns
 from ondula.operators.gridstats import (
-    counts_for_stats,
+    COUNTS_FOR_STATS,
     interp_stats,
     min_dx_length,
     with_grid_length,
@@ -107,14 +107,14 @@ class Analysis:
 
         flags = settings.select(*KEYS, "invert_x")
         flagged = preprocessed.join(flags, KEYS)
-        current = invert_x(flagged, F.col("invert_x")).drop("invert_x")
+        current = invert_x(flagged, "invert_x").drop("invert_x")
         stages["inverted"] = self.keep(
             invert_x(flagged.where("invert_x")).drop("invert_x"), "inverted"
         )
 
         # the grid lengths of all series must be known before any is resampled
         current_parts = self.parts(current)
-        automatic = settings.where(counts_for_stats(F.col("interpolation_n"))).select(*KEYS)
+        automatic = settings.where(COUNTS_FOR_STATS).select(*KEYS)
         lengths = _union(
             [min_dx_length(p.join(automatic, KEYS, "left_semi"), KEYS) for p in current_parts]
         )
@@ -135,7 +135,7 @@ class Analysis:
             planned = part.join(plans, KEYS)
             processed.append(
                 resample(
-                    planned, KEYS, F.col("_len"), F.col("interpolation"), F.col("_der"),
+                    planned, KEYS, "_len", "interpolation", "_der",
                     n_bound=n_bound, max_rows=self.max_rows,
                 )
             )
@@ -159,7 +159,7 @@ class Analysis:
                 [
                     impulse_filter(
                         tuned.where(F.col("impulse_filter") == width), KEYS, width,
-                        F.col("impulse_tuning"),
+                        "impulse_tuning",
                     ).select(*rows.columns)
                     for width in widths
                 ]
@@ -173,15 +173,15 @@ class Analysis:
                 *KEYS, one["left"].alias("_from"), one["right"].alias("_upto")
             )
             with_bounds = rows.join(bounds, KEYS)
-            rows = mask(with_bounds, KEYS, F.col("_from"), F.col("_upto")).select(*rows.columns)
+            rows = mask(with_bounds, KEYS, "_from", "_upto").select(*rows.columns)
         if self.checked:
             here = settings.join(rows.select(*KEYS).distinct(), KEYS, "left_semi") if SEG in rows.columns else settings
             rows = self.screen(rows, quality.trim_violations(rows, here, KEYS))
         final = rows.join(
             settings.select(*KEYS, "trim_left", "trim_right", "prefactor_x", "prefactor_y"), KEYS
         )
-        kept = trim(final, KEYS, F.col("trim_left"), F.col("trim_right"))
-        scaled = scale_y(scale_x(kept, F.col("prefactor_x")), F.col("prefactor_y"))
+        kept = trim(final, KEYS, "trim_left", "trim_right")
+        scaled = scale_y(scale_x(kept, "prefactor_x"), "prefactor_y")
         return scaled.select(*rows.columns)
 
     def _spectra(self, series: list[DataFrame], settings: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ class Analysis:
         for part in series:
             swept = sweep_series(
                 part.join(flags, KEYS), KEYS, fft["sweep"], fft.get("sweep_steps"),
-                F.col("invert_x"),
+                "invert_x",
             )
             prepared = windowed(swept, KEYS, fft.get("center", True), fft.get("hann", True))
             domains.append(prepared.select(*KEYS, "sweep_index", "n_data", "dt").distinct())

@@ -90,10 +90,10 @@ def catalog(settings: DataFrame, project: dict, fft: dict | None) -> DataFrame:
         for i in range(first, last + 1):
             domain = none
             if "x_left" in has:
-                domain = F.array(*sweep_bounds(
-                    fft["sweep"], fft.get("sweep_steps"), F.lit(i),
-                    F.col("x_left"), F.col("x_right"), F.col("invert_x"),
-                ))
+                lo, hi = sweep_bounds(
+                    fft["sweep"], fft.get("sweep_steps"), str(i), "x_left", "x_right", "invert_x"
+                )
+                domain = F.expr(f"array({lo}, {hi})")
             outputs.append(
                 output(spectrum_stage(F.lit(fft["sweep"]), F.lit(i)), fft_json, domain=domain)
             )

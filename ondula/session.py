@@ -1,11 +1,10 @@
-"""Session helpers: reliable lineage cuts and parameter columns."""
+"""Session helpers: reliable lineage cuts, parameters, parallelism."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -32,8 +31,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def param(value, dtype: str = "double") -> Column:
-    """A parameter given as a Python value, ``None`` or a per-series Column."""
-    if isinstance(value, Column):
-        return value.cast(dtype)
-    return F.lit(value).cast(dtype)
+def sql_value(value, dtype: str = "double") -> str:
+    """SQL for a parameter: a Python value, ``None``, or a SQL expression over
+    the columns of the series (most often just a column name)."""
+    if value is None:
+        return f"CAST(NULL AS {dtype})"
+    if isinstance(value, str):
+        return f"CAST({value} AS {dtype})"
+    if isinstance(value, bool):
+        return str(value).lower()
+    return f"CAST('{value!r}' AS {dtype})"
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Tasks for a shuffle whose size says little about the work behind it."""
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, spark.sparkContext.defaultParallelism)
