@@ -34,7 +34,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 # Row bound that forces the segmented route on the small test tables.
-TINY = 1000
+TINY = 4000
 
 
 def register(name: str, sql: str | None, run: Query) -> None:
