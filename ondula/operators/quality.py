@@ -61,6 +61,13 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def nothing(rows: DataFrame) -> DataFrame:
+    """An empty violations table."""
+    return rows.sparkSession.createDataFrame(
+        [], "key string, code string, severity string, detail string"
+    )
+
+
 def raise_on_errors(violations: DataFrame, shown: int = 20) -> None:
     """Strict mode. Only the listing in the message is limited."""
     errors = violations.where(F.col("severity") == "error").take(shown)

@@ -23,13 +23,14 @@ from ondula.operators.gridstats import (
 )
 from ondula.operators.impulse import impulse_filter
 from ondula.operators.resample import resample
-from ondula.operators.segments import MAX_ROWS, SEG, lay_out
+from ondula.operators.segments import MAX_ROWS, SEG, lay_out, spread
 from ondula.operators.series import dedup_mean, invert_x, mask, scale_x, scale_y, trim
 from ondula.operators.spectrum import spectrum, windowed
 from ondula.operators.sweep import sweep_series
 from ondula.plans.catalog import catalog, explode_tags, summary, tag_values
 from ondula.plans.settings import resolve_settings, unmatched_overrides, work_list
 from ondula.plans.template import Template
+from ondula.session import cut
 from ondula.sinks.stages import read_stage, write_csv, write_stage
 from ondula.sources.text import (
     arity_problems,
@@ -38,9 +39,13 @@ from ondula.sources.text import (
     data_rows,
     numbered_rows,
     read_lines,
+    suspicious_rows,
 )
 
 KEYS = ["variable", "file"]
+STATS_SCHEMA = (
+    "variable string, n_mean double, n_stddev double, n_mean_log2 bigint, n_var bigint"
+)
 
 
 @dataclass
@@ -67,6 +72,7 @@ class Analysis:
     csv: bool = False
     max_rows: int = MAX_ROWS
     checked: bool = True
+    pairs: DataFrame | None = None
     _found: list[DataFrame] = field(default_factory=list)
 
     def keep(self, rows: DataFrame, stage: str, order: str = "x") -> DataFrame:
@@ -88,66 +94,72 @@ class Analysis:
         return quality.drop_failed(rows, violations, KEYS)
 
     def parts(self, rows: DataFrame) -> list[DataFrame]:
+        """Short and, if there are any, segmented series, spread by key."""
         short, long = lay_out(rows, KEYS, max_rows=self.max_rows)
-        return [short] if long is None else [short, long]
+        return [spread(part, KEYS) for part in (short, long) if part is not None]
 
     def run(self, samples: DataFrame, settings: DataFrame) -> Result:
-        stages = {"unprocessed": self.keep(samples, "unprocessed")}
-        raw = self.keep(dedup_mean(stages["unprocessed"], KEYS), "raw")
-        stages["raw"] = raw
-
-        prepared = []
-        for part in self.parts(raw):
-            prepared.append(self._preprocess(part, settings))
-        preprocessed = self.keep(_union(prepared), "preprocessed")
-        preprocessed = self.screen(
-            preprocessed, quality.preprocessed_violations(preprocessed, settings, KEYS)
-        )
+        # one row per series, read by every stage
+        settings = cut(settings)
+        unprocessed = self.keep(samples, "unprocessed")
+        if self.pairs is not None:
+            unprocessed = self.screen(
+                unprocessed, quality.pair_violations(self.pairs, unprocessed, KEYS)
+            )
+        stages = {"unprocessed": unprocessed}
+        stages["raw"] = self.keep(dedup_mean(stages["unprocessed"], KEYS), "raw")
+
+        parts = [self._preprocess(part, settings) for part in self.parts(stages["raw"])]
+        preprocessed = self.keep(_union(parts), "preprocessed")
+        if self.store is not None:
+            # series have only become shorter: without long ones, none are now
+            parts = self.parts(preprocessed) if len(parts) > 1 else [spread(preprocessed, KEYS)]
+        if self.checked:
+            found = quality.preprocessed_violations(preprocessed, settings, KEYS)
+            parts = [self.screen(part, found) for part in parts]
         stages["preprocessed"] = preprocessed
 
-        flags = settings.select(*KEYS, "invert_x")
-        flagged = preprocessed.join(flags, KEYS)
-        current = invert_x(flagged, "invert_x").drop("invert_x")
+        inverted = settings.where("invert_x").select(*KEYS)
         stages["inverted"] = self.keep(
-            invert_x(flagged.where("invert_x")).drop("invert_x"), "inverted"
+            invert_x(preprocessed.join(inverted, KEYS, "left_semi")), "inverted"
         )
+        flags = settings.select(*KEYS, "invert_x")
+        parts = [invert_x(p.join(flags, KEYS), "invert_x").select(*p.columns) for p in parts]
 
         # the grid lengths of all series must be known before any is resampled
-        current_parts = self.parts(current)
         automatic = settings.where(COUNTS_FOR_STATS).select(*KEYS)
-        lengths = _union(
-            [min_dx_length(p.join(automatic, KEYS, "left_semi"), KEYS) for p in current_parts]
-        )
-        stats = interp_stats(lengths)
-        if self.store is not None:
-            stats.write.mode("overwrite").parquet(f"{self.store}/interpolation_stats")
-            stats = samples.sparkSession.read.parquet(f"{self.store}/interpolation_stats")
-        settings = with_grid_length(settings, stats)
-        plans = settings.where(F.col("interpolation").isNotNull()).select(
-            *KEYS, F.col("n").alias("_len"), "interpolation", F.col("derivative").alias("_der")
-        )
+        if automatic.isEmpty():
+            stats = samples.sparkSession.createDataFrame([], STATS_SCHEMA)
+        else:
+            counted = [p.join(automatic, KEYS, "left_semi") for p in parts]
+            stats = cut(interp_stats(_union([min_dx_length(p, KEYS) for p in counted])))
+        settings = cut(with_grid_length(settings, stats))
         if self.checked:
             settings = self.screen(settings, quality.grid_violations(settings, KEYS))
-        n_bound = plans.agg(F.max("_len")).first()[0] or 0
-
-        processed, plain = [], []
-        for part in current_parts:
-            planned = part.join(plans, KEYS)
-            processed.append(
-                resample(
-                    planned, KEYS, "_len", "interpolation", "_der",
-                    n_bound=n_bound, max_rows=self.max_rows,
-                )
+        plans = settings.where("interpolation IS NOT NULL").selectExpr(
+            *KEYS, "n AS _len", "interpolation", "derivative AS _der"
+        )
+        n_bound = plans.agg(F.expr("max(_len)")).first()[0] or 0
+
+        processed = [
+            resample(
+                part.join(plans, KEYS), KEYS, "_len", "interpolation", "_der",
+                n_bound=n_bound, max_rows=self.max_rows,
             )
-            plain.append(part.join(plans, KEYS, "left_anti"))
+            for part in parts
+        ]
+        plain = settings.where("interpolation IS NULL").select(*KEYS)
         stages["processed"] = self.keep(
             _union([p.select(*KEYS, "i", "x", "y") for p in processed]), "processed"
         )
+        if not plain.isEmpty():
+            processed += [part.join(plain, KEYS, "left_semi") for part in parts]
 
         spectra = None
         if self.fft is not None:
-            spectra = self._spectra(processed + plain, settings)
-        return Result(settings, stages, stats, spectra, quality.union_all(self._found))
+            spectra = self._spectra(processed, settings)
+        return Result(settings, stages, stats, spectra, quality.union_all(self._found)
+                      if self._found else quality.nothing(settings))
 
     def _preprocess(self, rows: DataFrame, settings: DataFrame) -> DataFrame:
         """Impulse filter, masks, trim and scaling, with their checks."""
@@ -175,8 +187,7 @@ class Analysis:
             with_bounds = rows.join(bounds, KEYS)
             rows = mask(with_bounds, KEYS, "_from", "_upto").select(*rows.columns)
         if self.checked:
-            here = settings.join(rows.select(*KEYS).distinct(), KEYS, "left_semi") if SEG in rows.columns else settings
-            rows = self.screen(rows, quality.trim_violations(rows, here, KEYS))
+            rows = self.screen(rows, quality.trim_violations(rows, settings, KEYS))
         final = rows.join(
             settings.select(*KEYS, "trim_left", "trim_right", "prefactor_x", "prefactor_y"), KEYS
         )
@@ -236,36 +247,36 @@ def run_template(
     settings = resolve_settings(work, overrides, template.global_settings)
 
     lines = read_lines(spark, base, [f["source"] for f in template.files])
-    names = columns(lines)
+    names = cut(columns(lines))
     renamed = rename_columns(names, template.renames)
     rows = data_rows(lines, drop_first_row)
-    counted = numbered_rows(rows, max_rows)
-    located = locate_pairs(work, renamed.drop("clash"))
-    samples = extract_pairs(rows, located, KEYS)
+    located = cut(locate_pairs(work, renamed.drop("clash")))
 
     analysis = Analysis(
         template.fft, strict, store, template.project["format"] == "csv", max_rows
     )
+    # rows are numbered, for the messages, only when there is a bad one
+    counted = rows.limit(0).withColumn("row", F.lit(0).cast("bigint"))
+    if not suspicious_rows(rows, names).isEmpty():
+        counted = numbered_rows(rows, max_rows)
     file_errors = quality.file_violations(
         names, renamed, arity_problems(counted, names), bad_tokens(counted)
     )
     if strict:
         quality.raise_on_errors(file_errors)
     else:
-        failed = file_errors.where(F.col("severity") == "error").select(
-            F.col("key").alias("source")
-        )
-        located = located.join(failed, "source", "left_anti")
-        samples = extract_pairs(rows, located, KEYS)
+        failed = file_errors.where("severity = 'error'").selectExpr("key AS source")
+        located = cut(located.join(failed, "source", "left_anti"))
+    samples = extract_pairs(rows, located, KEYS)
     analysis._found += [file_errors, quality.settings_violations(settings, KEYS, template.fft is not None)]
     unmatched = unmatched_overrides(overrides, work)
     analysis._found.append(
         quality.check(unmatched, ["dest", "variable"], [("V33", F.lit(True), "override target does not exist")])
     )
-    samples = analysis.screen(samples, quality.pair_violations(located, samples, KEYS))
     # a pair whose columns are missing is skipped
     present = located.where("x_found AND y_found").select(*KEYS)
     settings = settings.join(present, KEYS, "left_semi")
+    analysis.pairs = located
 
     result = analysis.run(samples, settings)
     ends = _processed_ends(result)

@@ -144,6 +144,14 @@ def bad_tokens(rows: DataFrame) -> DataFrame:
     return tokens.where(~is_number(F.col("token")))
 
 
+def suspicious_rows(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Data rows with an arity or number problem, found without numbering."""
+    headers = names.groupBy("source").agg(F.count(F.lit(1)).alias("n_headers"))
+    wrong = F.size("tokens") != F.coalesce("n_headers", F.lit(0))
+    bad = F.exists("tokens", lambda t: ~is_number(t))
+    return rows.join(headers, "source", "left").where(wrong | bad).drop("n_headers")
+
+
 def duplicate_headers(names: DataFrame) -> DataFrame:
     """Names that occur more than once in a header."""
     counted = names.groupBy("source", "column").agg(F.count(F.lit(1)).alias("times"))
