@@ -30,7 +30,7 @@ from ondula.operators.sweep import sweep_series
 from ondula.plans.catalog import catalog, explode_tags, summary, tag_values
 from ondula.plans.settings import resolve_settings, unmatched_overrides, work_list
 from ondula.plans.template import Template
-from ondula.session import cut
+from ondula.session import broadcast_if_small, cut
 from ondula.sinks.stages import read_stage, write_csv, write_stage
 from ondula.sources.text import (
     arity_problems,
@@ -100,7 +100,7 @@ class Analysis:
 
     def run(self, samples: DataFrame, settings: DataFrame) -> Result:
         # one row per series, read by every stage
-        settings = cut(settings)
+        settings = broadcast_if_small(cut(settings))
         unprocessed = self.keep(samples, "unprocessed")
         if self.pairs is not None:
             unprocessed = self.screen(
@@ -133,7 +133,7 @@ class Analysis:
         else:
             counted = [p.join(automatic, KEYS, "left_semi") for p in parts]
             stats = cut(interp_stats(_union([min_dx_length(p, KEYS) for p in counted])))
-        settings = cut(with_grid_length(settings, stats))
+        settings = broadcast_if_small(cut(with_grid_length(settings, stats)))
         if self.checked:
             settings = self.screen(settings, quality.grid_violations(settings, KEYS))
         plans = settings.where("interpolation IS NOT NULL").selectExpr(

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows (of some hundred bytes) that every executor may hold a copy of.
+BROADCAST_ROWS = 50_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -31,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a table of narrow rows for broadcast when counting shows it is
+    small; a larger one joins by shuffle, where AQE splits hot keys."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        return df
+    return F.broadcast(df)
+
+
 def sql_value(value, dtype: str = "double") -> str:
     """SQL for a parameter: a Python value, ``None``, or a SQL expression over
     the columns of the series (most often just a column name)."""
