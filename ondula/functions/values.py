@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The spellings of a decimal float that a data file may use.
-DECIMAL_FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-SPECIAL_FLOAT = r"^[+-]?(?i:nan|inf|infinity)$"
+DECIMAL = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+SPECIAL = r"[+-]?(?i:nan|inf|infinity)"
 
 # White space trimmed around a line, and separating data tokens.
 LINE_SPACE = (
@@ -23,13 +23,16 @@ LENGTH_PER_VARIABLE = "minvar"
 
 def is_number(token: Column) -> Column:
     """True when the token is a float; Java suffixes such as ``1.5f`` are not."""
-    return token.rlike(DECIMAL_FLOAT) | token.rlike(SPECIAL_FLOAT)
+    return token.rlike(f"^(?:{DECIMAL}|{SPECIAL})$")
 
 
 def to_double(token: Column) -> Column:
     """Parse a token, giving NULL when :func:`is_number` is false."""
-    unsigned_nan = F.regexp_replace(token, r"^[+-](?i:nan)$", "nan")
-    return F.when(is_number(token), unsigned_nan.try_cast("double"))
+    return (
+        F.when(token.rlike(f"^{DECIMAL}$"), token.try_cast("double"))
+        .when(token.rlike("^[+-]?(?i:nan)$"), F.lit(float("nan")))
+        .when(token.rlike(f"^{SPECIAL}$"), token.try_cast("double"))
+    )
 
 
 def trim_line(line: Column) -> Column:
@@ -42,9 +45,19 @@ def header_tokens(line: Column) -> Column:
     return F.filter(names, lambda t: t != "")
 
 
+def has_number(line: Column) -> Column:
+    """True when any TAB-separated token of the line is a number. One pattern
+    over the line: this runs on every line of every file."""
+    space = LINE_SPACE.replace("\t", "")
+    return line.rlike(f"(?:^|\t)[{space}]*(?:{DECIMAL}|{SPECIAL})[{space}]*(?:\t|\\z)")
+
+
 def data_tokens(line: Column) -> Column:
     """Tokens split on ASCII white space."""
-    return F.filter(F.split(trim_line(line), TOKEN_SPACE), lambda t: t != "")
+    trimmed = trim_line(line)
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
+        F.split(trimmed, TOKEN_SPACE)
+    )
 
 
 def is_finite(c: Column) -> Column:

@@ -21,6 +21,8 @@ from ondula.functions.transforms import FourStep, batch_transform, first_step, s
 from ondula.operators.segments import explode_range, with_stats
 from ondula.session import sql_value
 
+# Columns that the spectra add, which keys can't be called.
+RESERVED = {"k", "r", "y", "dt", "n_data", "frequency", "amplitude", "sweep_index"}
 # Longest transform that one task does in one piece (8 MB of doubles).
 GROUPED_MAX = 1 << 20
 
@@ -73,6 +75,8 @@ def spectrum(
     """
     if n_fft < 2 or n_fft & (n_fft - 1):
         raise ValueError("the transform length must be a power of two")
+    if RESERVED & set(keys):
+        raise ValueError(f"key columns may not be named {sorted(RESERVED & set(keys))}")
     if method == "auto":
         method = "grouped" if n_fft <= GROUPED_MAX else "split"
     route = {"grouped": _grouped, "split": _split, "bins": _bins}[method]

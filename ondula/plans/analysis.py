@@ -23,7 +23,7 @@ from ondula.operators.gridstats import (
 )
 from ondula.operators.impulse import impulse_filter
 from ondula.operators.resample import resample
-from ondula.operators.segments import MAX_ROWS, SEG, lay_out, spread
+from ondula.operators.segments import MAX_ROWS, SEG, lay_out, segmented, spread
 from ondula.operators.series import dedup_mean, invert_x, mask, scale_x, scale_y, trim
 from ondula.operators.spectrum import spectrum, windowed
 from ondula.operators.sweep import sweep_series
@@ -37,6 +37,7 @@ from ondula.sources.text import (
     bad_tokens,
     columns,
     data_rows,
+    header_ends,
     numbered_rows,
     read_lines,
     suspicious_rows,
@@ -81,42 +82,58 @@ class Analysis:
         write_stage(rows, self.store, stage, order)
         if self.csv and order == "x":
             write_csv(rows, f"{self.store}/csv", stage)
-        return read_stage(rows.sparkSession, self.store, stage).select(*rows.drop(SEG).columns)
+        kept = rows.drop(SEG)
+        return read_stage(kept.sparkSession, self.store, stage, kept.schema).select(*kept.columns)
 
-    def screen(self, rows: DataFrame, violations: DataFrame) -> DataFrame:
+    def screen(self, violations: DataFrame, *frames: DataFrame) -> list[DataFrame]:
         """Stop at errors, or go on without the series that have them."""
         self._found.append(violations)
-        if not self.checked:
-            return rows
         if self.strict:
             quality.raise_on_errors(violations)
-            return rows
-        return quality.drop_failed(rows, violations, KEYS)
+            return list(frames)
+        failed = cut(violations)
+        return [quality.drop_failed(frame, failed, KEYS) for frame in frames]
 
     def parts(self, rows: DataFrame) -> list[DataFrame]:
         """Short and, if there are any, segmented series, spread by key."""
         short, long = lay_out(rows, KEYS, max_rows=self.max_rows)
-        return [spread(part, KEYS) for part in (short, long) if part is not None]
+        if long is None:
+            return [spread(short, KEYS)]
+        long = spread(long, KEYS)
+        return [long] if short.isEmpty() else [spread(short, KEYS), long]
+
+    @staticmethod
+    def _own_settings(parts: list[DataFrame], settings: DataFrame) -> list[tuple]:
+        """Each part with the settings of its series."""
+        if len(parts) == 1:
+            return [(parts[0], settings)]
+        long_keys = cut(parts[1].select(*KEYS).distinct())
+        return [
+            (parts[0], settings.join(long_keys, KEYS, "left_anti")),
+            (parts[1], settings.join(long_keys, KEYS, "left_semi")),
+        ]
 
     def run(self, samples: DataFrame, settings: DataFrame) -> Result:
         # one row per series, read by every stage
         settings = broadcast_if_small(cut(settings))
         unprocessed = self.keep(samples, "unprocessed")
         if self.pairs is not None:
-            unprocessed = self.screen(
-                unprocessed, quality.pair_violations(self.pairs, unprocessed, KEYS)
-            )
+            found = quality.pair_violations(self.pairs, unprocessed, KEYS)
+            unprocessed, settings = self.screen(found, unprocessed, settings)
         stages = {"unprocessed": unprocessed}
         stages["raw"] = self.keep(dedup_mean(stages["unprocessed"], KEYS), "raw")
 
-        parts = [self._preprocess(part, settings) for part in self.parts(stages["raw"])]
+        parts = []
+        for part, own in self._own_settings(self.parts(stages["raw"]), settings):
+            parts.append(self._preprocess(part, own))
         preprocessed = self.keep(_union(parts), "preprocessed")
         if self.store is not None:
             # series have only become shorter: without long ones, none are now
-            parts = self.parts(preprocessed) if len(parts) > 1 else [spread(preprocessed, KEYS)]
+            any_long = any(segmented(part) for part in parts)
+            parts = self.parts(preprocessed) if any_long else [spread(preprocessed, KEYS)]
         if self.checked:
             found = quality.preprocessed_violations(preprocessed, settings, KEYS)
-            parts = [self.screen(part, found) for part in parts]
+            settings, *parts = self.screen(found, settings, *parts)
         stages["preprocessed"] = preprocessed
 
         inverted = settings.where("invert_x").select(*KEYS)
@@ -135,7 +152,7 @@ class Analysis:
             stats = cut(interp_stats(_union([min_dx_length(p, KEYS) for p in counted])))
         settings = broadcast_if_small(cut(with_grid_length(settings, stats)))
         if self.checked:
-            settings = self.screen(settings, quality.grid_violations(settings, KEYS))
+            (settings,) = self.screen(quality.grid_violations(settings, KEYS), settings)
         plans = settings.where("interpolation IS NOT NULL").selectExpr(
             *KEYS, "n AS _len", "interpolation", "derivative AS _der"
         )
@@ -179,7 +196,8 @@ class Analysis:
         masks = settings.agg(F.max(F.size("masks"))).first()[0] or 0
         for step in range(masks):
             if self.checked:
-                rows = self.screen(rows, quality.mask_violations(rows, settings, KEYS, step))
+                found = quality.mask_violations(rows, settings, KEYS, step)
+                rows, settings = self.screen(found, rows, settings)
             one = F.get("masks", F.lit(step))
             bounds = settings.select(
                 *KEYS, one["left"].alias("_from"), one["right"].alias("_upto")
@@ -187,7 +205,8 @@ class Analysis:
             with_bounds = rows.join(bounds, KEYS)
             rows = mask(with_bounds, KEYS, "_from", "_upto").select(*rows.columns)
         if self.checked:
-            rows = self.screen(rows, quality.trim_violations(rows, settings, KEYS))
+            found = quality.trim_violations(rows, settings, KEYS)
+            (rows,) = self.screen(found, rows)
         final = rows.join(
             settings.select(*KEYS, "trim_left", "trim_right", "prefactor_x", "prefactor_y"), KEYS
         )
@@ -247,10 +266,11 @@ def run_template(
     settings = resolve_settings(work, overrides, template.global_settings)
 
     lines = read_lines(spark, base, [f["source"] for f in template.files])
-    names = cut(columns(lines))
+    ends = broadcast_if_small(cut(header_ends(lines)))
+    names = cut(columns(lines, ends))
     renamed = rename_columns(names, template.renames)
-    rows = data_rows(lines, drop_first_row)
-    located = cut(locate_pairs(work, renamed.drop("clash")))
+    rows = data_rows(lines, drop_first_row, ends)
+    located = broadcast_if_small(cut(locate_pairs(work, renamed.drop("clash"))))
 
     analysis = Analysis(
         template.fft, strict, store, template.project["format"] == "csv", max_rows

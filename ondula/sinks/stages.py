@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ondula.operators.segments import MAX_ROWS, SEG, lay_out, segmented
 
@@ -29,8 +30,12 @@ def write_stage(rows: DataFrame, path: str, stage: str, order: str = "x") -> Non
     )
 
 
-def read_stage(spark: SparkSession, path: str, stage: str) -> DataFrame:
-    stored = spark.read.parquet(f"{path}/stage={stage}")
+def read_stage(
+    spark: SparkSession, path: str, stage: str, schema: StructType | None = None
+) -> DataFrame:
+    """Read a stage back. A schema is needed for a stage that may be empty."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    stored = reader.parquet(f"{path}/stage={stage}")
     return stored.withColumn("variable", F.col("variable").cast("string"))
 
 

@@ -7,12 +7,13 @@ huge file spreads over many tasks; nothing gathers a file in one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ondula.functions.names import natural_key
-from ondula.functions.values import data_tokens, header_tokens, is_number, to_double
+from ondula.functions.values import data_tokens, has_number, header_tokens, is_number, to_double
 from ondula.operators.segments import MAX_ROWS, by_length, with_row_index
+from ondula.session import cut
 
 
 def read_lines(spark: SparkSession, base: str, sources: list[str] | str) -> DataFrame:
@@ -39,24 +40,20 @@ def read_lines(spark: SparkSession, base: str, sources: list[str] | str) -> Data
     )
 
 
-def _any_number(line: Column) -> Column:
-    return F.exists(header_tokens(line), is_number)
-
-
 def header_ends(lines: DataFrame) -> DataFrame:
     """Per source, the position of the first line with a numeric token, NULL
     when there is none. Lines before it are header lines."""
     return lines.groupBy("source").agg(
-        F.min(F.when(_any_number(F.col("line")), F.col("pos"))).alias("first_numeric")
+        F.min(F.when(has_number(F.col("line")), F.col("pos"))).alias("first_numeric")
     )
 
 
-def columns(lines: DataFrame) -> DataFrame:
+def columns(lines: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Header names (source, idx, column); successive header lines concatenate.
 
     Names of sources without any data have no idx: nothing is numbered there.
     """
-    located = lines.join(header_ends(lines), "source")
+    located = lines.join(header_ends(lines) if ends is None else ends, "source")
     header = located.where(
         F.col("first_numeric").isNull() | (F.col("pos") < F.col("first_numeric"))
     )
@@ -72,12 +69,14 @@ def columns(lines: DataFrame) -> DataFrame:
     return numbered.unionByName(unnumbered).select("source", "idx", "column")
 
 
-def data_rows(lines: DataFrame, drop_first_row: bool = True) -> DataFrame:
+def data_rows(
+    lines: DataFrame, drop_first_row: bool = True, ends: DataFrame | None = None
+) -> DataFrame:
     """Data lines as tokens (source, pos, tokens).
 
     The first numeric line is dropped unless ``drop_first_row`` is false.
     """
-    located = lines.join(header_ends(lines), "source")
+    located = lines.join(header_ends(lines) if ends is None else ends, "source")
     beyond = F.col("pos") > F.col("first_numeric")
     if not drop_first_row:
         beyond = F.col("pos") >= F.col("first_numeric")
@@ -93,9 +92,10 @@ def numbered_rows(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 def cells(lines: DataFrame, drop_first_row: bool = True, max_rows: int = MAX_ROWS) -> DataFrame:
     """Long form (source, row, column, value)."""
-    rows = numbered_rows(data_rows(lines, drop_first_row), max_rows)
+    ends = cut(header_ends(lines))
+    rows = numbered_rows(data_rows(lines, drop_first_row, ends), max_rows)
     tokens = rows.select("source", "row", F.posexplode("tokens").alias("idx", "_token"))
-    return tokens.join(columns(lines), ["source", "idx"]).select(
+    return tokens.join(columns(lines, ends), ["source", "idx"]).select(
         "source", "row", "column", to_double(F.col("_token")).alias("value")
     )
 
