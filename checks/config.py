@@ -252,10 +252,10 @@ def customer_settings(spark, d):
 
 SETTLED = """
     SELECT 'c/' || c_custkey AS dest, variable, c_nationkey,
-           CASE WHEN c_nationkey = 3 AND variable = 'Vb' THEN 5.0
+           CASE WHEN c_nationkey = 3 AND variable = 'Vb' THEN CAST(5.0 AS DOUBLE)
                 WHEN c_acctbal < 0 THEN c_acctbal ELSE 1.5 END AS trim_left,
            CASE WHEN c_acctbal < 0 THEN 1 WHEN variable = 'Va' THEN 2 ELSE 0 END AS derivative,
-           CASE WHEN c_nationkey = 3 AND variable = 'Vb' THEN -1.0
+           CASE WHEN c_nationkey = 3 AND variable = 'Vb' THEN CAST(-1.0 AS DOUBLE)
                 WHEN variable = 'Va' THEN 0.5 ELSE 1.0 END AS prefactor_x
     FROM customer, (VALUES ('Va'), ('Vb')) AS v(variable)"""
 register(
@@ -566,7 +566,7 @@ register(
     CATALOG,
     lambda spark, d: customer_catalog(spark, d).selectExpr(
         "project", "variable", "file", "stage", "format", "path", "x_label", "y_label",
-        "CAST(tags['nation'] AS bigint) AS nation",
+        "CAST(tags['nation'] AS int) AS nation",
     ),
 )
 register(
