@@ -151,11 +151,11 @@ register(
     "dup_headers",
     f"""SELECT source, "column", count(*) AS times
         FROM (SELECT source, "column" FROM ({COLUMNS}) UNION ALL
-              SELECT DISTINCT event_type, 'value' FROM events WHERE user_id % 2 = 0)
+              SELECT DISTINCT event_type, 'value' FROM events)
         GROUP BY source, "column" HAVING count(*) > 1""",
     lambda spark, d: text.duplicate_headers(
         text.columns(lines(spark, d)).select("source", "column").unionByName(
-            table(spark, d, "events").where("user_id % 2 = 0")
+            table(spark, d, "events")
             .selectExpr("event_type AS source", "'value' AS column").distinct()
         )
     ),
@@ -200,13 +200,14 @@ register(
 )
 register(
     "extract_from_cells",
-    f"""SELECT 'Va' AS variable, 'dir/' || source AS file,
+    f"""SELECT variable, 'dir/' || source AS file,
                max(CASE WHEN "column" = 'time (h)' THEN value END) AS x,
-               max(CASE WHEN "column" = 'value' THEN value END) AS y
-        FROM ({CELLS}) GROUP BY source, row""",
+               max(CASE WHEN "column" = y_col THEN value END) AS y
+        FROM ({CELLS}), (VALUES ('Va', 'value'), ('Vb', 'user')) AS v(variable, y_col)
+        GROUP BY variable, source, row""",
     lambda spark, d: extract_from_cells(
         text.cells(lines(spark, d)),
-        text_work(spark, d).where("variable = 'Va'").withColumn("x_col", F.lit("time (h)")),
+        text_work(spark, d).withColumn("x_col", F.lit("time (h)")),
         ["variable", "file"],
     ),
 )
@@ -447,21 +448,21 @@ register(
 register(
     "violations_pairs",
     """SELECT 'P' || p_partkey AS key,
-              CASE WHEN p_size % 5 = 0 THEN 'V06' WHEN n < 2 THEN 'V07'
+              CASE WHEN p_size > 40 THEN 'V06' WHEN n < 2 THEN 'V07'
                    WHEN bad > 0 THEN 'V08' ELSE 'V09' END AS code,
-              CASE WHEN p_size % 5 = 0 THEN 'warn' ELSE 'error' END AS severity
+              CASE WHEN p_size > 40 THEN 'warn' ELSE 'error' END AS severity
        FROM part LEFT JOIN (
          SELECT l_partkey, count(*) AS n, count(*) FILTER (l_quantity = 7) AS bad,
                 min(l_linenumber) AS lo, max(l_linenumber) AS hi
          FROM lineitem GROUP BY l_partkey) ON p_partkey = l_partkey
-       WHERE p_size % 5 = 0 OR coalesce(n, 0) < 2 OR bad > 0 OR lo = hi""",
+       WHERE p_size > 40 OR coalesce(n, 0) < 2 OR bad > 0 OR lo = hi""",
     lambda spark, d: only_codes(
         quality.pair_violations(
             table(spark, d, "part").selectExpr(
-                "'P' || p_partkey AS series", "p_size % 5 != 0 AS x_found", "true AS y_found"
+                "'P' || p_partkey AS series", "p_size <= 40 AS x_found", "true AS y_found"
             ),
             table(spark, d, "lineitem").join(
-                table(spark, d, "part").where("p_size % 5 != 0"),
+                table(spark, d, "part").where("p_size <= 40"),
                 F.expr("l_partkey = p_partkey"), "left_semi",
             ).selectExpr(
                 "'P' || l_partkey AS series", "CAST(l_linenumber AS double) AS x",
