@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def text_slices(
         if not batch.num_rows:
             continue
         values = batch.column(batch.schema.get_field_index(column))
-        sizes = np.asarray(pa.compute.binary_length(values).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(values).fill_null(0), dtype=np.int64)
         group = np.cumsum(sizes) // max_bytes
         cuts = np.flatnonzero(np.diff(group)) + 1
         edges = [0, *cuts.tolist(), batch.num_rows]
