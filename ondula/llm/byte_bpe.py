@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ondula.llm.common import ragged_take, text_slices
+from ondula.llm.common import Numbered, Ragged, is_latin, ragged_take, text_slices
 
 # Distinct chunks, and their characters, that a Python worker remembers; beyond
 # either it starts anew, which changes no result.
@@ -154,25 +154,6 @@ def replay(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]
     return symbol[:n][alive].astype(np.uint32), total[ends] - total[ends - sizes]
 
 
-class Ragged:
-    """A growing list of id arrays, end to end."""
-
-    def __init__(self) -> None:
-        self.flat = np.zeros(0, dtype=np.uint32)
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.lens = np.zeros(0, dtype=np.int64)
-
-    def add(self, flat: np.ndarray, lens: np.ndarray) -> None:
-        starts = len(self.flat) + np.cumsum(lens) - lens
-        self.flat = np.concatenate([self.flat, flat])
-        self.starts = np.concatenate([self.starts, starts])
-        self.lens = np.concatenate([self.lens, lens])
-
-    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lens = self.lens[index]
-        return ragged_take(self.flat, self.starts[index], lens), lens
-
-
 class Encoder:
     """Encodes texts through tables of the chunks met so far.
 
@@ -188,8 +169,10 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
+        self.fresh: list[tuple[str, str]] = []
+        number = [0]
+        self.first = Numbered("", self.fresh, number)
+        self.later = Numbered(" ", self.fresh, number)
         self.pieces: dict[str, int] = {}
         self.held = 0
         self.of_piece = Ragged()
@@ -197,20 +180,19 @@ class Encoder:
 
     def _cut(self, lead: str, chunk: str) -> list[str]:
         """The pieces of a chunk; plain words need no pattern."""
-        if chunk and max(chunk) < "\u0250":
+        if chunk and is_latin(chunk):
             if chunk.isalpha():
                 return [lead + chunk]
             if chunk[-1] in ",." and chunk[:-1].isalpha():
                 return [lead + chunk[:-1], chunk[-1]]
         return self.split(lead + chunk)
 
-    def _learn(self, later: set[str], first: set[str]) -> None:
-        """Encode chunks that have not been met."""
-        later, first = list(later), list(first)
-        cut = [self._cut(" ", c) for c in later]
-        cut += [self._cut("", c) for c in first]
+    def _learn(self) -> None:
+        """Encode the chunks that have been numbered since the last time."""
+        cut = [self._cut(lead, chunk) for lead, chunk in self.fresh]
         new = list({p for ps in cut for p in ps if p not in self.pieces})
-        self.held += sum(map(len, later)) + sum(map(len, first)) + sum(map(len, new))
+        self.held += sum(len(c) for _, c in self.fresh) + sum(map(len, new))
+        self.fresh.clear()
         self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new))))
         data = [p.encode() for p in new]
         whole = np.array([self.merges.ranks.get(p, -1) for p in data], dtype=np.int64)
@@ -228,59 +210,42 @@ class Encoder:
         flat, lens = self.of_piece.take(index)
         total = np.concatenate([[0], np.cumsum(lens)])
         ends = np.cumsum(counts)
-        base = len(self.of_chunk.lens)
         self.of_chunk.add(flat, total[ends] - total[ends - counts])
-        self.later.update(zip(later, range(base, base + len(later))))
-        self.first.update(zip(first, range(base + len(later), base + len(cut))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""
         if len(self.of_chunk.lens) > CACHE_CHUNKS or self.held > CACHE_CHARS:
             self.forget()
-        plan: list[tuple[list[str], list[str]]] = []  # first chunk, later chunks
-        counts = []
-        for text in texts:
-            n = len(plan)
-            if text:
-                lines = text.split("\n")
-                if (
-                    "" in lines
-                    or "  " in text
-                    or " \n" in text
-                    or "\n " in text
-                    or text[0] == " "
-                    or text[-1] == " "
-                    or OTHER_SPACE.search(text)
-                ):
-                    plan.extend((piece, []) for piece in self.split(text))
-                else:
-                    for k, line in enumerate(lines):
-                        if k:
-                            plan.append(("\n", []))
-                        head, *rest = line.split(" ")
-                        plan.append((head, rest))
-            counts.append(len(plan) - n)
-        first, later = {p[0] for p in plan}, set()
-        for p in plan:
-            later.update(p[1])
-        first.difference_update(self.first)
-        later.difference_update(self.later)
-        if first or later:
-            self._learn(later, first)
         index: list[int] = []
         sizes = []
-        get_first, get_later = self.first.__getitem__, self.later.__getitem__
-        at = 0
-        for n in counts:
+        first, later = self.first.__getitem__, self.later.__getitem__
+        for text in texts:
             size = len(index)
-            for head, rest in plan[at : at + n]:
-                index.append(get_first(head))
-                index.extend(map(get_later, rest))
+            lines = text.split("\n") if text else []
+            if text and (
+                "" in lines
+                or "  " in text
+                or " \n" in text
+                or "\n " in text
+                or text[0] == " "
+                or text[-1] == " "
+                or OTHER_SPACE.search(text)
+            ):
+                index.extend(map(first, self.split(text)))
+            else:
+                for k, line in enumerate(lines):
+                    if k:
+                        index.append(first("\n"))
+                    chunks = line.split(" ")
+                    index.append(first(chunks[0]))
+                    del chunks[0]
+                    index.extend(map(later, chunks))
             sizes.append(len(index) - size)
-            at += n
+        if self.fresh:
+            self._learn()
         ids, lens = self.of_chunk.take(np.array(index, dtype=np.int64))
         ends = np.concatenate([[0], np.cumsum(lens)])
-        edges = ends[np.concatenate([[0], np.cumsum(sizes)])]
+        edges = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
         return ids, np.diff(edges)
 
 

@@ -69,3 +69,48 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.nd
         return flat[:0]
     before = np.cumsum(lens) - lens
     return flat[np.repeat(starts - before, lens) + np.arange(total)]
+
+
+class Numbered(dict):
+    """Numbers keys in the order they are first asked for; ``fresh`` gathers
+    (lead, key) of new ones. Tables that share ``fresh`` share the numbers."""
+
+    def __init__(self, lead: str, fresh: list[tuple[str, str]], base: list[int]):
+        super().__init__()
+        self.lead, self.fresh, self.base = lead, fresh, base
+
+    def __missing__(self, key: str) -> int:
+        self.fresh.append((self.lead, key))
+        n = self[key] = self.base[0]
+        self.base[0] = n + 1
+        return n
+
+
+class Ragged:
+    """A growing list of id arrays, end to end."""
+
+    def __init__(self) -> None:
+        self.flat = np.zeros(0, dtype=np.uint32)
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.lens = np.zeros(0, dtype=np.int64)
+
+    def add(self, flat: np.ndarray, lens: np.ndarray) -> None:
+        starts = len(self.flat) + np.cumsum(lens) - lens
+        self.flat = np.concatenate([self.flat, flat])
+        self.starts = np.concatenate([self.starts, starts])
+        self.lens = np.concatenate([self.lens, lens])
+
+    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lens = self.lens[index]
+        return ragged_take(self.flat, self.starts[index], lens), lens
+
+
+def is_latin(text: str) -> bool:
+    """No character above U+00FF."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True

@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.llm import byte_bpe, sharding
+from ondula.llm import byte_bpe, classifier, sharding, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS = 40
+END_ID = 2
 
 
 def query(f):
@@ -23,6 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_files(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("word_bpe_49k.json"),
+        END_ID,
+    )
+
+
+@query
+def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 @query
 def op9_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
