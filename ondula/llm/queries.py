@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.llm import byte_bpe, classifier, sharding, tokens
+from ondula.llm import byte_bpe, classifier, rules, secrets, sharding, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,27 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+    def kind(k: int) -> Column:
+        n = F.size(F.filter("base", lambda s: s["kind"] == k))
+        return n.cast("long").alias(f"n_{secrets.KINDS[k]}")
+
+    return found.select(
+        "doc_id",
+        *[kind(k) for k in range(3)],
+        F.sha2(secrets.spans_text("base"), 256).alias("base_sha256"),
+        secrets.spans_text("spans").alias("spans"),
+    )
+
+
+@query
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.clean_lines(table(spark, sf_dir, "documents")).drop("lost_chars", "cleaned")
+
+
 @query
 def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality(
