@@ -18,7 +18,7 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Bytes of text that a Python task holds as arrays at a time; a longer single
 # text is still handled whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = (2 << 20) - (1 << 16)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.llm import byte_bpe, classifier, decontaminate, rules, secrets, sharding, tokens
+from ondula.llm import byte_bpe, classifier, decontaminate, repeats, rules, secrets, sharding, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -101,6 +101,33 @@ def op4_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), digest=True).drop("spans")
+
+
+ORACLES["op5_block_anchors"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13)
+), f AS (
+  SELECT doc_id, s, min(doc_id) OVER (PARTITION BY g) AS m FROM g
+), r AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS p FROM f WHERE m < doc_id
+), k AS (
+  SELECT t.doc_id, count(r.p) AS n_removed,
+         string_agg(t.x, ' ' ORDER BY t.p) FILTER (r.p IS NULL) AS kept
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) t
+  LEFT JOIN r USING (doc_id, p) GROUP BY t.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 @query
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.clean_lines(table(spark, sf_dir, "documents")).drop("lost_chars", "cleaned")

@@ -27,7 +27,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, _FACTOR, dtype=np.uint64)
     down = np.full(n, pow(_FACTOR, -1, 1 << 64), dtype=np.uint64)
@@ -49,8 +49,7 @@ class Words:
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A hash of every word's bytes: a polynomial from prefix sums."""
         n = len(self.data)
-        size = 1 << max(20, n.bit_length())
-        up, down = _powers(size)
+        up, down = _powers(((n >> 21) + 1) << 21)
         data = _LOWER[self.data] if lower else self.data
         prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_VALUE[data] * up[:n], out=prefix[1:])
