@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.llm import byte_bpe, classifier, decontaminate, repeats, rules, secrets, sharding, tokens
+from ondula.llm import byte_bpe, classifier, decontaminate, repeats, rules, secrets, sharding, similar, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -140,6 +140,11 @@ def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_combination_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar(table(spark, sf_dir, "documents"), 3, 90).drop("_tag")
+
+
 @query
 def op9_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
