@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.llm import byte_bpe, classifier, decontaminate, repeats, rules, secrets, sharding, similar, tokens
+from ondula.llm import byte_bpe, classifier, decontaminate, html, repeats, rules, secrets, sharding, similar, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +85,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(table(spark, sf_dir, "documents"))
