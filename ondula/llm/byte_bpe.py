@@ -307,10 +307,16 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         path,
         pattern,
         "doc_id long, ids array<int>",
-        lambda ids, _: [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))],
+        lambda ids, _: [_lists(ids)],
     )
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *[len(x) for x in ids]]).astype(np.int32)
+    flat = np.concatenate(ids) if ids else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Bytes of every row of ``encode``: doc_id, bytes. A null array is empty."""
 
@@ -328,6 +334,27 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """As ``encode``, with n_tokens and exact, whether decoding the ids gives
+    the text's bytes again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = codec(path, pattern)
+        for part in text_slices(batches, "text", BLOCK_BYTES):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            flat, counts = encoder.encode(texts)
+            ids = np.split(flat, np.cumsum(counts)[:-1])
+            exact = [decoder.decode(x) == t.encode() for x, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(counts), pa.array(exact), _lists(ids)],
+                ["doc_id", "n_tokens", "exact", "ids"],
+            )
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(
+        run, "doc_id long, n_tokens long, exact boolean, ids array<int>"
+    )
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256 (ids as
     little-endian unsigned 32-bit integers), decoded_sha256."""

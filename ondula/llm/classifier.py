@@ -207,3 +207,13 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(described, model).select(
         "doc_id", held_out().alias("held_out"), "score", "predicted"
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be good, with all their
+    columns. Fitted as ``quality`` is; without labels of both classes all
+    rows stay."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = fit(describe(ids.where(~held_out()), ["doc_id"]), labels)
+    rows = docs.select("text", F.struct("*").alias("_row"))
+    return scored(describe(rows, ["_row"]), model).where("predicted = 1").select("_row.*")

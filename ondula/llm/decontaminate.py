@@ -204,3 +204,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce("_spans", F.expr(none.format("struct<start:int,stop:int>"))).alias("spans"),
         plain["_th"],
     )
+
+
+def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a benchmark window, with all columns."""
+    hit = stored(
+        contamination(docs, benchmark).where("n_hit > 0").select("doc_id", "_th").distinct(),
+        "contaminated",
+    )
+    hit = broadcast_if_small(hit, BROADCAST_ROWS)
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("text").alias("_th"),
+        F.struct("*").alias("_row"),
+    )
+    return rows.join(hit, _same_row(rows, hit), "left_anti").select("_row.*")

@@ -27,12 +27,16 @@ def bucket_count(docs: DataFrame) -> int:
     return int(max(16, total // BUCKET_BYTES))
 
 
+def repeated(rows: DataFrame) -> bool:
+    """Whether an id occurs in more than one row."""
+    return bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """``_id`` (null ids first) and ``_tag``, which tells rows of one id apart:
     0 if no id repeats, else a hash of the text. Keeps ``text`` and doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    repeats = rows.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    tag = F.xxhash64("text") if repeats else F.lit(0).cast("long")
+    tag = F.xxhash64("text") if repeated(rows) else F.lit(0).cast("long")
     return rows.select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), tag.alias("_tag"), "text", "doc_id"
     )

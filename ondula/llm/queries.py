@@ -147,7 +147,7 @@ def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_combination_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.similar(table(spark, sf_dir, "documents"), 3, 90).drop("_tag")
+    return similar.similar(table(spark, sf_dir, "documents"), 3, 90)
 
 
 @query

@@ -223,13 +223,14 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     Returns doc_id, text, base, spans: arrays of (start, kind, stop) by start,
     then kind (an index of KINDS); code points, end exclusive.
     """
-    spark = docs.sparkSession
-    table = train(random_strings(spark).unionByName(ordinary_strings(docs)))
-    texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        "text",
-        F.coalesce(F.col("text"), F.lit("")).alias("_text"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _marked(rows)
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """Add base and spans to rows with a column text."""
+    table = train(random_strings(rows.sparkSession).unionByName(ordinary_strings(rows)))
+    texts = rows.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
     based = base_spans(texts).withColumn("_table", F.array(*[F.lit(x) for x in table]))
     # the stretches between assignments, each with its first position
     stretches = (
@@ -252,8 +253,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
         "_added", F.when(F.col("_text").rlike(digits), F.expr(added))
     )
     return spans.select(
-        "doc_id",
-        "text",
+        *rows.columns,
         F.col("_base").alias("base"),
         F.sort_array(F.concat("_base", F.coalesce(F.col("_added"), _none()))).alias("spans"),
     )
@@ -292,3 +292,14 @@ def redact(found: DataFrame) -> DataFrame:
             F.expr(f"array_join({pieces}, '{PLACEHOLDER}')")
         ),
     ).drop("_merged")
+
+
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """``docs`` with the secrets in ``text`` replaced, and ``n_chars``, if
+    there is one, counted anew; all rows and columns stay."""
+    rows = docs.select("text", F.struct("*").alias("_row"))
+    clean = redact(_marked(rows))
+    new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    return clean.select(
+        *[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns]
+    )

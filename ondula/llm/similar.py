@@ -418,6 +418,25 @@ class _Join:
         )
 
 
+def _placed(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """For identified rows: _id, _tag, n, and _least, the first row (_id,
+    _tag) of the component."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50")
+    join = _Join(rows, k, percent)
+    roots = components(join.run())
+    labelled = join.classes.where("n > 0").join(
+        roots.withColumnRenamed("node", "sid"), "sid", "left"
+    ).select("sid", F.coalesce("root", "sid").alias("root"), F.col("first").alias("_first"))
+    least = labelled.groupBy("root").agg(F.min("_first").alias("_least"))
+    named = labelled.join(least, "root").select("sid", "_least")
+    empty = join.described.where("n = 0").select(
+        "_id", "_tag", "n", F.struct("_id", "_tag").alias("_least")
+    )
+    full = join.described.where("n > 0").join(named, "sid").select("_id", "_tag", "n", "_least")
+    return empty.union(full)
+
+
 def similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Link documents whose sets of distinct k-word shingles have
     100 * intersection >= percent * union, and number their components.
@@ -428,25 +447,35 @@ def similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
     for shingles and for sets. A null id is smaller than all others; rows that
     share an id are texts of their own; other columns are left out.
 
-    Returns doc_id, n_shingles, component_id (the least doc_id reachable),
-    _tag (tells rows of one id apart).
+    Returns doc_id, n_shingles, component_id (the least doc_id reachable).
     """
-    if not 50 < percent <= 100:
-        raise ValueError("percent must be above 50")
-    rows = packed.identified(docs)
-    join = _Join(rows, k, percent)
-    roots = components(join.run())
-    labelled = join.classes.where("n > 0").join(
-        roots.withColumnRenamed("node", "sid"), "sid", "left"
-    ).select("sid", F.coalesce("root", "sid").alias("root"), F.col("first._id").alias("_first"))
-    least = labelled.groupBy("root").agg(F.min("_first").alias("_least"))
-    named = labelled.join(least, "root").select("sid", "_least")
-    empty = join.described.where("n = 0").select("_id", "_tag", "n", F.col("_id").alias("_least"))
-    full = join.described.where("n > 0").join(named, "sid").select("_id", "_tag", "n", "_least")
     real = lambda c: F.when(F.col(c) != packed.NO_ID, F.col(c))
-    return empty.union(full).select(
+    return _placed(packed.identified(docs), k, percent).select(
         real("_id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        real("_least").alias("component_id"),
-        "_tag",
+        real("_least._id").alias("component_id"),
+    )
+
+
+def first_of_each(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``docs`` without the rows that are near copies: of each component the
+    row with the least doc_id stays (of several with that id, the one with the
+    least text hash; of rows equal in both, one), with all columns. Rows
+    without words stay, but for repeated ones."""
+    rows = packed.identified(docs.select("doc_id", "text"))
+    extra = stored(
+        _placed(rows, k, percent)
+        .where("_id <> _least._id OR _tag <> _least._tag")
+        .select("_id", "_tag")
+        .distinct(),
+        "near-copies",
     )
+    again = packed.repeated(rows)
+    kept = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(packed.NO_ID)).alias("_id"),
+        (F.xxhash64("text") if again else F.lit(0).cast("long")).alias("_tag"),
+        F.struct("*").alias("_row"),
+    ).join(broadcast_if_small(extra, BROADCAST_ROWS), ["_id", "_tag"], "left_anti")
+    if again:
+        kept = kept.dropDuplicates(["_id", "_tag"])
+    return kept.select("_row.*")
