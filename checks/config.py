@@ -29,8 +29,7 @@ from ondula.operators.columns import (
     rename_columns,
 )
 from ondula.operators.series import dedup_mean
-from ondula.operators.sweep import sweep_series
-from ondula.operators.spectrum import windowed
+from ondula.operators.sweep import sweep_domains
 from ondula.plans.analysis import Analysis
 from ondula.plans.catalog import catalog, read_back, tag_values
 from ondula.plans.settings import FIELDS, resolve_settings, unmatched_overrides, work_list
@@ -130,9 +129,7 @@ register(
 register(
     "arity_check",
     f"""SELECT source, row, CAST(len(tokens) AS INT) AS n_tokens, 5 AS n_headers,
-               CASE WHEN len(tokens) < 5 THEN 'missing column at line ' || row
-                    WHEN row = 0 THEN 'missing header(s)'
-                    ELSE 'missing header(s) or extra column(s) at line ' || row END AS detail
+               'row ' || row || ': ' || len(tokens) || ' tokens for 5 headers' AS detail
         FROM ({rows_sql(_DIRTY)}) WHERE len(tokens) <> 5""",
     lambda spark, d: text.arity_problems(
         text.numbered_rows(text.data_rows(lines(spark, d, _DIRTY))),
@@ -506,26 +503,46 @@ register(
     ),
 )
 
-_DOMAINS = f"""
-    SELECT CAST(series AS VARCHAR) || '/' || sweep_index AS series, max(n_data) AS n,
-           max(dt) AS dt FROM ({sweep_sql(unique(EH).join(('SELECT *, row_number() OVER (PARTITION BY series ORDER BY x) - 1 AS i FROM (', ')')), 'windows', 9)})
-    WHERE n_data > 1 GROUP BY series, sweep_index"""
+_INDEXED = unique(EH).join(
+    ("SELECT *, row_number() OVER (PARTITION BY series ORDER BY x) - 1 AS i FROM (", ")")
+)
+
+
+def domains_sql(steps: int) -> str:
+    """All windows of all series, with the samples that they hold."""
+    return f"""
+    SELECT CAST(e.series AS VARCHAR) || '/' || e.w AS series, e.series AS id, e.w AS sweep_index,
+           coalesce(c.n, 0) AS n, CASE WHEN c.n > 1 THEN c.dt END AS dt
+    FROM (SELECT DISTINCT series, unnest(range(0, {steps})) AS w FROM ({unique(EH)})) e
+    LEFT JOIN (SELECT series, sweep_index, max(n_data) AS n, max(dt) AS dt
+               FROM ({sweep_sql(_INDEXED, 'windows', steps)}) GROUP BY series, sweep_index) c
+    ON c.series = e.series AND c.sweep_index = e.w"""
+
+
+def domains(spark, d, steps):
+    return sweep_domains(dedup_mean(hourly(spark, d), KEYS), KEYS, "windows", steps)
+
+
+SPECTRUM_RULES = (
+    ("V17", "floor(0.05 * dt * 16.0) >= 9"),
+    ("V18", "0.06 * dt * 16.0 > 9"),
+    ("V19", "floor(0.05 * dt * 16.0) < 9 AND floor(0.05 * dt * 16.0) >= least(ceil(0.06 * dt * 16.0), 9)"),
+    ("V20", "n > 16"),
+    ("V32", "n < 2"),
+)
+for _name, _steps in (("violations_spectrum", 9), ("violations_spectrum_short", 150)):
+    register(
+        _name,
+        coded(rules_sql(domains_sql(_steps), *SPECTRUM_RULES)),
+        lambda spark, d, steps=_steps: only_codes(
+            quality.spectrum_violations(domains(spark, d, steps), KEYS, 16, 0.05, 0.06)
+        ),
+    )
 register(
-    "violations_spectrum",
-    coded(rules_sql(
-        _DOMAINS,
-        ("V17", "floor(0.05 * dt * 16.0) >= 9"),
-        ("V18", "0.06 * dt * 16.0 > 9"),
-        ("V19", "floor(0.05 * dt * 16.0) < 9 AND floor(0.05 * dt * 16.0) >= least(ceil(0.06 * dt * 16.0), 9)"),
-        ("V20", "n > 16"),
-    )),
-    lambda spark, d: only_codes(
-        quality.spectrum_violations(
-            windowed(
-                sweep_series(dedup_mean(hourly(spark, d), KEYS), KEYS, "windows", 9), KEYS
-            ).select(*KEYS, "sweep_index", "n_data", "dt").distinct(),
-            KEYS, 16, 0.05, 0.06,
-        )
+    "violations_windows",
+    f"SELECT id AS series, CAST(sweep_index AS INT) AS sweep_index, n AS n_data FROM ({domains_sql(150)}) WHERE n < 2",
+    lambda spark, d: domains(spark, d, 150).where("n_data < 2").select(
+        "series", "sweep_index", "n_data"
     ),
 )
 

@@ -462,6 +462,12 @@ register(
     dft_sql(FULL, 512, None, None),
     spectrum_query(events, 512, method="split"),
 )
+for _method in ("bins", "grouped", "split"):
+    register(
+        f"spectrum_negative_lower_{_method}",
+        dft_sql(FULL, 512, -0.02, 0.03),
+        spectrum_query(events, 512, lower=-0.02, upper=0.03, method=_method),
+    )
 for _sweep in ("lower", "upper", "windows"):
     register(
         f"sweep_{_sweep}",

@@ -1,8 +1,8 @@
 """Data and settings verification as rows.
 
-Every check returns violations (key, code, severity, detail). The reference
-stops at the first error; here ``raise_on_errors`` does, or ``drop_failed``
-leaves the failing series out.
+Every check returns violations (key, code, severity, detail, parts): ``key`` is
+for display, ``parts`` holds the key columns. ``raise_on_errors`` stops at
+errors, ``drop_failed`` leaves the failing series out.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ def key_text(keys: list[str]) -> Column:
     return F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
 
 
+def key_parts(keys: list[str]) -> Column:
+    return F.array(*[F.col(k).cast("string") for k in keys])
+
+
 def check(rows: DataFrame, keys: list[str], rules: list[tuple[str, Column, Column | str]]) -> DataFrame:
     """Violations of several (code, condition, detail) rules in one pass."""
     found = [
@@ -50,8 +54,10 @@ def check(rows: DataFrame, keys: list[str], rules: list[tuple[str, Column, Colum
         for code, condition, detail in rules
     ]
     return rows.select(
-        key_text(keys).alias("key"), F.explode(F.array_compact(F.array(*found))).alias("_v")
-    ).select("key", "_v.*")
+        key_text(keys).alias("key"),
+        key_parts(keys).alias("parts"),
+        F.explode(F.array_compact(F.array(*found))).alias("_v"),
+    ).select("key", "_v.*", "parts")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -64,7 +70,7 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 def nothing(rows: DataFrame) -> DataFrame:
     """An empty violations table."""
     return rows.sparkSession.createDataFrame(
-        [], "key string, code string, severity string, detail string"
+        [], "key string, code string, severity string, detail string, parts array<string>"
     )
 
 
@@ -77,8 +83,12 @@ def raise_on_errors(violations: DataFrame, shown: int = 20) -> None:
 
 
 def drop_failed(rows: DataFrame, violations: DataFrame, keys: list[str]) -> DataFrame:
-    failed = violations.where(F.col("severity") == "error").select("key").distinct()
-    return rows.withColumn("key", key_text(keys)).join(failed, "key", "left_anti").drop("key")
+    """Rows whose key columns, the first of the checked ones, have no error."""
+    failed = violations.where(F.col("severity") == "error").select(
+        F.slice("parts", 1, len(keys)).alias("_parts")
+    )
+    marked = rows.withColumn("_parts", key_parts(keys))
+    return marked.join(failed.distinct(), "_parts", "left_anti").drop("_parts")
 
 
 def file_violations(names: DataFrame, clashes: DataFrame, arity: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -87,12 +97,12 @@ def file_violations(names: DataFrame, clashes: DataFrame, arity: DataFrame, toke
     return union_all(
         [
             check(clashes, ["source"], [("V02", F.col("clash").isNotNull(),
-                  F.concat(F.lit("cannot rename to existing column "), F.col("clash")))]),
+                  F.concat(F.lit("new name taken: "), F.col("clash")))]),
             check(duplicates, ["source"], [("V03", F.col("times") > 1,
-                  F.concat(F.lit("duplicate header "), F.col("column")))]),
+                  F.concat_ws(" x ", F.col("times"), F.col("column")))]),
             check(arity, ["source"], [("V04", F.lit(True), F.col("detail"))]),
             check(tokens, ["source"], [("V05", F.lit(True),
-                  F.concat(F.lit("not a number: "), F.col("token")))]),
+                  F.concat(F.lit("token "), F.col("token")))]),
         ]
     )
 
@@ -114,11 +124,11 @@ def pair_violations(located: DataFrame, samples: DataFrame, keys: list[str]) ->
         located.join(sizes, keys, "left"),
         keys,
         [
-            ("V06", ~found, "x or y column does not exist"),
-            ("V07", found & (rows < 2), "less than 2 values"),
-            ("V08", F.col("bad") > 0, "non-finite values"),
+            ("V06", ~found, F.concat_ws(", ", F.when(~F.col("x_found"), F.lit("no x")), F.when(~F.col("y_found"), F.lit("no y")))),
+            ("V07", found & (rows < 2), F.concat(F.lit("rows: "), rows)),
+            ("V08", F.col("bad") > 0, F.concat(F.lit("NaN or infinite rows: "), F.col("bad"))),
             ("V09", (rows >= 2) & (F.col("bad") == 0) & (F.col("_lo") == F.col("_hi")),
-             "x does not change"),
+             F.concat(F.lit("all x = "), F.col("_lo"))),
         ],
     )
 
@@ -131,15 +141,15 @@ def settings_violations(settings: DataFrame, keys: list[str], has_fft: bool) ->
         settings,
         keys,
         [
-            ("V23", bad_tuning(F.col("impulse_tuning")), "impulse tuning must be positive"),
-            ("V23", bad_derivative(F.col("derivative")), "unsupported derivative"),
-            ("V23", ~is_length(length), "invalid interpolation length"),
-            ("V24", parse_length(length) < SMALL_LENGTH, "interpolation amount is probably too small"),
-            ("V25", off & F.col("invert_x"), "inverting x without interpolation"),
-            ("V26", off & (F.col("derivative") > 0), "derivative needs interpolation"),
-            ("V27", off & F.lit(has_fft), "spectrum of data that isn't uniformly sampled"),
+            ("V23", bad_tuning(F.col("impulse_tuning")), F.concat(F.lit("impulse_tuning = "), F.col("impulse_tuning"))),
+            ("V23", bad_derivative(F.col("derivative")), F.concat(F.lit("derivative = "), F.col("derivative"))),
+            ("V23", ~is_length(length), F.concat(F.lit("interpolation_n = "), length)),
+            ("V24", parse_length(length) < SMALL_LENGTH, F.concat(F.lit(f"below {SMALL_LENGTH}: interpolation_n = "), length)),
+            ("V25", off & F.col("invert_x"), "invert_x on an uneven grid"),
+            ("V26", off & (F.col("derivative") > 0), F.concat(F.lit("ignored: derivative = "), F.col("derivative"))),
+            ("V27", off & F.lit(has_fft), "fft on an uneven grid"),
             ("V28", (F.col("interpolation") == "linear") & (F.col("derivative") == 2),
-             "second derivative of linear interpolation is zero"),
+             "linear pieces: derivative 2 is 0"),
         ],
     )
 
@@ -151,7 +161,7 @@ def name_violations(files: DataFrame, column: str = "dest") -> DataFrame:
         repeated,
         [column],
         [
-            ("V21", F.col("times") > 1, "repeated file destination"),
+            ("V21", F.col("times") > 1, F.concat(F.lit("times: "), F.col("times"))),
             ("V22", name_problem(F.col(column)).isNotNull(), name_problem(F.col(column))),
         ],
     )
@@ -169,7 +179,7 @@ def mask_violations(before: DataFrame, settings: DataFrame, keys: list[str], ste
     outside = (one["left"] < F.col("_left")) | (one["right"] > F.col("_right"))
     masked = settings.where(F.size("masks") > step).select(*keys, "masks")
     return check(
-        _bounds(before, keys).join(masked, keys), keys, [("V10", outside, "mask outside the domain")]
+        _bounds(before, keys).join(masked, keys), keys, [("V10", outside, F.concat_ws(" ", F.lit("mask"), one["left"], one["right"], F.lit("beyond"), F.col("_left"), F.col("_right")))]
     )
 
 
@@ -187,12 +197,12 @@ def trim_violations(masked: DataFrame, settings: DataFrame, keys: list[str]) ->
         series,
         keys,
         [
-            ("V11", left.isNull() & (F.size("masks") > 0), "mask leaves an empty domain"),
-            ("V12", asked_left >= asked_right, "trimmed domain is empty or negative"),
-            ("V13", F.col("invert_x") & ((lo == 0) | (hi == 0)), "trim to zero with inverted x"),
-            ("V13", F.col("invert_x") & straddles, "inverted domain contains zero"),
-            ("V14", left > lo, "left trim is outside the domain"),
-            ("V14", right < hi, "right trim is outside the domain"),
+            ("V11", left.isNull() & (F.size("masks") > 0), F.concat(F.lit("nothing left by masks: "), F.size("masks"))),
+            ("V12", asked_left >= asked_right, F.concat_ws(" >= ", asked_left, asked_right)),
+            ("V13", F.col("invert_x") & ((lo == 0) | (hi == 0)), F.concat_ws(" .. ", F.lit("1/x at 0:"), lo, hi)),
+            ("V13", F.col("invert_x") & straddles, F.concat_ws(" .. ", F.lit("1/x across 0:"), lo, hi)),
+            ("V14", left > lo, F.concat_ws(" < ", lo, left)),
+            ("V14", right < hi, F.concat_ws(" > ", hi, right)),
         ],
     )
 
@@ -205,9 +215,9 @@ def preprocessed_violations(series: DataFrame, settings: DataFrame, keys: list[s
         left,
         keys,
         [
-            ("V15", rows == 0, "trim leaves an empty domain"),
-            ("V29", (rows > 0) & ~(F.col("_left") < F.col("_right")), "plot extent is not increasing"),
-            ("V31", rows == 1, "fewer than 2 samples are left"),
+            ("V15", rows == 0, "rows: 0"),
+            ("V29", (rows > 0) & ~(F.col("_left") < F.col("_right")), F.concat_ws(" >= ", F.col("_left"), F.col("_right"))),
+            ("V31", rows == 1, "rows: 1"),
         ],
     )
 
@@ -215,13 +225,14 @@ def preprocessed_violations(series: DataFrame, settings: DataFrame, keys: list[s
 def grid_violations(settings: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """Grids of fewer than two points."""
     short = F.col("interpolation").isNotNull() & (F.coalesce(F.col(n), F.lit(0)) < 2)
-    return check(settings, keys, [("V16", short, "too small after interpolation")])
+    return check(settings, keys, [("V16", short, F.concat(F.lit("n = "), F.coalesce(F.col(n), F.lit(0))))])
 
 
 def spectrum_violations(
-    domains: DataFrame, keys: list[str], n_fft: int, lower: float | None, upper: float | None
+    domains: DataFrame, keys: list[str], n_fft: int, lower: float | None = None,
+    upper: float | None = None,
 ) -> DataFrame:
-    """V17-V20 and V32 over sub-domains (keys, sweep_index, n_data, dt).
+    """V17-V20 and V32 over the rows of ``sweep_domains``.
 
     An inverted band gives no bins either, so it counts as empty. A transform
     shorter than its data is always an error.
@@ -235,12 +246,12 @@ def spectrum_violations(
         domains,
         [*keys, "sweep_index"],
         [
-            ("V17", too_high, "lower cutoff is above the Nyquist frequency"),
+            ("V17", too_high, F.concat_ws(" ", F.lit("first bin"), start, F.lit("of"), F.lit(bins))),
             ("V18", top * F.col("dt") * F.lit(float(n_fft)) > bins,
-             "upper cutoff is above the Nyquist frequency"),
-            ("V19", ~too_high & (start >= stop), "frequency band is empty"),
+             F.concat_ws(" ", F.lit("end above bin"), F.lit(bins))),
+            ("V19", ~too_high & (start >= stop), F.concat_ws(" .. ", F.lit("bins"), start, stop)),
             ("V20", (n > n_fft) | ((n == n_fft) & ~is_power_of_two(n)),
-             "data is longer than the transform"),
-            ("V32", n < 2, "sub-domain holds fewer than 2 samples"),
+             F.concat_ws(" > ", n, F.lit(n_fft))),
+            ("V32", n < 2, F.concat(F.lit("n_data = "), n)),
         ],
     )

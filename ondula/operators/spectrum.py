@@ -32,7 +32,7 @@ def windowed(swept: DataFrame, keys: list[str], center: bool = True, hann: bool
 
     Rows (keys, sweep_index, domain, n_data, dt, r, y), r being the 0-based
     position in the sub-domain and dt its first step. Sub-domains of fewer than
-    two samples have no step, and are left out.
+    two samples have no step and no rows here; ``sweep_domains`` lists them.
     """
     stats = {"n_data": ("count", "y"), "_first": ("min", "struct(x, i, x_next)")}
     if center:
@@ -49,15 +49,20 @@ def windowed(swept: DataFrame, keys: list[str], center: bool = True, hann: bool
 
 
 def band(n_fft: int, lower, upper) -> tuple[str, str]:
-    """First bin and end bin (exclusive) of a frequency band, for a step dt."""
+    """First bin and end bin (exclusive) of a frequency band, for a step dt;
+    a negative cutoff counts as zero."""
     bins = n_fft // 2 + 1
     size = f"{float(n_fft)!r}D"
-    start = "0L" if lower is None else f"CAST(floor({sql_value(lower)} * dt * {size}) AS bigint)"
+    start = (
+        "0L"
+        if lower is None
+        else f"greatest(0L, CAST(floor({sql_value(lower)} * dt * {size}) AS bigint))"
+    )
     if upper is None:
         return start, f"{bins}L"
     # clamped as a double first, so that any bound fits
     stop = f"CAST(least(ceil(least({sql_value(upper)} * dt * {size}, {bins}.0D)), {bins}) AS bigint)"
-    return start, stop
+    return start, f"greatest(0L, {stop})"
 
 
 def spectrum(
@@ -70,8 +75,8 @@ def spectrum(
 ) -> DataFrame:
     """Amplitudes of the bins in [lower, upper) of every prepared sub-domain.
 
-    Sub-domains longer than the transform are a settings error (V20) and give
-    no rows.
+    A sub-domain longer than the transform is an error (V20), raised when it is
+    read. A band that holds no bin of a sub-domain (V17, V19) selects no row.
     """
     if n_fft < 2 or n_fft & (n_fft - 1):
         raise ValueError("the transform length must be a power of two")
@@ -82,8 +87,12 @@ def spectrum(
     route = {"grouped": _grouped, "split": _split, "bins": _bins}[method]
     start, stop = band(n_fft, lower, upper)
     rows = (
-        prepared.where(f"n_data <= {n_fft}")
-        .selectExpr("*", f"{start} AS _start", f"{stop} AS _stop")
+        prepared.selectExpr(
+            "*",
+            f"IF(n_data > {n_fft}, raise_error(concat('V20: ', n_data, ' samples in a transform of "
+            f"{n_fft}')), {start}) AS _start",
+            f"{stop} AS _stop",
+        )
         .where("_start < _stop")
     )
     window = [c for c in ("domain_left", "domain_right") if c in prepared.columns]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ondula.operators.segments import SEG, neighbours, segmented, with_row_index, with_stats
 from ondula.session import sql_value
@@ -120,3 +121,36 @@ def sweep_series(
             *([SEG] if segmented(series) else []),
         )
     )
+
+
+def sweep_domains(
+    series: DataFrame, keys: list[str], sweep: str = "full", steps: int | None = None,
+    inverted=False,
+) -> DataFrame:
+    """Every window of every series, also those that hold few samples or none:
+    keys, sweep_index, domain_left, domain_right, n_data, dt (null below two
+    samples)."""
+    first, last = sweep_indices(sweep, steps)
+    gridded = with_grid_columns(series, keys)
+    inv = sql_value(inverted, "boolean")
+    lo, hi = sweep_bounds(sweep, steps, "sweep_index", "x_left", "x_right", "_inverted")
+    expected = (
+        gridded.selectExpr(*keys, "x_left", "x_right", f"{inv} AS _inverted")
+        .groupBy(*keys)
+        .agg(
+            F.min("x_left").alias("x_left"),
+            F.max("x_right").alias("x_right"),
+            F.max("_inverted").alias("_inverted"),
+        )
+        .selectExpr("*", f"explode(sequence({first}, {last})) AS sweep_index")
+        .selectExpr(*keys, "sweep_index", f"{lo} AS domain_left", f"{hi} AS domain_right")
+    )
+    counts = (
+        sweep_series(series, keys, sweep, steps, inverted)
+        .groupBy(*keys, "sweep_index")
+        .agg(F.count(F.lit(1)).alias("n_data"), F.expr("min(struct(x, i, x_next))").alias("_first"))
+        .selectExpr(*keys, "sweep_index", "n_data", "IF(n_data > 1, _first.x_next - _first.x, NULL) AS dt")
+    )
+    return expected.join(counts, [*keys, "sweep_index"], "left").withColumn(
+        "n_data", F.coalesce("n_data", F.lit(0).cast("bigint"))
+    )

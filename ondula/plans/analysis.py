@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import ondula
 from ondula.operators import quality
+from ondula.functions.names import spectrum_stage
 from ondula.operators.columns import extract_pairs, locate_pairs, rename_columns
 from ondula.operators.gridstats import (
     COUNTS_FOR_STATS,
@@ -26,12 +28,18 @@ from ondula.operators.resample import resample
 from ondula.operators.segments import MAX_ROWS, SEG, lay_out, segmented, spread
 from ondula.operators.series import dedup_mean, invert_x, mask, scale_x, scale_y, trim
 from ondula.operators.spectrum import spectrum, windowed
-from ondula.operators.sweep import sweep_series
+from ondula.operators.sweep import sweep_domains, sweep_series
 from ondula.plans.catalog import catalog, explode_tags, summary, tag_values
 from ondula.plans.settings import resolve_settings, unmatched_overrides, work_list
 from ondula.plans.template import Template
 from ondula.session import broadcast_if_small, cut
-from ondula.sinks.stages import read_stage, write_csv, write_stage
+from ondula.sinks.stages import (
+    read_spectra,
+    read_stage,
+    write_csv,
+    write_spectra,
+    write_stage,
+)
 from ondula.sources.text import (
     arity_problems,
     bad_tokens,
@@ -76,11 +84,11 @@ class Analysis:
     pairs: DataFrame | None = None
     _found: list[DataFrame] = field(default_factory=list)
 
-    def keep(self, rows: DataFrame, stage: str, order: str = "x") -> DataFrame:
+    def keep(self, rows: DataFrame, stage: str) -> DataFrame:
         if self.store is None:
             return rows
-        write_stage(rows, self.store, stage, order)
-        if self.csv and order == "x":
+        write_stage(rows, self.store, stage)
+        if self.csv:
             write_csv(rows, f"{self.store}/csv", stage)
         kept = rows.drop(SEG)
         return read_stage(kept.sparkSession, self.store, stage, kept.schema).select(*kept.columns)
@@ -116,9 +124,17 @@ class Analysis:
     def run(self, samples: DataFrame, settings: DataFrame) -> Result:
         # one row per series, read by every stage
         settings = broadcast_if_small(cut(settings))
+        if self.checked:
+            found = quality.settings_violations(settings, KEYS, self.fft is not None)
+            samples, settings = self.screen(found, samples, settings)
         unprocessed = self.keep(samples, "unprocessed")
-        if self.pairs is not None:
-            found = quality.pair_violations(self.pairs, unprocessed, KEYS)
+        pairs = self.pairs
+        if pairs is None and self.checked:
+            pairs = settings.select(
+                *KEYS, F.lit(True).alias("x_found"), F.lit(True).alias("y_found")
+            )
+        if pairs is not None:
+            found = quality.pair_violations(pairs, unprocessed, KEYS)
             unprocessed, settings = self.screen(found, unprocessed, settings)
         stages = {"unprocessed": unprocessed}
         stages["raw"] = self.keep(dedup_mean(stages["unprocessed"], KEYS), "raw")
@@ -216,31 +232,37 @@ class Analysis:
 
     def _spectra(self, series: list[DataFrame], settings: DataFrame) -> DataFrame:
         fft = self.fft
+        sweep, steps = fft["sweep"], fft.get("sweep_steps")
+        band = fft["zero_pad"], fft.get("truncate_lower"), fft.get("truncate_upper")
+        domain = [*KEYS, "sweep_index"]
         flags = settings.select(*KEYS, "invert_x")
-        out, domains = [], []
-        for part in series:
-            swept = sweep_series(
-                part.join(flags, KEYS), KEYS, fft["sweep"], fft.get("sweep_steps"),
-                "invert_x",
-            )
+        flagged = [part.join(flags, KEYS) for part in series]
+        failed = None
+        if self.checked:  # every window, before any is transformed
+            windows = _union([sweep_domains(p, KEYS, sweep, steps, "invert_x") for p in flagged])
+            found = cut(quality.spectrum_violations(windows, domain[:2], *band))
+            self._found.append(found)
+            if self.strict:
+                quality.raise_on_errors(found)
+            failed = found
+        out = []
+        for part in flagged:
+            swept = sweep_series(part, KEYS, sweep, steps, "invert_x")
+            if failed is not None and not self.strict:
+                swept = quality.drop_failed(swept, failed, domain)
             prepared = windowed(swept, KEYS, fft.get("center", True), fft.get("hann", True))
-            domains.append(prepared.select(*KEYS, "sweep_index", "n_data", "dt").distinct())
-            out.append(
-                spectrum(
-                    prepared, KEYS, fft["zero_pad"], fft.get("truncate_lower"),
-                    fft.get("truncate_upper"), fft.get("method", "auto"),
-                )
-            )
-        spectra = self.keep(_union(out), "spectra", "frequency")
-        self._found.append(
-            quality.spectrum_violations(
-                _union(domains), KEYS, fft["zero_pad"], fft.get("truncate_lower"),
-                fft.get("truncate_upper"),
-            )
-        )
-        if self.checked and self.strict:
-            quality.raise_on_errors(self._found[-1])
-        return spectra
+            out.append(spectrum(prepared, KEYS, *band, fft.get("method", "auto")))
+        stage = spectrum_stage(F.lit(sweep), F.col("sweep_index"))
+        spectra = _union(out).withColumn("stage", stage)
+        if self.store is None:
+            return spectra
+        write_spectra(spectra, self.store)
+        if self.csv:
+            write_csv(spectra, f"{self.store}/csv", None, "frequency", "amplitude")
+        try:
+            return read_spectra(spectra.sparkSession, self.store, spectra.schema)
+        except AnalysisException:  # no series has a spectrum, so there is no folder
+            return spectra.limit(0)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -288,7 +310,7 @@ def run_template(
         failed = file_errors.where("severity = 'error'").selectExpr("key AS source")
         located = cut(located.join(failed, "source", "left_anti"))
     samples = extract_pairs(rows, located, KEYS)
-    analysis._found += [file_errors, quality.settings_violations(settings, KEYS, template.fft is not None)]
+    analysis._found.append(file_errors)
     unmatched = unmatched_overrides(overrides, work)
     analysis._found.append(
         quality.check(unmatched, ["dest", "variable"], [("V33", F.lit(True), "override target does not exist")])
@@ -301,7 +323,7 @@ def run_template(
     result = analysis.run(samples, settings)
     ends = _processed_ends(result)
     described = result.settings.join(ends, KEYS, "left")
-    result.catalog = catalog(described, template.project, template.fft)
+    result.catalog = catalog(described, template.project, template.fft, store, _written(result))
     result.summary = summary(
         result.interp_stats, [name for name, _, _ in template.extracts],
         tag_values(explode_tags(files), max_rows), ondula.__version__,
@@ -311,6 +333,14 @@ def run_template(
     return result
 
 
+def _written(result: Result) -> DataFrame:
+    """Stage, variable and file of every output."""
+    parts = [rows.select(F.lit(name).alias("stage"), *KEYS) for name, rows in result.stages.items()]
+    if result.spectra is not None:
+        parts.append(result.spectra.select("stage", *KEYS))
+    return _union(parts).distinct()
+
+
 def _processed_ends(result: Result) -> DataFrame:
     """Ends of each series as the spectra saw it: resampled where it was, else
     inverted where it was, else preprocessed."""

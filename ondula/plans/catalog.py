@@ -10,6 +10,7 @@ from ondula.functions.tags import TAG_TYPES, tag_text, tag_type
 from ondula.operators.segments import MAX_ROWS, by_length, with_row_index
 from ondula.operators.sweep import sweep_bounds, sweep_indices
 from ondula.plans.settings import PREPROCESSING, PROCESSING
+from ondula.sinks.stages import stage_folder
 
 
 def tag_values(tags: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -50,10 +51,15 @@ def _json_of(*columns: str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
-def catalog(settings: DataFrame, project: dict, fft: dict | None) -> DataFrame:
+def catalog(
+    settings: DataFrame, project: dict, fft: dict | None, store: str | None = None,
+    written: DataFrame | None = None,
+) -> DataFrame:
     """One row per output of every resolved work item.
 
-    It is made from the work list alone. Where ``settings`` has ``n`` (the grid
+    Without a store it is made from the work list alone. With one, paths lead
+    to its folders; ``written`` (stage, variable, file) limits it to outputs
+    that exist. Where ``settings`` has ``n`` (the grid
     length) and ``x_left``/``x_right`` (the ends of the processed series), they
     fill interpolation_n and fft_domain.
     """
@@ -97,18 +103,33 @@ def catalog(settings: DataFrame, project: dict, fft: dict | None) -> DataFrame:
             outputs.append(
                 output(spectrum_stage(F.lit(fft["sweep"]), F.lit(i)), fft_json, domain=domain)
             )
-    fmt = F.lit("csv" if project["format"] == "csv" else "parquet")
+    csv = project["format"] == "csv"
+    fmt = F.lit("csv" if csv else "parquet")
     rows = settings.withColumn("_o", F.explode(F.array_compact(F.array(*outputs))))
     after_inversion = F.col("invert_x") & F.col("_o.stage").isin("processed")
     spectral = F.col("_o.stage").startswith("fft")
+    if written is not None:
+        there = written.select(
+            F.col("stage").alias("_stage"), F.col("variable").alias("_variable"), F.col("file").alias("_file")
+        )
+        same = (
+            (F.col("_o.stage") == F.col("_stage"))
+            & (F.col("variable") == F.col("_variable"))
+            & (F.col("dest") == F.col("_file"))
+        )
+        rows = rows.join(there, same, "left_semi")
     return rows.select(
         F.lit(project["title"]).alias("project"),
         "variable",
         F.col("dest").alias("file"),
         "_o.stage",
         fmt.alias("format"),
-        output_path(
-            F.lit(project["title"]), F.col("variable"), F.col("_o.stage"), F.col("dest"), fmt
+        (
+            output_path(
+                F.lit(project["title"]), F.col("variable"), F.col("_o.stage"), F.col("dest"), fmt
+            )
+            if store is None
+            else stage_folder(store, csv, F.col("_o.stage"), F.col("variable"), F.col("dest"))
         ).alias("path"),
         F.when(spectral, "Frequency")
         .otherwise(x_label(F.col("x_col"), after_inversion))

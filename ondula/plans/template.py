@@ -61,11 +61,11 @@ class Template:
 def clean_name(name) -> str:
     """Driver-side counterpart of ``sanitise_name`` for single config values."""
     if not isinstance(name, str) or not name:
-        raise TemplateError("V22", "string must be non-empty")
+        raise TemplateError("V22", "empty name")
     if not name.isascii():
-        raise TemplateError("V22", f"{name!r} may only contain ASCII")
+        raise TemplateError("V22", f"not ASCII: {name!r}")
     if name[0] in "./\\" or name[-1] in "./\\":
-        raise TemplateError("V22", f"{name!r} may not start or end with . / or \\")
+        raise TemplateError("V22", f"ends in a dot or slash: {name!r}")
     return name.translate({ord(" "): "_", ord("\t"): "_", ord("\n"): "_", ord("\r"): None})
 
 
@@ -79,7 +79,7 @@ def length_of(text, automatic: bool = False):
             return 2 ** int(power)
         if text.isdecimal():
             return int(text)
-    raise TemplateError("V23", f"invalid length {text!r}")
+    raise TemplateError("V23", f"length = {text!r}")
 
 
 def _settings_of(section: str, table: dict) -> dict:
@@ -97,15 +97,15 @@ def _settings_of(section: str, table: dict) -> dict:
             value = [{"left": float(m["left"]), "right": float(m["right"])} for m in value]
         out[name] = value
     if out.get("impulse_tuning", 1.0) < 0:
-        raise TemplateError("V23", "impulse tuning must be positive")
+        raise TemplateError("V23", f"impulse_tuning = {out['impulse_tuning']!r}")
     if out.get("impulse_filter", 0) < 0:
-        raise TemplateError("V23", "the impulse filter width must not be negative")
+        raise TemplateError("V23", f"impulse_filter = {out['impulse_filter']!r}")
     if out.get("derivative", 0) not in (0, 1, 2):
-        raise TemplateError("V23", "only the 0th, 1st and 2nd derivative are supported")
+        raise TemplateError("V23", f"derivative = {out['derivative']!r}")
     if "interpolation_n" in out:
         length_of(out["interpolation_n"], automatic=True)
     if out.get("interpolation", "linear") not in ("linear", "steffen"):
-        raise TemplateError("V23", f"unknown interpolation {out['interpolation']!r}")
+        raise TemplateError("V23", f"interpolation = {out['interpolation']!r}")
     return out
 
 
@@ -133,34 +133,34 @@ def _overrides(root: dict) -> list[dict]:
 def parse_template(text: str) -> Template:
     root = tomllib.loads(text)
     if "project" not in root:
-        raise TemplateError("V30", "project section missing")
+        raise TemplateError("V30", "no [project]")
     project = {**PROJECT, **root["project"]}
     project["title"] = clean_name(project.get("title"))
     if project["format"] not in ("csv", "messagepack"):
-        raise TemplateError("V23", f"unknown format {project['format']!r}")
+        raise TemplateError("V23", f"format = {project['format']!r}")
 
     files = []
     for entry in root.get("file", []):
         tags = {k: json.dumps(v, default=str) for k, v in entry.items() if k not in ("source", "dest")}
         files.append({"source": entry["source"], "dest": clean_name(entry["dest"]), "tags": tags})
     if not files:
-        raise TemplateError("V01", "no files listed")
+        raise TemplateError("V01", "[[file]] is empty")
     if len({f["dest"] for f in files}) < len(files):
-        raise TemplateError("V21", "file destinations may not contain duplicates")
+        raise TemplateError("V21", f"the same dest twice among {len(files)} files")
 
     if not isinstance(root.get("extract"), dict):
-        raise TemplateError("V30", "extract section missing")
+        raise TemplateError("V30", "no [extract]")
     extracts = []
     for name, pair in sorted(root["extract"].items()):
         if not isinstance(pair, dict) or not all(isinstance(pair.get(a), str) for a in "xy"):
-            raise TemplateError("V30", f"extract {name!r} needs x and y as strings")
+            raise TemplateError("V30", f"extract.{name}: x and y")
         extracts.append((name, pair["x"], pair["y"]))
 
     # rules run in the order of their keys
     renames = []
     for old, new in sorted(root.get("rename", {}).items()):
         if not isinstance(new, str):
-            raise TemplateError("V30", f"rename target of {old!r} is not a string")
+            raise TemplateError("V30", f"rename.{old}")
         if old != new:
             renames.append((old, new))
 
@@ -172,12 +172,12 @@ def parse_template(text: str) -> Template:
     if fft is not None:
         fft = {**FFT, **fft}
         if "zero_pad" not in fft:
-            raise TemplateError("V23", "zero_pad is required")
+            raise TemplateError("V23", "no fft.zero_pad")
         fft["zero_pad"] = length_of(fft["zero_pad"])
         if fft["zero_pad"] < 2 or fft["zero_pad"] & (fft["zero_pad"] - 1):
-            raise TemplateError("V20", "zero_pad must be a power of two")
+            raise TemplateError("V20", f"zero_pad = {fft['zero_pad']!r}")
         if fft["sweep"] not in ("full", "lower", "upper", "windows"):
-            raise TemplateError("V23", f"unknown sweep {fft['sweep']!r}")
+            raise TemplateError("V23", f"sweep = {fft['sweep']!r}")
         steps = fft["sweep_steps"]
         if (steps is not None and steps <= 1) or (steps is None and fft["sweep"] != "full"):
             raise TemplateError("V23", "sweep steps must be larger than one")

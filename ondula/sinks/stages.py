@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,6 +30,46 @@ def write_stage(rows: DataFrame, path: str, stage: str, order: str = "x") -> Non
     )
 
 
+def write_spectra(rows: DataFrame, path: str) -> None:
+    """Store spectra (with a column ``stage``) as stages of their own."""
+    (
+        rows.drop(SEG)
+        .repartitionByRange("stage", "variable", "file", "frequency")
+        .sortWithinPartitions("stage", "variable", "file", "frequency")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("stage", "variable")
+        .parquet(path)
+    )
+
+
+def read_spectra(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All stored spectra, whatever their stage."""
+    stored = spark.read.schema(schema).option("basePath", path).parquet(f"{path}/stage=fft*")
+    return stored.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+
+# The characters that Spark writes as %XX in names of folders.
+ESCAPED = "%\"#'*/:=?\\{[]^\x7f"
+
+
+def folder_name(value: Column) -> Column:
+    """A partition value as Spark spells it in a path."""
+    for c in ESCAPED:
+        value = F.replace(value, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return value
+
+
+def stage_folder(store: str, csv: bool, stage: Column, variable: Column, file: Column) -> Column:
+    """Where one output of a store lies; a Parquet folder holds all files of
+    its variable, a CSV folder one."""
+    parts = [F.lit(f"{store}/csv" if csv else store), F.concat(F.lit("stage="), folder_name(stage)),
+             F.concat(F.lit("variable="), folder_name(variable))]
+    if csv:
+        parts.append(F.concat(F.lit("file="), folder_name(file)))
+    return F.concat_ws("/", *parts)
+
+
 def read_stage(
     spark: SparkSession, path: str, stage: str, schema: StructType | None = None
 ) -> DataFrame:
@@ -39,18 +79,25 @@ def read_stage(
     return stored.withColumn("variable", F.col("variable").cast("string"))
 
 
-def write_csv(rows: DataFrame, path: str, stage: str, x: str = "x", y: str = "y") -> None:
-    """``x,y`` lines without a header, one directory per variable and file.
+def write_csv(
+    rows: DataFrame, path: str, stage: str | None, x: str = "x", y: str = "y"
+) -> None:
+    """``x,y`` lines without a header, one directory per variable and file
+    (and per ``stage`` of the rows if none is given).
 
     Doubles are written in a spelling that reads back to the same value.
     """
+    stages = F.col("stage") if stage is None else F.lit(stage)
     (
-        rows.select("variable", "file", F.col(x).alias("x"), F.col(y).alias("y"))
-        .repartitionByRange("variable", "file", "x")
-        .sortWithinPartitions("variable", "file", "x")
+        rows.select(
+            stages.alias("stage"), "variable", "file", F.col(x).alias("x"), F.col(y).alias("y")
+        )
+        .repartitionByRange("stage", "variable", "file", "x")
+        .sortWithinPartitions("stage", "variable", "file", "x")
         .write.mode("overwrite")
-        .partitionBy("variable", "file")
-        .csv(f"{path}/stage={stage}", header=False)
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("stage", "variable", "file")
+        .csv(path, header=False)
     )
 
 

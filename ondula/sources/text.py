@@ -121,18 +121,7 @@ def arity_problems(rows: DataFrame, names: DataFrame) -> DataFrame:
     headers = names.groupBy("source").agg(F.count(F.lit(1)).cast("int").alias("n_headers"))
     counted = rows.withColumn("n_tokens", F.size("tokens")).join(headers, "source", "left")
     counted = counted.withColumn("n_headers", F.coalesce("n_headers", F.lit(0)))
-    detail = (
-        F.when(
-            F.col("n_tokens") < F.col("n_headers"),
-            F.concat(F.lit("missing column at line "), F.col("row").cast("string")),
-        )
-        .when(F.col("row") == 0, F.lit("missing header(s)"))
-        .otherwise(
-            F.concat(
-                F.lit("missing header(s) or extra column(s) at line "), F.col("row").cast("string")
-            )
-        )
-    )
+    detail = F.format_string("row %s: %s tokens for %s headers", "row", "n_tokens", "n_headers")
     return counted.where(F.col("n_tokens") != F.col("n_headers")).select(
         "source", "row", "n_tokens", "n_headers", detail.alias("detail")
     )

@@ -13,7 +13,7 @@ from ondula.sinks.stages import pack_pairs, read_stage, unpack_pairs
 
 TEMPLATE = """
 [project]
-title = "My Test"
+title = "Deep Water"
 format = "csv"
 [preprocessing.global]
 impulse_filter = 5
@@ -21,13 +21,13 @@ masks = [ {left = 5, right = 5.5} ]
 trim_left = 3
 trim_right = 15
 invert_x = true
-[preprocessing.Vxx]
+[preprocessing.Load]
 prefactor_y = -2
-[preprocessing."dir/m_1".Vxx]
+[preprocessing."site/run_1".Load]
 impulse_filter = 0
 [processing.global]
 interpolation = "linear"
-[processing."dir/m_1"]
+[processing."site/run_1"]
 interpolation = "steffen"
 interpolation_n = "2^7"
 [processing.nosuch]
@@ -38,26 +38,26 @@ truncate_upper = 400
 sweep = "upper"
 sweep_steps = 2
 [rename]
-"Field (T)" = "B"
-V_37_x = "Vxy"
-V_68_x = "Vxx"
-[extract.Vxx]
-x = "B"
-y = "Vxx"
-[extract.Vxy]
-x = "B"
-y = "Vxy"
-[extract.Vzz]
-x = "B"
+"Depth (km)" = "depth"
+ch_a = "Drift"
+ch_b = "Load"
+[extract.Load]
+x = "depth"
+y = "Load"
+[extract.Drift]
+x = "depth"
+y = "Drift"
+[extract.Ghost]
+x = "depth"
 y = "absent"
 [[file]]
 source = "f0.dat"
-dest = "dir/m 0"
-temperature = "10p0K"
+dest = "site/run 0"
+salinity = "10p0g"
 [[file]]
 source = "f1.dat"
-dest = "dir/m 1"
-temperature = "1p3K"
+dest = "site/run 1"
+salinity = "1p3g"
 """
 
 
@@ -71,17 +71,17 @@ def run(spark, tmp_path_factory):
         cols = [x, np.round(np.sin(600 / x), 6), np.round(np.cos(400 / x), 6)]
         data[f] = [c[1:] for c in cols]
         body = "\n".join("\t".join(str(v) for v in row) for row in zip(*cols))
-        (base / f"f{f}.dat").write_text("Field (T)\tV_37_x\tV_68_x\n" + body + "\n")
+        (base / f"f{f}.dat").write_text("Depth (km)\tch_a\tch_b\n" + body + "\n")
     result = run_template(spark, parse_template(TEMPLATE), str(base), str(store), max_rows=60)
     return result, data, str(store)
 
 
 def expected(data, f, variable):
-    x, y = data[f][0], data[f][1 if variable == "Vxy" else 2]
-    if not (f == 1 and variable == "Vxx"):
+    x, y = data[f][0], data[f][1 if variable == "Drift" else 2]
+    if not (f == 1 and variable == "Load"):
         y = brute.impulse(y, 5, 1.0)
     x, y = brute.trim(*brute.mask(x, y, 5, 5.5), 3, 15)
-    return 1 / x[::-1], (y * (-2 if variable == "Vxx" else 1))[::-1]
+    return 1 / x[::-1], (y * (-2 if variable == "Load" else 1))[::-1]
 
 
 def length(x):
@@ -91,9 +91,9 @@ def length(x):
 
 def test_stages_and_spectra_match_brute_force(run):
     result, data, store = run
-    pairs = [(f, v) for f in (0, 1) for v in ("Vxx", "Vxy")]
+    pairs = [(f, v) for f in (0, 1) for v in ("Load", "Drift")]
     n = {}
-    for v in ("Vxx", "Vxy"):
+    for v in ("Load", "Drift"):
         # only file 0 has an automatic length
         n[v] = length(expected(data, 0, v)[0])
     stats = {r["variable"]: r["n_var"] for r in result.interp_stats.collect()}
@@ -102,7 +102,7 @@ def test_stages_and_spectra_match_brute_force(run):
     spectra = result.spectra.cache()
     for f, v in pairs:
         x, y = expected(data, f, v)
-        here = f"variable = '{v}' AND file = 'dir/m_{f}'"
+        here = f"variable = '{v}' AND file = 'site/run_{f}'"
         got = [(r["x"], r["y"]) for r in inverted.where(here).orderBy("x").collect()]
         np.testing.assert_allclose(got, np.column_stack([x, y]), rtol=1e-12)
         at = brute.grid(x, 128 if f == 1 else max(n.values()))
@@ -126,30 +126,36 @@ def test_stages_and_spectra_match_brute_force(run):
 def test_violations_are_reported(run):
     found = {(r["code"], r["key"]) for r in run[0].violations.collect()}
     assert ("V33", "nosuch") in found
-    assert {k for c, k in found if c == "V06"} == {"Vzz/dir/m_0", "Vzz/dir/m_1"}
+    assert {k for c, k in found if c == "V06"} == {"Ghost/site/run_0", "Ghost/site/run_1"}
     assert not {c for c, _ in found} & {"V10", "V14", "V20"}
 
 
 def test_catalog_and_summary(spark, run):
     result, _, store = run
     rows = result.catalog.collect()
-    paths = {r["path"] for r in rows}
-    assert "output/My_Test/Vxx/fft_sweep_upper_2/dir/m_0.csv" in paths and len(rows) == 4 * 7
-    label = {(r["stage"], r["x_label"], r["y_label"]) for r in rows if r["variable"] == "Vxx"}
-    assert ("processed", "1/B", "Vxx (Vxx)") in label and ("raw", "B", "Vxx (Vxx)") in label
+    assert len(rows) == 4 * 7
+    for r in rows:  # every path leads to an output of its own
+        assert r["path"].startswith(f"{store}/csv/stage={r['stage']}/variable={r['variable']}/file=site%2Frun_")
+        assert spark.read.csv(r["path"]).count() > 0, r["path"]
+    label = {(r["stage"], r["x_label"], r["y_label"]) for r in rows if r["variable"] == "Load"}
+    assert ("processed", "1/depth", "Load (Load)") in label and ("raw", "depth", "Load (Load)") in label
     document = json.loads(result.summary.first()[0])
-    assert document["tags"] == {"temperature": ['"1p3K"', '"10p0K"']}
-    assert document["variables"] == ["Vxx", "Vxy", "Vzz"]
+    assert document["tags"] == {"salinity": ['"1p3g"', '"10p0g"']}
+    assert document["variables"] == ["Drift", "Ghost", "Load"]
     stored = read_stage(spark, store, "raw").selectExpr("*", "'raw' AS stage")
-    back = read_back(result.catalog, stored, "raw", "temperature", '"1p3K"')
-    assert {r[0] for r in back.select("file").distinct().collect()} == {"dir/m_1"}
+    back = read_back(result.catalog, stored, "raw", "salinity", '"1p3g"')
+    assert {r[0] for r in back.select("file").distinct().collect()} == {"site/run_1"}
+    fft = read_stage(spark, store, "fft_sweep_upper_2").selectExpr("*", "'fft_sweep_upper_2' AS stage")
+    back = read_back(result.catalog, fft, "fft_sweep_upper_2", "salinity", '"10p0g"')
+    want = result.spectra.where("sweep_index = 2 AND file = 'site/run_0'")
+    assert back.count() == want.count() > 0 and back.select("amplitude").exceptAll(want.select("amplitude")).isEmpty()
     csv = spark.read.option("header", False).csv(f"{store}/csv/stage=raw")
     assert csv.count() == read_stage(spark, store, "raw").count()
 
 
 def test_strict_mode_stops_at_bad_files(spark, tmp_path):
-    (tmp_path / "f0.dat").write_text("Field (T)\tV_37_x\tV_68_x\n1\t1 1\n2 2 2\n3 3\n")
-    (tmp_path / "f1.dat").write_text("Field (T)\tV_37_x\tV_68_x\n1\t1 1\n2 2 2\n3 x 3\n")
+    (tmp_path / "f0.dat").write_text("Depth (km)\tch_a\tch_b\n1\t1 1\n2 2 2\n3 3\n")
+    (tmp_path / "f1.dat").write_text("Depth (km)\tch_a\tch_b\n1\t1 1\n2 2 2\n3 x 3\n")
     with pytest.raises(QualityError, match="V04 f0.dat") as error:
         run_template(spark, parse_template(TEMPLATE), str(tmp_path), str(tmp_path / "out"))
     assert "V05 f1.dat" in str(error.value)
@@ -158,7 +164,7 @@ def test_strict_mode_stops_at_bad_files(spark, tmp_path):
 def test_lines_of_spaced_numbers_are_headers(spark, tmp_path):
     # only TABs separate header tokens, so this file has no data at all
     for f in (0, 1):
-        (tmp_path / f"f{f}.dat").write_text("Field (T)\tV_37_x\tV_68_x\n1 1 1\n2 2 2\n")
+        (tmp_path / f"f{f}.dat").write_text("Depth (km)\tch_a\tch_b\n1 1 1\n2 2 2\n")
     with pytest.raises(QualityError, match="V07"):
         run_template(spark, parse_template(TEMPLATE), str(tmp_path), str(tmp_path / "out"))
 
@@ -166,14 +172,14 @@ def test_lines_of_spaced_numbers_are_headers(spark, tmp_path):
 @pytest.mark.parametrize(
     "old,new,code",
     [
-        ('title = "My Test"', 'title = ".x"', "V22"),
-        ('dest = "dir/m 1"', 'dest = "dir/m_0"', "V21"),
+        ('title = "Deep Water"', 'title = ".x"', "V22"),
+        ('dest = "site/run 1"', 'dest = "site/run_0"', "V21"),
         ('zero_pad = "2^11"', 'zero_pad = "1000"', "V20"),
         ("sweep_steps = 2", "sweep_steps = 1", "V23"),
         ("sweep_steps = 2", "", "V23"),
         ('interpolation_n = "2^7"', 'interpolation_n = "2^x"', "V23"),
         ("derivative = 1", "derivative = 3", None),
-        ('V_68_x = "Vxx"', "V_68_x = 1", "V30"),
+        ('ch_b = "Load"', "ch_b = 1", "V30"),
         ('y = "absent"', "", "V30"),
         ("[project]", "[projects]", "V30"),
         ("impulse_filter = 5", "impulse_tuning = -1", "V23"),
@@ -195,9 +201,9 @@ def test_templates_without_files_or_extracts():
 
 def test_override_levels():
     got = {(o["dest"], o["variable"]): o for o in parse_template(TEMPLATE).overrides}
-    assert got[("dir/m_1", "Vxx")]["impulse_filter"] == 0
-    assert got[(None, "Vxx")]["prefactor_y"] == -2.0
-    assert got[("dir/m_1", None)]["interpolation"] == "steffen"
+    assert got[("site/run_1", "Load")]["impulse_filter"] == 0
+    assert got[(None, "Load")]["prefactor_y"] == -2.0
+    assert got[("site/run_1", None)]["interpolation"] == "steffen"
     assert got[("nosuch", None)]["derivative"] == 1
 
 

@@ -104,5 +104,6 @@ def test_refused_settings(series, signal):
         sweep_series(df, K, "upper", None)
     with pytest.raises(ValueError):
         spectrum(df, ["k"], 128)
-    # data longer than the transform gives nothing
-    assert spectrum(windowed(sweep_series(df, K), K), K, 128).isEmpty()
+    # data longer than the transform is never left out silently
+    with pytest.raises(Exception, match="V20"):
+        spectrum(windowed(sweep_series(df, K), K), K, 128).collect()

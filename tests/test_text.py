@@ -10,8 +10,8 @@ from ondula.sources import text
 from pyspark.sql import functions as F
 
 FILES = {
-    "plain.dat": "B(T)\tV_37_x\tV_68_x\n0\t0\t0\n1\t2 3\n4 5\t6\n7 8 9\n",
-    "spaced.dat": "Field (T)\t V x \r\n\r\nmore\n9\t9 9\n1 2 3\n-.5 +1e1 inf\n",
+    "plain.dat": "Pos(mm)\tch_a\tch_b\n0\t0\t0\n1\t2 3\n4 5\t6\n7 8 9\n",
+    "spaced.dat": "Depth (km)\t ch x \r\n\r\nmore\n9\t9 9\n1 2 3\n-.5 +1e1 inf\n",
     "headeronly.dat": "a\tb\nc\n",
     "short.dat": "a\tb\n0\t0\n1 2\n3\n4 5 6\n",
     "blank.dat": "a\tb\n0\t0\n\n1 2\n",
@@ -41,8 +41,8 @@ def test_headers(lines):
     got = {}
     for source, idx, column in collect(text.columns(lines), "source", "idx", "column"):
         got.setdefault(source, []).append((idx, column))
-    assert got["plain.dat"] == [(0, "B(T)"), (1, "V_37_x"), (2, "V_68_x")]
-    assert got["spaced.dat"] == [(0, "Field (T)"), (1, "V x"), (2, "more")]
+    assert got["plain.dat"] == [(0, "Pos(mm)"), (1, "ch_a"), (2, "ch_b")]
+    assert got["spaced.dat"] == [(0, "Depth (km)"), (1, "ch x"), (2, "more")]
     assert got["headeronly.dat"] == [(None, "a"), (None, "b"), (None, "c")]
     assert collect(text.duplicate_headers(text.columns(lines)), "column") == [("dup.dat", "a", 2)]
 
@@ -50,10 +50,10 @@ def test_headers(lines):
 def test_the_first_numeric_line_is_dropped(lines):
     plain = lines.where("source = 'plain.dat'")
     cells = collect(text.cells(plain), "row", "column")
-    assert [c[1:] for c in cells if c[2] == "B(T)"] == [(0, "B(T)", 1), (1, "B(T)", 4), (2, "B(T)", 7)]
+    assert [c[1:] for c in cells if c[2] == "Pos(mm)"] == [(0, "Pos(mm)", 1), (1, "Pos(mm)", 4), (2, "Pos(mm)", 7)]
     assert text.cells(plain, drop_first_row=False).count() == 12
     preview = {r[1]: tuple(r[2:]) for r in text.preview(text.cells(plain)).collect()}
-    assert preview["V_68_x"] == (3, [3.0, 6.0, 9.0])
+    assert preview["ch_b"] == (3, [3.0, 6.0, 9.0])
 
 
 def test_row_numbers_do_not_depend_on_segments(lines):
@@ -66,9 +66,9 @@ def test_arity_and_token_problems(lines):
     rows = text.numbered_rows(text.data_rows(lines))
     details = {(r["source"], r["detail"]) for r in text.arity_problems(rows, text.columns(lines)).collect()}
     assert details == {
-        ("short.dat", "missing column at line 1"),
-        ("short.dat", "missing header(s) or extra column(s) at line 2"),
-        ("blank.dat", "missing column at line 0"),
+        ("short.dat", "row 1: 1 tokens for 2 headers"),
+        ("short.dat", "row 2: 3 tokens for 2 headers"),
+        ("blank.dat", "row 0: 0 tokens for 2 headers"),
     }
     assert {r["token"] for r in text.bad_tokens(rows).collect()} == {"1.5f", "abc"}
     found = text.suspicious_rows(text.data_rows(lines), text.columns(lines))
@@ -77,14 +77,14 @@ def test_arity_and_token_problems(lines):
 
 def test_rename_runs_in_order_and_never_overwrites(lines):
     names = text.columns(lines.where("source = 'plain.dat'"))
-    rules = [("B(T)", "B"), ("B", "C"), ("V_37_x", "C"), ("nosuch", "D"), ("V_68_x", "V_68_x")]
+    rules = [("Pos(mm)", "Q"), ("Q", "C"), ("ch_a", "C"), ("nosuch", "D"), ("ch_b", "ch_b")]
     got = collect(rename_columns(names, rules).select("idx", "column", "clash"), "idx")
-    assert got == [(0, "C", None), (1, "V_37_x", "C"), (2, "V_68_x", None)]
+    assert got == [(0, "C", None), (1, "ch_a", "C"), (2, "ch_b", None)]
 
 
 def test_extract_skips_missing_columns(spark, lines):
     work = spark.createDataFrame(
-        [("plain.dat", "f", "u", "B(T)", "V_68_x"), ("plain.dat", "f", "v", "B(T)", "zz")],
+        [("plain.dat", "f", "u", "Pos(mm)", "ch_b"), ("plain.dat", "f", "v", "Pos(mm)", "zz")],
         "source string, file string, variable string, x_col string, y_col string",
     )
     located = locate_pairs(work, text.columns(lines))
