@@ -6,9 +6,15 @@ prefix of that order: e + 1 rare tokens, each a signature of its own; where
 there are fewer, the prefix is extended into the frequent tokens, which fall
 into CLASSES classes by hash and are indexed by pairs of one class. A prefix
 with c tokens of a class survives the loss of c - 2 with a pair left, so it is
-extended until r + sum(c - 1) reaches e + 1; then two sets that link share a
-signature. Candidates are pruned by the sizes of sets and of their hashed
-parts, which bound the overlap, and verified on the sets.
+extended until r + sum(c - 1) reaches e + l; then two sets that link share a
+pair, or at least l rare tokens (l grows with the set, see _shared). Candidates
+are pruned by the sizes of sets and of their hashed parts, which bound the
+overlap, and verified on the sets.
+
+A signature with more than GROUP members isn't paired out. In rounds, each of
+its sets is tried with one middle; what a link connects is done. The sets that
+are still apart are compared by their parts inside the task that holds the
+signature, and only those that may link leave it.
 
 Rare and frequent: how many different sets hold a token is counted for all
 tokens in the lower part of the hash range (RANGE); those in more than GROUP
@@ -37,7 +43,9 @@ RANGE = int(0.3 * 2**64)
 GROUP = 16  # members of a signature that are paired with each other at once
 CLASSES = 8
 SMALL = 40  # sets up to this size have plain prefixes; see _signatures
-PARTS = 32  # hashed parts of a set whose sizes bound an overlap
+PARTS = 256  # hashed parts of a set whose sizes, up to 255, bound an overlap
+COARSE = 32
+MAX_SHARED = 8
 MAX_FREQUENT = 200_000
 STAR_ROUNDS = 3
 BROADCAST_ROWS = 500_000
@@ -83,7 +91,7 @@ def _describe(k: int):
             sets = Sets(part, k)
             part_of = (sets.g >> np.uint64(8)) % np.uint64(PARTS) + sets.of.astype(np.uint64) * np.uint64(PARTS)
             parts = np.bincount(part_of.astype(np.int64), minlength=part.num_rows * PARTS)
-            parts = np.minimum(parts, 65535).astype("<u2").reshape(-1, PARTS)
+            parts = np.minimum(parts, 255).astype(np.uint8).reshape(-1, PARTS)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -127,9 +135,15 @@ def _misses(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100
 
 
+def _shared(n: np.ndarray) -> np.ndarray:
+    """How many rare tokens a set of n tokens shares with a partner within its
+    prefix, unless they share a pair. Of two sets, the lesser number holds."""
+    return np.minimum(MAX_SHARED, 1 + n // 40)
+
+
 def _prefix_pairs(tokens: np.ndarray, need: int) -> list[int]:
     """Pairs within classes of the shortest prefix of frequent tokens that can
-    lose need - 1 tokens and keep a pair."""
+    lose need - 1 tokens and keep a pair in a class."""
     held: dict[int, list[int]] = {}
     got = 0
     for t in tokens.tolist():
@@ -159,6 +173,7 @@ def _signatures(k: int, percent: int, frequent, n_buckets: int):
             chosen[sets.distinct()] = True
             n = sets.sizes
             need = _misses(n, percent) + 1
+            wide = _misses(n, percent) + _shared(n)
             small = chosen & (100 * SMALL >= percent * n)
             large = chosen & (n > SMALL)
             rare = sets.g < np.uint64(RANGE)
@@ -172,24 +187,26 @@ def _signatures(k: int, percent: int, frequent, n_buckets: int):
             seen = total[:-1] - start[sets.of]
             place = np.arange(len(rare)) - sets.edges[:-1][sets.of]
             rank = np.where(rare, seen, n_rare[sets.of] + place - seen)
-            single = rare & large[sets.of] & (rank < need[sets.of])
+            single = rare & large[sets.of] & (rank < wide[sets.of])
             plain = small[sets.of] & (rank < need[sets.of])
             sigs = [mixed(sets.g[single]), mixed(sets.g[plain] ^ np.uint64(0x5DEECE66D))]
             rows = [sets.of[single], sets.of[plain]]
-            for row in np.flatnonzero(large & (n_rare < need)).tolist():
+            strong = [np.zeros(len(rows[0]), bool), np.ones(len(rows[1]), bool)]
+            for row in np.flatnonzero(large & (n_rare < wide)).tolist():
                 lo, hi = sets.edges[row], sets.edges[row + 1]
-                pairs = _prefix_pairs(sets.g[lo:hi][~rare[lo:hi]], int(need[row] - n_rare[row]))
+                pairs = _prefix_pairs(sets.g[lo:hi][~rare[lo:hi]], int(wide[row] - n_rare[row]))
                 sigs.append(mixed(np.array(pairs, dtype=np.uint64) + np.uint64(1)))
                 rows.append(np.full(len(pairs), row))
+                strong.append(np.ones(len(pairs), bool))
             sig, row = np.concatenate(sigs), np.concatenate(rows).astype(np.int64)
             order = np.argsort(row, kind="stable")
-            sig, row = sig[order], row[order]
+            sig, row, own = sig[order], row[order], np.concatenate(strong)[order]
             yield from packed.pack(
                 (sig >> np.uint64(32)) % np.uint64(n_buckets),
                 [
                     sig.view(np.uint8).reshape(-1, 8)[:, :4],
                     sets.ids[row],
-                    n[row].astype(np.uint32),
+                    (n[row] * 2 + own).astype(np.uint32),
                 ],
             )
 
@@ -197,8 +214,9 @@ def _signatures(k: int, percent: int, frequent, n_buckets: int):
 
 
 def _groups(percent: int):
-    """Pairs of sets of one signature, or its members if it has many: sig,
-    a, b, with sizes that a link allows (b null for a member)."""
+    """Pairs of sets of one signature, or its members if it has many: sig, a,
+    b, times (signatures of this bucket that both have), enough (how many are
+    needed, 0 if one shared pair of tokens does); b is null for a member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, (raw, ids, n) in packed.unpack(batches, ["u1", "<i8", "<u4"]):
@@ -208,38 +226,118 @@ def _groups(percent: int):
             new = np.ones(len(sig), dtype=bool)
             new[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
             sig, ids, n = sig[new], ids[new], n[new]
+            strong, n = (n & 1).astype(bool), n >> 1
             starts = np.concatenate([[0], np.flatnonzero(np.diff(sig.astype(np.int64))) + 1])
             sizes = np.diff(np.append(starts, len(sig)))
-            size_of = np.repeat(sizes, sizes)
-            left, right = [], []
-            few = size_of <= GROUP
+            few = np.repeat(sizes, sizes) <= GROUP
+            rows = []
             for step in range(1, GROUP):  # members of a group, ``step`` apart
                 i = np.flatnonzero(few[:-step] & (sig[:-step] == sig[step:]))
                 if not len(i):
                     break
                 i = i[100 * n[i] >= percent * n[i + step]]
-                left.append(ids[i])
-                right.append(ids[i + step])
-            pairs = np.unique(
-                np.column_stack([np.concatenate(left or [ids[:0]]), np.concatenate(right or [ids[:0]])]),
-                axis=0,
-            )
-            a, b = pairs.min(axis=1), pairs.max(axis=1)
+                enough = np.where(strong[i] | strong[i + step], 0, _shared(n[i]))
+                x, y = ids[i], ids[i + step]
+                rows.append(np.column_stack([np.minimum(x, y), np.maximum(x, y), enough]))
+            pairs = np.concatenate(rows or [np.zeros((0, 3), np.int64)])
+            pairs, times = np.unique(pairs, axis=0, return_counts=True)
             many = np.flatnonzero(~few)
+            none = np.zeros(len(many), np.int64)
+            lone = np.arange(len(pairs) + len(many)) >= len(pairs)
+            names = (np.int64(bucket) << 32) + sig[many].astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(
-                        np.concatenate([np.zeros(len(a), np.int64), (np.int64(bucket) << 32) + sig[many].astype(np.int64)])
-                    ),
-                    pa.array(np.concatenate([a, ids[many]])),
-                    pa.array(np.concatenate([b, np.zeros(len(many), np.int64)]), mask=np.arange(len(a) + len(many)) >= len(a)),
+                    pa.array(np.concatenate([np.zeros(len(pairs), np.int64), names])),
+                    pa.array(np.concatenate([pairs[:, 0], ids[many]])),
+                    pa.array(np.concatenate([pairs[:, 1], none]), mask=lone),
+                    pa.array(np.concatenate([times.astype(np.int64), none])),
+                    pa.array(np.concatenate([pairs[:, 2], none])),
                 ],
-                ["sig", "a", "b"],
+                ["sig", "a", "b", "times", "enough"],
             )
 
     return run
 
 
+def _may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these parts, and n tokens in both, may link: the
+    differences of parts add up to at most that of the sets."""
+    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    # overlap <= (n - apart) / 2, union >= (n + apart) / 2
+    fits = 100 * (n - apart) >= percent * (n + apart)
+    return fits | (x.max(axis=-1) == 255) | (y.max(axis=-1) == 255)
+
+
+def _cross(percent: int):
+    """Pairs that may link among the members of each signature that are not
+    connected yet. Signatures that have the same least member come together,
+    and a pair that several of them hold is compared once."""
+
+    def compare(sids, roots, n, parts, groups) -> np.ndarray:
+        """Rows of minor members, whose root is not the commonest, against all."""
+        values, counts = np.unique(roots, return_counts=True)
+        minor = np.flatnonzero(roots != values[counts.argmax()])
+        coarse = parts.reshape(len(parts), COARSE, -1).sum(axis=2, dtype=np.int16)
+        full = (parts == 255).any(axis=1)
+        place = np.full(len(sids), -1)
+        out = []
+        step = max(1, (16 << 20) // len(sids))
+        for at in range(0, len(minor), step):
+            block = minor[at : at + step]
+            place[:] = -1
+            place[block] = np.arange(len(block))
+            near = np.zeros((len(block), len(sids)), dtype=bool)
+            for g in groups:
+                own = place[g]
+                if (own >= 0).any():
+                    near[np.ix_(own[own >= 0], g)] = True
+            near &= roots[block][:, None] != roots
+            near &= 100 * n[block][:, None] >= percent * n
+            near &= 100 * n >= percent * n[block][:, None]
+            for i, row in zip(block.tolist(), near):
+                j = np.flatnonzero(row)
+                both = n[i] + n[j]
+                apart = np.abs(coarse[j] - coarse[i]).sum(axis=1, dtype=np.int64)
+                j = j[(100 * (both - apart) >= percent * (both + apart)) | full[i] | full[j]]
+                j = j[_may_link(parts[j], parts[i], n[i] + n[j], percent)]
+                if len(j):
+                    pair = np.sort(np.column_stack([np.full(len(j), sids[i]), sids[j]]), axis=1)
+                    out.append(pair)
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+    def finish(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        sig, sid, root, n = (table.column(c).to_numpy() for c in ("sig", "sid", "root", "n"))
+        sids, first, at = np.unique(sid, return_index=True, return_inverse=True)
+        parts = np.stack(
+            [np.frombuffer(table.column("parts")[int(i)].as_py(), dtype=np.uint8) for i in first]
+        )
+        order = np.argsort(sig, kind="stable")
+        cuts = np.flatnonzero(np.diff(sig[order])) + 1
+        pairs = compare(sids, root[first], n[first], parts, np.split(at[order], cuts))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if key[a] != now and rows:
+                    yield finish(rows)
+                    rows = []
+                now = key[a]
+                rows.append(batch.slice(a, b - a))
+        if rows:
+            yield finish(rows)
+
+    return run
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
@@ -262,25 +360,18 @@ def _sets(k: int):
 
 
 def _close(percent: int):
-    """Pairs whose parts allow a link: the parts' differences add up to at
-    most the difference of the sets."""
+    """Pairs whose parts allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2")
-                .reshape(-1, PARTS)
-                .astype(np.int64)
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS)
                 for c in (4, 5)
             )
             n = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
-            apart = np.abs(x - y).sum(axis=1)
-            # overlap <= (n - apart) / 2, union >= (n + apart) / 2
-            fits = 100 * (n - apart) >= percent * (n + apart)
-            fits |= np.maximum(x.max(axis=1), y.max(axis=1)) == 65535
-            yield batch.select(["a", "b"]).filter(pa.array(fits))
+            yield batch.select(["a", "b"]).filter(pa.array(_may_link(x, y, n, percent)))
 
     return run
 
@@ -333,7 +424,7 @@ class _Join:
         )
         return stored(
             packed.by_bucket(signed, n).mapInArrow(
-                _groups(self.percent), "sig long, a long, b long"
+                _groups(self.percent), "sig long, a long, b long, times long, enough long"
             ),
             "signature-groups",
         )
@@ -376,35 +467,48 @@ class _Join:
         """All links that matter for components: every pair that shares a
         signature is linked, known not to link, or already connected."""
         groups = self.groups()
-        pairs = groups.where("b IS NOT NULL").select("a", "b").distinct()
+        pairs = (
+            groups.where("b IS NOT NULL")
+            .groupBy("a", "b")
+            .agg(F.sum("times").alias("times"), F.min("enough").alias("enough"))
+            .where("times >= enough")
+            .select("a", "b")
+        )
         many = groups.where("b IS NULL").select("sig", F.col("a").alias("sid"))
         links = self.verified(pairs)
-        if many.limit(1).count():
-            # large groups: stars first, then all pairs still apart
-            for step in range(STAR_ROUNDS + 1):
-                apart = self._apart(many, links)
-                if step < STAR_ROUNDS:
-                    middle = apart.groupBy("sig").agg(
-                        F.min(F.struct(F.xxhash64("sid", F.lit(step)), "sid", "root")).alias("m")
-                    )
-                    pairs = apart.join(middle, "sig").where("root <> m.root").select(
-                        F.col("sid").alias("x"), F.col("m.sid").alias("y")
-                    )
-                else:
-                    other = apart.select(
-                        "sig", F.col("sid").alias("y"), F.col("root").alias("_other")
-                    )
-                    pairs = apart.join(other, "sig").where("root < _other").select(
-                        F.col("sid").alias("x"), "y"
-                    )
-                pairs = pairs.select(
-                    F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
-                ).distinct()
-                if step < STAR_ROUNDS:
-                    # one try for each set in a round
-                    pairs = pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a", F.lit(step))).alias("a"))
-                links = stored(links.union(self.verified(pairs.select("a", "b"))), "links")
-        return links
+        if not many.limit(1).count():
+            return links
+        # large groups: stars first, then whatever is still apart
+        for step in range(STAR_ROUNDS):
+            apart = self._apart(many, links)
+            middle = apart.groupBy("sig").agg(
+                F.min(F.struct(F.xxhash64("sid", F.lit(step)), "sid", "root")).alias("m")
+            )
+            # one try for each set in a round
+            tries = (
+                apart.join(middle, "sig")
+                .where("root <> m.root")
+                .groupBy("sid")
+                .agg(F.min_by("m.sid", F.xxhash64("m.sid", F.lit(step))).alias("other"))
+            )
+            pairs = tries.select(
+                F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")
+            ).distinct()
+            links = stored(links.union(self.verified(pairs)), "links")
+        apart = self._apart(many, links)
+        least = apart.groupBy("sig").agg(F.min("sid").alias("key"))
+        rows = (
+            apart.join(least, "sig")
+            .join(self.classes.select("sid", "n", "parts"), "sid")
+            .select("key", "sig", "sid", "root", "n", "parts")
+        )
+        crossed = (
+            rows.repartition("key")
+            .sortWithinPartitions("key")
+            .mapInArrow(_cross(self.percent), "a long, b long")
+            .distinct()
+        )
+        return stored(links.union(self.verified(stored(crossed, "crossed"))), "links")
 
     def _apart(self, many: DataFrame, links: DataFrame) -> DataFrame:
         """Members of signatures whose members are not all connected."""
