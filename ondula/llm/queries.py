@@ -138,6 +138,55 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.clean_lines(table(spark, sf_dir, "documents")).drop("lost_chars", "cleaned")
 
 
+ORACLES["op6_line_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), l AS (
+  SELECT doc_id, x, length(regexp_replace(x, '\s+', '', 'g')) AS ink
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)
+  WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
+), f AS (
+  SELECT doc_id, x, ink,
+         NOT regexp_matches(x, '[.!?…:]["''”’»)\]]*(\s|$)')
+         OR len(regexp_extract_all(x, '[!#*$%&|<>=~^]')) * 100 > ink * {marks}
+         OR len(regexp_extract_all(x, '\s[|›»•·/]\s')) >= {bars}
+         OR regexp_matches(lower(x), '{stock}') AS fails
+  FROM l
+), n AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines,
+         coalesce(sum(ink) FILTER (fails), 0) AS lost
+  FROM f GROUP BY doc_id
+), g AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS s FROM d WHERE len(w) >= 3)
+), r AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest(range(s, s + 3)) AS p
+        FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1)
+  GROUP BY doc_id
+), a AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         length(array_to_string(w, '')) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * lost <= {lost} * word_chars AS kept
+FROM b
+""".format(
+    marks=rules.MARK_PERCENT,
+    bars=rules.BARS,
+    stock="|".join(rules.BOILERPLATE),
+    lost=rules.LOST_PERCENT,
+)
+
+
 @query
 def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality(
