@@ -25,7 +25,7 @@ from tokenizers import Tokenizer
 from ondula.llm.common import Numbered, Ragged, is_latin, shared_folder, stored, text_slices
 
 # Distinct chunks that a Python worker remembers; beyond it starts anew.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 300_000
 CACHE_CHARS = 4_000_000
 READ_DOCS = 4096  # documents that a reading task takes at a time
 
