@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ondula.functions.values import to_double
+from ondula.session import broadcast_if_small
 
 Rules = list[tuple[str, str]]
 
@@ -67,12 +68,16 @@ def extract_pairs(rows: DataFrame, located: DataFrame, keys: list[str]) -> DataF
 
 
 def extract_from_cells(cells: DataFrame, work: DataFrame, keys: list[str]) -> DataFrame:
-    """The same from long cells (source, row, column, value)."""
-    wanted = work.select(*keys, "source", "x_col", "y_col")
-    role = [F.when(F.col("column") == F.col(f"{a}_col"), F.col("value")) for a in ("x", "y")]
+    """The same from long cells (source, row, column, value). A cell meets only
+    the work items that use its column."""
+    parts = [
+        work.select(*keys, "source", F.col(f"{a}_col").alias("column"), F.lit(a).alias("_axis"))
+        for a in ("x", "y")
+    ]
+    wanted = broadcast_if_small(parts[0].union(parts[1]))
+    role = [F.when(F.col("_axis") == a, F.col("value")) for a in ("x", "y")]
     paired = (
-        cells.join(wanted, "source")
-        .where((F.col("column") == F.col("x_col")) | (F.col("column") == F.col("y_col")))
+        cells.join(wanted, ["source", "column"])
         .groupBy(*keys, "source", "row")
         .agg(F.max(role[0]).alias("x"), F.max(role[1]).alias("y"))
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ondula.functions.names import natural_key
 from ondula.functions.values import data_tokens, has_number, header_tokens, is_number, to_double
 from ondula.operators.segments import MAX_ROWS, by_length, with_row_index
-from ondula.session import cut
+from ondula.session import broadcast_if_small, cut
 
 
 def read_lines(spark: SparkSession, base: str, sources: list[str] | str) -> DataFrame:
@@ -48,12 +48,21 @@ def header_ends(lines: DataFrame) -> DataFrame:
     )
 
 
+def _with_ends(lines: DataFrame, ends: DataFrame | None) -> DataFrame:
+    """Lines with the first numeric position of their source. A source has one
+    row there, so the small side is broadcast while it is small: lines aren't
+    shuffled by source, of which one may hold most of them."""
+    if ends is None:
+        ends = broadcast_if_small(cut(header_ends(lines)))
+    return lines.join(ends, "source")
+
+
 def columns(lines: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """Header names (source, idx, column); successive header lines concatenate.
 
     Names of sources without any data have no idx: nothing is numbered there.
     """
-    located = lines.join(header_ends(lines) if ends is None else ends, "source")
+    located = _with_ends(lines, ends)
     header = located.where(
         F.col("first_numeric").isNull() | (F.col("pos") < F.col("first_numeric"))
     )
@@ -76,7 +85,7 @@ def data_rows(
 
     The first numeric line is dropped unless ``drop_first_row`` is false.
     """
-    located = lines.join(header_ends(lines) if ends is None else ends, "source")
+    located = _with_ends(lines, ends)
     beyond = F.col("pos") > F.col("first_numeric")
     if not drop_first_row:
         beyond = F.col("pos") >= F.col("first_numeric")
@@ -91,12 +100,28 @@ def numbered_rows(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 
 def cells(lines: DataFrame, drop_first_row: bool = True, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Long form (source, row, column, value)."""
-    ends = cut(header_ends(lines))
+    """Long form (source, row, column, value). Each row meets the array of its
+    source's names; tokens beyond them have no cell."""
+    ends = broadcast_if_small(cut(header_ends(lines)))
+    named = (
+        columns(lines, ends)
+        .where("idx IS NOT NULL")
+        .groupBy("source")
+        .agg(F.sort_array(F.collect_list(F.struct("idx", "column"))).alias("_c"))
+        .select("source", F.col("_c.column").alias("_names"))
+    )
     rows = numbered_rows(data_rows(lines, drop_first_row, ends), max_rows)
-    tokens = rows.select("source", "row", F.posexplode("tokens").alias("idx", "_token"))
-    return tokens.join(columns(lines, ends), ["source", "idx"]).select(
-        "source", "row", "column", to_double(F.col("_token")).alias("value")
+    tokens = rows.join(broadcast_if_small(cut(named)), "source").select(
+        "source",
+        "row",
+        "_names",
+        F.posexplode(F.slice("tokens", F.lit(1), F.size("_names"))).alias("_at", "_token"),
+    )
+    return tokens.select(
+        "source",
+        "row",
+        F.get("_names", F.col("_at")).alias("column"),
+        to_double(F.col("_token")).alias("value"),
     )
 
 
