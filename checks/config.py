@@ -626,7 +626,7 @@ def analysis(spark, d):
         ],
     )
     fft = {"zero_pad": 512, "sweep": "upper", "sweep_steps": 3, "truncate_upper": 0.03}
-    run = Analysis(fft=fft, checked=False).run(samples, settings)
+    run = Analysis(fft=fft).run(samples, settings)
     return rounded(
         run.spectra.selectExpr(
             "CAST(file AS bigint) AS series", "sweep_index", "k", "frequency", "amplitude"

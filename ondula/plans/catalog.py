@@ -10,6 +10,7 @@ from ondula.functions.tags import TAG_TYPES, tag_text, tag_type
 from ondula.operators.segments import MAX_ROWS, by_length, with_row_index
 from ondula.operators.sweep import sweep_bounds, sweep_indices
 from ondula.plans.settings import PREPROCESSING, PROCESSING
+from ondula.session import broadcast_if_small, cut
 from ondula.sinks.stages import stage_folder
 
 
@@ -20,13 +21,13 @@ def tag_values(tags: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     sort as integers, floats, natural strings or booleans when all of a key
     have that type, and else stay in first-seen order.
     """
-    distinct = tags.groupBy("key", "value").agg(F.min("ord").alias("ord"))
+    distinct = cut(tags.groupBy("key", "value").agg(F.min("ord").alias("ord")))
     kind = tag_type(F.col("value"))
     types = distinct.groupBy("key").agg(
         F.min(kind).alias("_low"), F.max(kind).alias("_high")
     )
     common = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise("mixed")
-    typed = distinct.join(types.select("key", common.alias("type")), "key")
+    typed = distinct.join(broadcast_if_small(types.select("key", common.alias("type"))), "key")
     is_type = {t: F.col("type") == t for t in TAG_TYPES}
     rank = F.struct(
         F.when(is_type["int"], F.col("value").try_cast("decimal(38,0)")).alias("as_int"),
