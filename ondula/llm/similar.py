@@ -11,10 +11,10 @@ pair, or at least l rare tokens (l grows with the set, see _shared). Candidates
 are pruned by the sizes of sets and of their hashed parts, which bound the
 overlap, and verified on the sets.
 
-A signature with more than GROUP members isn't paired out. In rounds, each of
-its sets is tried with one middle; what a link connects is done. The sets that
-are still apart are compared by their parts inside the task that holds the
-signature, and only those that may link leave it.
+A signature with more than GROUP members isn't paired out. Its sets are
+compared by their parts inside the task that holds it, those of one component
+not at all: first a forest of pairs that may link leaves it and is verified,
+then every pair that may link and that the forest's links leave apart.
 
 Rare and frequent: how many different sets hold a token is counted for all
 tokens in the lower part of the hash range (RANGE); those in more than GROUP
@@ -47,7 +47,6 @@ PARTS = 256  # hashed parts of a set whose sizes, up to 255, bound an overlap
 COARSE = 32
 MAX_SHARED = 8
 MAX_FREQUENT = 200_000
-STAR_ROUNDS = 3
 BROADCAST_ROWS = 500_000
 
 
@@ -268,13 +267,14 @@ def _may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.n
     return fits | (x.max(axis=-1) == 255) | (y.max(axis=-1) == 255)
 
 
-def _cross(percent: int):
+def _cross(percent: int, forest: bool):
     """Pairs that may link among the members of each signature that are not
-    connected yet. Signatures that have the same least member come together,
-    and a pair that several of them hold is compared once."""
+    connected yet: all, or a forest that connects the same members.
+    Signatures that have the same least member come together, and a pair that
+    several of them hold is compared once."""
 
     def compare(sids, roots, n, parts, groups) -> np.ndarray:
-        """Rows of minor members, whose root is not the commonest, against all."""
+        """Minor members, whose root is not the commonest, against all."""
         values, counts = np.unique(roots, return_counts=True)
         minor = np.flatnonzero(roots != values[counts.argmax()])
         coarse = parts.reshape(len(parts), COARSE, -1).sum(axis=2, dtype=np.int16)
@@ -295,11 +295,15 @@ def _cross(percent: int):
             near &= 100 * n[block][:, None] >= percent * n
             near &= 100 * n >= percent * n[block][:, None]
             for i, row in zip(block.tolist(), near):
-                j = np.flatnonzero(row)
+                j = np.flatnonzero(row & (roots != roots[i]) if forest else row)
                 both = n[i] + n[j]
                 apart = np.abs(coarse[j] - coarse[i]).sum(axis=1, dtype=np.int64)
                 j = j[(100 * (both - apart) >= percent * (both + apart)) | full[i] | full[j]]
                 j = j[_may_link(parts[j], parts[i], n[i] + n[j], percent)]
+                if forest and len(j):  # one pair for each component it meets
+                    met, first = np.unique(roots[j], return_index=True)
+                    j = j[first]
+                    roots[np.isin(roots, met)] = roots[i]
                 if len(j):
                     pair = np.sort(np.column_stack([np.full(len(j), sids[i]), sids[j]]), axis=1)
                     out.append(pair)
@@ -314,7 +318,7 @@ def _cross(percent: int):
         )
         order = np.argsort(sig, kind="stable")
         cuts = np.flatnonzero(np.diff(sig[order])) + 1
-        pairs = compare(sids, root[first], n[first], parts, np.split(at[order], cuts))
+        pairs = compare(sids, root[first].copy(), n[first], parts, np.split(at[order], cuts))
         return pa.RecordBatch.from_arrays(
             [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"]
         )
@@ -478,37 +482,22 @@ class _Join:
         links = self.verified(pairs)
         if not many.limit(1).count():
             return links
-        # large groups: stars first, then whatever is still apart
-        for step in range(STAR_ROUNDS):
+        for forest in (True, False):
             apart = self._apart(many, links)
-            middle = apart.groupBy("sig").agg(
-                F.min(F.struct(F.xxhash64("sid", F.lit(step)), "sid", "root")).alias("m")
+            least = apart.groupBy("sig").agg(F.min("sid").alias("key"))
+            rows = (
+                apart.join(least, "sig")
+                .join(self.classes.select("sid", "n", "parts"), "sid")
+                .select("key", "sig", "sid", "root", "n", "parts")
             )
-            # one try for each set in a round
-            tries = (
-                apart.join(middle, "sig")
-                .where("root <> m.root")
-                .groupBy("sid")
-                .agg(F.min_by("m.sid", F.xxhash64("m.sid", F.lit(step))).alias("other"))
+            pairs = (
+                rows.repartition("key")
+                .sortWithinPartitions("key")
+                .mapInArrow(_cross(self.percent, forest), "a long, b long")
+                .distinct()
             )
-            pairs = tries.select(
-                F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")
-            ).distinct()
-            links = stored(links.union(self.verified(pairs)), "links")
-        apart = self._apart(many, links)
-        least = apart.groupBy("sig").agg(F.min("sid").alias("key"))
-        rows = (
-            apart.join(least, "sig")
-            .join(self.classes.select("sid", "n", "parts"), "sid")
-            .select("key", "sig", "sid", "root", "n", "parts")
-        )
-        crossed = (
-            rows.repartition("key")
-            .sortWithinPartitions("key")
-            .mapInArrow(_cross(self.percent), "a long, b long")
-            .distinct()
-        )
-        return stored(links.union(self.verified(stored(crossed, "crossed"))), "links")
+            links = stored(links.union(self.verified(stored(pairs, "crossed"))), "links")
+        return links
 
     def _apart(self, many: DataFrame, links: DataFrame) -> DataFrame:
         """Members of signatures whose members are not all connected."""
