@@ -2,7 +2,8 @@
 
 Every page votes for the container that holds its text; votes for generalised
 paths of tags and classes are counted by host in Spark; then every page is
-extracted again from the containers on its host's winning paths.
+extracted again by the containers on its host's winning paths: they are kept
+whole, and outside them only blocks that are mainly links are left out.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from ondula.llm.common import stored, text_slices
 from ondula.session import broadcast_if_small
 
 SHARE = 0.7  # of a page's text that its container holds
-SEMANTIC_SHARE = 0.3  # the same for an article or main element
+SEMANTIC_SHARE = 0.5  # the same for an article or main element
 WINNER_PERCENT = 20  # of a host's votes that a path needs
-PRESENT = 0.1  # of a page's text that a winning path must hold there
 SALTS = 16
 
 # Fixed lists of elements.
+VOTED = set("html body main article section div center".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg math select option".split())
 SKIP = set("nav footer aside form button dialog menu head object audio video canvas".split())
@@ -76,9 +78,11 @@ class Page:
     paths: list[str] = field(default_factory=list)  # of containers
     tags: list[str] = field(default_factory=list)
     depths: list[int] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)  # -1: none
     blocks: list[str] = field(default_factory=list)
-    weights: list[int] = field(default_factory=list)  # characters outside links
+    weights: list[int] = field(default_factory=list)  # characters outside links, or in a heading
     homes: list[tuple[int, ...]] = field(default_factory=list)
+    bare: list[bool] = field(default_factory=list)  # in no element at all
 
     def held(self) -> list[int]:
         out = [0] * len(self.paths)
@@ -88,31 +92,69 @@ class Page:
         return out
 
     def vote(self) -> int | None:
-        """The deepest container that holds most of the text; an article or
-        main element needs less."""
+        """The deepest container that holds most of the text, or an article or
+        main element that holds over half, and around it what _climb adds.
+        Only sectioning and div-like elements are voted for."""
         held, total = self.held(), sum(self.weights)
         if not total:
             return None
         best = None
         for c, own in enumerate(held):
+            if not self._votable(c):
+                continue
             semantic = self.tags[c] in ("article", "main")
-            if own >= total * (SEMANTIC_SHARE if semantic else SHARE):
+            if own > total * SEMANTIC_SHARE if semantic else own >= total * SHARE:
                 rank = (semantic, self.depths[c] if not semantic else 0, own, -c)
                 if best is None or rank > best[0]:
                     best = (rank, c)
-        return best[1] if best else None
+        return min(self._climb({best[1]}, held)) if best else None
+
+    def _votable(self, c: int) -> bool:
+        return self.tags[c] in VOTED or "-" in self.tags[c]  # or a custom element
+
+    def _climb(self, chosen: set[int], held: list[int]) -> set[int]:
+        """``chosen``, or the outermost container around all of them that adds
+        mainly text outside links."""
+        size = [0] * len(self.paths)
+        for home, block in zip(self.homes, self.blocks):
+            for c in home:
+                size[c] += len(block)
+        text, whole = sum(held[c] for c in chosen), sum(size[c] for c in chosen)
+        first, *others = chosen
+        around = self._around(first)
+        for c in others:
+            both = set(self._around(c))
+            around = [a for a in around if a in both]
+        for c in around:
+            if self._votable(c) and 2 * (held[c] - text) > size[c] - whole:
+                chosen, text, whole = {c}, held[c], size[c]
+        return chosen
+
+    def _around(self, c: int) -> list[int]:
+        """The containers around one, innermost first."""
+        out = []
+        while (c := self.parents[c]) >= 0:
+            out.append(c)
+        return out
 
     def text(self, chosen: set[int]) -> str:
-        return " ".join(b for b, home in zip(self.blocks, self.homes) if not chosen.isdisjoint(home))
+        """The blocks of the chosen containers, and the others that aren't
+        mainly links; beside an article or main, none without any element."""
+        semantic = any(self.tags[c] in ("article", "main") for c in chosen)
+        return " ".join(
+            block
+            for block, weight, home, bare in zip(self.blocks, self.weights, self.homes, self.bare)
+            if not chosen.isdisjoint(home) or 2 * weight > len(block) and not (bare and semantic)
+        )
 
     def extract(self, winners: list[str]) -> str:
-        """The text on the first winning path that the page has, or else in
-        the page's own container."""
+        """The text by the first winning path that holds most of the page's,
+        or else by the page's own container."""
         held, total = self.held(), sum(self.weights)
         for path in winners:
             on = {c for c, p in enumerate(self.paths) if p == path}
-            if on and sum(held[c] for c in on) > PRESENT * total:
-                return self.text(on)
+            if on and total and sum(held[c] for c in on) >= SHARE * total:
+                return self.text(self._climb(on, held))
         own = self.vote()
         return " ".join(self.blocks) if own is None else self.text({own})
 
@@ -161,6 +203,7 @@ def parse(html: str) -> Page:
             page.blocks.append(block)
             page.weights.append(max(0, len(block) - linked))
             page.homes.append(tuple(c for _, _, c in stack if c >= 0))
+            page.bare.append(not stack)
         linked = 0
 
     def pop() -> None:
@@ -186,7 +229,7 @@ def parse(html: str) -> Page:
         if data and not skips:
             data = unescape(data)
             text.append(data)
-            if links:
+            if links and not any(s[0] in HEADINGS for s in stack):
                 linked += len(data.strip())
 
     at = 0
@@ -233,6 +276,7 @@ def parse(html: str) -> Page:
             page.paths.append(f"{page.paths[parent]}>{step}" if parent >= 0 else step)
             page.tags.append(tag)
             page.depths.append(page.depths[parent] + 1 if parent >= 0 else 0)
+            page.parents.append(parent)
         stack.append((tag, skip, container))
         skips += skip
         links += tag == "a"
@@ -292,13 +336,15 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """The main text of every row of ``pages`` (page_id, url, html).
 
-    Blocks of the winning containers in page order, joined by one blank;
+    Blocks in page order, joined by one blank: all of the winning containers,
+    and the others that aren't mainly links (beside an article or main, text
+    that no element holds is left out);
     white space within a block is one blank, character references are
     decoded. Left out, wherever they stand: navigation, footers, asides,
     forms, scripts, hidden parts, and elements whose class, id or role names a
     menu, notice, advert, comment list or the like; headers outside an
-    article. A page without a winning path uses its own container, one
-    without any all of its blocks. Null or empty html gives an empty text;
+    article. A page without a winning path that holds most of its text uses
+    its own container, one without any all of its blocks. Null or empty html gives an empty text;
     pages without a host share the host ""; repeated rows each get a row;
     other columns are left out.
 

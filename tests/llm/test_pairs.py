@@ -226,3 +226,29 @@ def test_pages(spark):
 def test_parse(source, blocks):
     got = html.parse(source).blocks
     assert got == blocks or not blocks
+
+
+def page_text(source, winners=()):
+    return html.parse(source).extract(list(winners))
+
+
+def test_pages_keep_text_outside_a_container(spark):
+    intro, body = "An introduction. " * 5, LONG * 5
+    whole = f"Title {intro}{body}".strip()
+    post = f"<div class=post><h1><a href=/t>Title</a></h1><div class=intro>{intro}</div><div class=body>{body}</div></div>"
+    menu = "<div class=top><a href=/a>First link</a> <a href=/b>Second link</a></div>"
+    assert page_text(f"<body>{menu}{post}</body>") == whole
+    assert page_text(f"<h1>Title</h1>{intro}<div>{body}</div>") == whole
+    # an article that is a teaser doesn't replace the story
+    card, story = LONG * 3, LONG * 6
+    both = page_text(f"<body><article>{card}</article><div class=story>{story}</div></body>")
+    assert both == f"{card}{story}".strip()
+    # most pages of the host are one <pre>; one has 15% there
+    code = "let x = 1; " * 20
+    rows = [(n, f"http://code.example/{n}", f"<body><div><pre>{code}</pre></div></body>") for n in range(9)]
+    rows.append((9, "http://code.example/9", f"<body><div><pre>let y = 2;</pre><p>{LONG * 2}</div></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(pages).collect()}
+    assert got[0] == code.strip() and got[9] == f"let y = 2; {LONG * 2}".strip()
+    path = "body>div>pre"
+    assert page_text(rows[9][2], [path]) == got[9]
