@@ -53,11 +53,17 @@ CLOSES = {
 SCOPE = set("table td th ul ol dl article section div main body html".split())
 SKIP_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu".split())
 SKIP_NAMES = re.compile(
-    r"(?:ads?|advert(?:s|isements?|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|banner|cookies?|consent"
+    r"(?!(?:has|with|no)[-_]|.*[-_]open$)"  # names of states
+    r"(?:(?:ads?|advert(?:s|isements?|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|banner|cookies?|consent"
     r"|gdpr|notices?|pop-?up|modal|overlay|side-?bar|menus?|nav(?:bar|igation)?|bread-?crumbs?"
     r"|shar(?:e|ing)|social|related|recommended|comments?|disqus|respond|repl(?:y|ies)|footer"
     r"|site-?header|page-?header|masthead|subscribe|newsletter|pag(?:er|ination)|toolbar|widgets?"
-    r"|search|login|skip-?link)(?:[-_].*)?|.*[-_](?:ads?|menu|nav|sidebar|footer|comments?|banner)"
+    r"|search|login|skip-?link)(?:[-_].*)?|.*[-_](?:ads?|menu|nav|sidebar|footer|comments?|banner))"
+)
+# A list of these may outweigh the page's own text.
+COMMENT_NAMES = re.compile(
+    r"(?!(?:has|with|no)[-_]|.*[-_]open$)"
+    r"(?:(?:comments?|disqus|respond|repl(?:y|ies))(?:[-_].*)?|.*[-_]comments?)"
 )
 KEEP = {"html", "body", "main", "article"}
 
@@ -174,10 +180,19 @@ def _skipped(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if attributes.get("role", "").lower() in SKIP_ROLES:
         return True
+    return False
+
+
+def _named(tag: str, attributes: dict[str, str]) -> int:
+    """Whether a class or id says that an element be skipped, unless it turns
+    out to hold the page's text: 0 no, 1 yes, 2 as comments."""
+    if tag in ("html", "body"):
+        return 0
     names = attributes.get("class", "").lower().split() + attributes.get("id", "").lower().split()
-    if tag in KEEP:
-        return any(re.fullmatch(r"comments?(?:[-_].*)?", n) for n in names)
-    return any(SKIP_NAMES.fullmatch(n) for n in names)
+    if any(COMMENT_NAMES.fullmatch(n) for n in names):
+        own = any(re.match(r"comments?(?:[-_]|$)", n) for n in names)
+        return 2 if own or tag not in KEEP else 0
+    return int(tag not in KEEP and any(SKIP_NAMES.fullmatch(n) for n in names))
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -186,11 +201,60 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *sorted(c for c in classes if c)])
 
 
+class _Named:
+    """The elements of a page whose names say that they be skipped. What they
+    hold decides, so they are parsed and left out afterwards."""
+
+    def __init__(self, page: Page):
+        self.page = page
+        self.kinds: list[int] = []
+        self.inside: list[list[tuple[str, int]]] = []  # article and main elements around them
+        self.within: list[tuple[int, ...]] = []  # of every block
+        self.articles: list[tuple[str, int, tuple[int, ...]]] = []  # with those around them
+
+    def open(self, kind: int, inside: list[tuple[str, int]]) -> int:
+        self.kinds.append(kind)
+        self.inside.append(inside)
+        return len(self.kinds) - 1
+
+    def _has_article(self, name: int) -> bool:
+        """It holds a main element, or articles that aren't beside or below
+        the page's own."""
+        tags = {tag for tag, _, names in self.articles if name in names}
+        if not tags or "main" in tags:
+            return bool(tags)
+        around = self.inside[name]
+        if any(tag == "article" for tag, _ in around):
+            return False
+        mains = {c for _, c in around}
+        return all(names or c in mains for _, c, names in self.articles)
+
+    def leave_out(self) -> None:
+        if not self.kinds:
+            return
+        page, total, held = self.page, 0, [0] * len(self.kinds)
+        for names, weight in zip(self.within, page.weights):
+            if not any(self.kinds[n] == 2 for n in names):
+                total += weight
+                for n in names:
+                    held[n] += weight
+        out = {
+            n
+            for n, kind in enumerate(self.kinds)
+            if not (kind == 1 and 2 * held[n] > total) and not self._has_article(n)
+        }
+        keep = [out.isdisjoint(names) for names in self.within]
+        for values in (page.blocks, page.weights, page.homes, page.bare):
+            values[:] = [v for v, k in zip(values, keep) if k]
+
+
 def parse(html: str) -> Page:
     """Read a page leniently: end tags may be missing or misplaced."""
     page = Page()
-    # open elements: tag, whether it skips, container index or -1
-    stack: list[tuple[str, bool, int]] = []
+    # open elements: tag, whether it skips, container index or -1, and the
+    # number of one that is named to be skipped, or -1
+    stack: list[tuple[str, bool, int, int]] = []
+    named = _Named(page)
     skips = links = 0
     text: list[str] = []
     linked = 0
@@ -202,14 +266,15 @@ def parse(html: str) -> Page:
         if block:
             page.blocks.append(block)
             page.weights.append(max(0, len(block) - linked))
-            page.homes.append(tuple(c for _, _, c in stack if c >= 0))
+            page.homes.append(tuple(c for _, _, c, _ in stack if c >= 0))
             page.bare.append(not stack)
+            named.within.append(tuple(n for _, _, _, n in stack if n >= 0))
         linked = 0
 
     def pop() -> None:
         nonlocal skips, links
-        tag, skip, _ = stack[-1]
-        if tag not in INLINE:
+        tag, skip, _, name = stack[-1]
+        if tag not in INLINE or name >= 0:
             flush()
         stack.pop()
         skips -= skip
@@ -266,21 +331,28 @@ def parse(html: str) -> Page:
             close(CLOSES[tag], SCOPE - CLOSES[tag])
         attributes = _attributes(m[3] or m[6] or "")
         skip = _skipped(tag, attributes, any(s[0] in ("article", "main") for s in stack))
-        if tag not in INLINE or skip:
+        kind = 0 if skip or skips else _named(tag, attributes)
+        if tag not in INLINE or skip or kind:
             flush()
         container = -1
         if tag not in INLINE and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li"):
             container = len(page.paths)
-            parent = next((c for _, _, c in reversed(stack) if c >= 0), -1)
+            parent = next((c for _, _, c, _ in reversed(stack) if c >= 0), -1)
             step = _step(tag, attributes)
             page.paths.append(f"{page.paths[parent]}>{step}" if parent >= 0 else step)
             page.tags.append(tag)
             page.depths.append(page.depths[parent] + 1 if parent >= 0 else 0)
             page.parents.append(parent)
-        stack.append((tag, skip, container))
+        name = -1
+        if kind:
+            name = named.open(kind, [(t, c) for t, _, c, _ in stack if t in ("article", "main")])
+        elif tag in ("article", "main") and not (skip or skips):
+            named.articles.append((tag, container, tuple(n for _, _, _, n in stack if n >= 0)))
+        stack.append((tag, skip, container, name))
         skips += skip
         links += tag == "a"
     flush()
+    named.leave_out()
     return page
 
 
@@ -343,7 +415,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     decoded. Left out, wherever they stand: navigation, footers, asides,
     forms, scripts, hidden parts, and elements whose class, id or role names a
     menu, notice, advert, comment list or the like; headers outside an
-    article. A page without a winning path that holds most of its text uses
+    article. An element so named stays if it holds over half of the page's text
+    outside links and comments, a main element, or an article where no other
+    stands outside. A page without a winning path that holds most of its text uses
     its own container, one without any all of its blocks. Null or empty html gives an empty text;
     pages without a host share the host ""; repeated rows each get a row;
     other columns are left out.

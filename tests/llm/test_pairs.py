@@ -252,3 +252,20 @@ def test_pages_keep_text_outside_a_container(spark):
     assert got[0] == code.strip() and got[9] == f"let y = 2; {LONG * 2}".strip()
     path = "body>div>pre"
     assert page_text(rows[9][2], [path]) == got[9]
+
+
+@pytest.mark.parametrize(
+    "name",
+    "has-sidebar with-sidebar no-sidebar content-sidebar no-comments has-ads nav-open search-results".split(),
+)
+def test_named_wrappers(name):
+    menu, notes = "<div class=main-menu>Menu text</div>", "<div class=comments><p>Noise.</div>"
+    story = f"<h1>Title</h1><p>{LONG}</p>"
+    whole = f"Title {LONG}".strip()
+    for inner in (f"<article>{story}</article>", f"<main>{story}</main>", f"<div>{story}</div>"):
+        for kind in ("class", "id"):
+            assert page_text(f"<body><div {kind}='site {name}'>{menu}{inner}{notes}</div></body>") == whole
+    # short texts in an article or main count as well; other articles don't
+    assert page_text(f"<body><div class='{name}'><main>Short.</main></div><p>{LONG}</body>") == f"Short. {LONG}".strip()
+    card = "<div class=related><article>A card</article></div>"
+    assert page_text(f"<body><article>{story}{card}</article>{card}</body>") == whole
