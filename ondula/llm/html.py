@@ -29,12 +29,21 @@ SALTS = 16
 VOTED = set("html body main article section div center".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math select option".split())
-SKIP = set("nav footer aside form button dialog menu head object audio video canvas".split())
+RAW = set("script style textarea title noscript template iframe svg".split())
+UNENDED = set("script style textarea".split())  # without an end tag they hold the rest of the page
+SKIP = set(
+    "nav footer aside form button dialog menu head object audio video canvas select datalist "
+    "optgroup option annotation annotation-xml".split()
+)
+MATH = set(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom "
+    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover none semantics annotation annotation-xml".split()
+)
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt "
     "ruby s samp small span strike strong sub sup time tt u var wbr".split()
-)
+) | (MATH - {"annotation", "annotation-xml"})
 P_CLOSERS = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -49,7 +58,15 @@ CLOSES = {
     "thead": {"tr", "td", "th"},
     "tbody": {"thead", "tbody", "tr", "td", "th"},
     "tfoot": {"tbody", "tr", "td", "th"},
+    "option": {"option"},
+    "optgroup": {"option", "optgroup"},
 }
+# What these start isn't part of an option outside a list of choices, or of an svg.
+ENDS_OPTION = P_CLOSERS - {"hr"} | {"li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot"}
+_ENDS_SVG = re.compile(
+    r"<(?:blockquote|body|center|d[dlt]|div|embed|h[1-6]|hr|img|li|listing|menu|[ou]l|p|pre|ruby|table)(?=[\s/>])",
+    re.I,
+)
 SCOPE = set("table td th ul ol dl article section div main body html".split())
 SKIP_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu".split())
 SKIP_NAMES = re.compile(
@@ -201,6 +218,24 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *sorted(c for c in classes if c)])
 
 
+def _after_raw(tag: str, html: str, at: int) -> int:
+    """Where the page goes on behind an element without markup of its own."""
+    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+    if tag == "svg":
+        inner = _ENDS_SVG.search(html, at, end.start() if end else len(html))
+        if inner and not (end and "<foreignobject" in html[at : end.start()].lower()):
+            return inner.start() if end else at
+    if end:
+        return end.end()
+    return len(html) if tag in UNENDED else at
+
+
+def _has_end(tag: str, html: str, at: int) -> bool:
+    """Whether an end tag comes before the next element of the kind."""
+    m = re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).search(html, at)
+    return bool(m and m[1])
+
+
 class _Named:
     """The elements of a page whose names say that they be skipped. What they
     hold decides, so they are parsed and left out afterwards."""
@@ -321,10 +356,15 @@ def parse(html: str) -> Page:
             flush()
         if tag in VOID:
             continue
+        closed = (m[3] or m[6] or "").endswith("/") and (tag == "svg" or tag in MATH)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if not closed:
+                at = _after_raw(tag, html, at)
+            continue
+        if closed or tag in ("select", "datalist") and not _has_end(tag, html, at):
             continue
+        if tag in ENDS_OPTION and not any(s[0] in ("select", "datalist") for s in stack):
+            close({"option", "optgroup"}, SCOPE)
         if tag in P_CLOSERS:
             close({"p"}, SCOPE)
         if tag in CLOSES:
@@ -413,7 +453,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     that no element holds is left out);
     white space within a block is one blank, character references are
     decoded. Left out, wherever they stand: navigation, footers, asides,
-    forms, scripts, hidden parts, and elements whose class, id or role names a
+    forms, lists of choices, scripts, drawings, hidden parts, and elements whose class, id or role names a
     menu, notice, advert, comment list or the like; headers outside an
     article. An element so named stays if it holds over half of the page's text
     outside links and comments, a main element, or an article where no other

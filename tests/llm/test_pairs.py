@@ -269,3 +269,28 @@ def test_named_wrappers(name):
     assert page_text(f"<body><div class='{name}'><main>Short.</main></div><p>{LONG}</body>") == f"Short. {LONG}".strip()
     card = "<div class=related><article>A card</article></div>"
     assert page_text(f"<body><article>{story}{card}</article>{card}</body>") == whole
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("a <svg class=i viewBox='0 0 1 1'/> b <svg><text>x</text></svg> c", "a b c"),
+        ("a <math/> b", "a b"),
+        ("a <svg><path d=''> b", "a b"),
+        ("a <svg><path d=''><p>b</p><svg><g/></svg> c", "a b c"),
+        ("a <svg><foreignObject><p>x</p></foreignObject></svg> b", "a b"),
+        ("for <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn></math> b", "for x=1 b"),
+        ("<math><semantics><mi>x</mi><annotation>\\x</annotation></semantics></math> b", "x b"),
+        ("a <input list=l><datalist id=l><option value=a><option value=b>x</datalist> b", "a b"),
+        ("a <select><optgroup><option>x<hr><option>y</select> b", "a b"),
+        ("a <select><option>x<p>b</p>c", "a b c"),
+        ("a <option>x<p>b</p>c", "a b c"),
+        ("a <select><option>x</option><div>b</div><select><option>y</select> c", "a b c"),
+        ("<head><title>x</head><p>a</p><iframe src=x><p>b</p><noscript><p>c", "a b c"),
+        ("a<script>x</script foo>b", "ab"),
+        ("a<textarea>x <p>y", "a"),
+    ],
+)
+def test_elements_without_end_tags(source, text):
+    assert page_text(source) == text
+    assert page_text(f"<body><article><p>{source}</p></article></body>") == text
