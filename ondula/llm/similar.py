@@ -12,9 +12,10 @@ are pruned by the sizes of sets and of their hashed parts, which bound the
 overlap, and verified on the sets.
 
 A signature with more than GROUP members isn't paired out. Its sets are
-compared by their parts inside the task that holds it, those of one component
-not at all: first a forest of pairs that may link leaves it and is verified,
-then every pair that may link and that the forest's links leave apart.
+compared by their parts in pairs of blocks of about BLOCK sets, each pair of
+blocks apart from the others, and those of one component not at all: first a
+forest of pairs that may link leaves every pair of blocks and is verified, then
+every pair that may link and that the forest's links leave apart.
 
 Rare and frequent: how many different sets hold a token is counted for all
 tokens in the lower part of the hash range (RANGE); those in more than GROUP
@@ -25,6 +26,7 @@ right, since all tasks share it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -41,6 +43,7 @@ from ondula.session import broadcast_if_small
 
 RANGE = int(0.3 * 2**64)
 GROUP = 16  # members of a signature that are paired with each other at once
+BLOCK = 1024  # members of larger signatures that are compared in one piece
 CLASSES = 8
 SMALL = 40  # sets up to this size have plain prefixes; see _signatures
 PARTS = 256  # hashed parts of a set whose sizes, up to 255, bound an overlap
@@ -268,34 +271,34 @@ def _may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.n
 
 
 def _cross(percent: int, forest: bool):
-    """Pairs that may link among the members of each signature that are not
-    connected yet: all, or a forest that connects the same members.
-    Signatures that have the same least member come together, and a pair that
-    several of them hold is compared once."""
-
-    def compare(sids, roots, n, parts, groups) -> np.ndarray:
-        """Minor members, whose root is not the commonest, against all."""
-        values, counts = np.unique(roots, return_counts=True)
-        minor = np.flatnonzero(roots != values[counts.argmax()])
+    """Pairs that may link among the rows of each ``pair`` of blocks that share
+    a signature and aren't connected yet: all, or a forest that connects the
+    same members. Side 0 is compared with side 1, side 2 belongs to both."""
+
+    def compare(sids, roots, n, parts, groups, left, right) -> np.ndarray:
         coarse = parts.reshape(len(parts), COARSE, -1).sum(axis=2, dtype=np.int16)
         full = (parts == 255).any(axis=1)
-        place = np.full(len(sids), -1)
+        at_left, at_right = np.full(len(sids), -1), np.full(len(sids), -1)
+        at_right[right] = np.arange(len(right))
         out = []
-        step = max(1, (16 << 20) // len(sids))
-        for at in range(0, len(minor), step):
-            block = minor[at : at + step]
-            place[:] = -1
-            place[block] = np.arange(len(block))
-            near = np.zeros((len(block), len(sids)), dtype=bool)
+        step = max(1, (16 << 20) // max(1, len(right)))
+        for at in range(0, len(left), step):
+            block = left[at : at + step]
+            at_left[:] = -1
+            at_left[block] = np.arange(len(block))
+            near = np.zeros((len(block), len(right)), dtype=bool)
             for g in groups:
-                own = place[g]
-                if (own >= 0).any():
-                    near[np.ix_(own[own >= 0], g)] = True
-            near &= roots[block][:, None] != roots
-            near &= 100 * n[block][:, None] >= percent * n
-            near &= 100 * n >= percent * n[block][:, None]
+                x, y = at_left[g], at_right[g]
+                x, y = x[x >= 0], y[y >= 0]
+                if len(x) and len(y):
+                    near[np.ix_(x, y)] = True
+            near &= roots[block][:, None] != roots[right]
+            near &= 100 * n[block][:, None] >= percent * n[right]
+            near &= 100 * n[right] >= percent * n[block][:, None]
             for i, row in zip(block.tolist(), near):
-                j = np.flatnonzero(row & (roots != roots[i]) if forest else row)
+                j = right[row]
+                if forest:
+                    j = j[roots[j] != roots[i]]
                 both = n[i] + n[j]
                 apart = np.abs(coarse[j] - coarse[i]).sum(axis=1, dtype=np.int64)
                 j = j[(100 * (both - apart) >= percent * (both + apart)) | full[i] | full[j]]
@@ -310,15 +313,16 @@ def _cross(percent: int, forest: bool):
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def finish(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(rows)
-        sig, sid, root, n = (table.column(c).to_numpy() for c in ("sig", "sid", "root", "n"))
-        sids, first, at = np.unique(sid, return_index=True, return_inverse=True)
-        parts = np.stack(
-            [np.frombuffer(table.column("parts")[int(i)].as_py(), dtype=np.uint8) for i in first]
-        )
+        table = pa.Table.from_batches(rows).combine_chunks()
+        side, sid, root, n = (table.column(c).to_numpy() for c in ("side", "sid", "root", "n"))
+        sigs = table.column("sigs").combine_chunks()
+        sig = sigs.flatten().to_numpy()
+        at = np.repeat(np.arange(len(sid)), sigs.value_lengths().to_numpy())
+        parts = np.frombuffer(b"".join(table.column("parts").to_pylist()), np.uint8).reshape(-1, PARTS)
         order = np.argsort(sig, kind="stable")
         cuts = np.flatnonzero(np.diff(sig[order])) + 1
-        pairs = compare(sids, root[first].copy(), n[first], parts, np.split(at[order], cuts))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        pairs = compare(sid, root.copy(), n, parts, np.split(at[order], cuts), left, right)
         return pa.RecordBatch.from_arrays(
             [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"]
         )
@@ -484,21 +488,72 @@ class _Join:
             return links
         for forest in (True, False):
             apart = self._apart(many, links)
-            least = apart.groupBy("sig").agg(F.min("sid").alias("key"))
-            rows = (
-                apart.join(least, "sig")
-                .join(self.classes.select("sid", "n", "parts"), "sid")
-                .select("key", "sig", "sid", "root", "n", "parts")
-            )
             pairs = (
-                rows.repartition("key")
-                .sortWithinPartitions("key")
+                self._paired(apart)
+                .repartition("pair")
+                .sortWithinPartitions("pair")
                 .mapInArrow(_cross(self.percent, forest), "a long, b long")
                 .distinct()
             )
             links = stored(links.union(self.verified(stored(pairs, "crossed"))), "links")
         return links
 
+    def _paired(self, apart: DataFrame) -> DataFrame:
+        """The members of signatures, once for every pair of blocks that they
+        are compared in: pair, side, sid, root, n, sigs, parts.
+
+        Signatures that have the same least member come together, so that a
+        pair that several of them hold is compared once. Members outside the
+        commonest component are compared with all. Where there are more than
+        BLOCK, blocks are cut by that, by size and by hash; sets in sizes
+        that aren't next to each other can't link."""
+        least = apart.groupBy("sig").agg(F.min("sid").alias("key"))
+        members = stored(
+            apart.join(least, "sig")
+            .groupBy("key", "sid")
+            .agg(F.collect_set("sig").alias("sigs"), F.first("root").alias("root"))
+            .join(self.classes.select("sid", "n", "parts"), "sid"),
+            "open-members",
+        )
+        roots = members.groupBy("key", "root").agg(F.count("*").alias("held"))
+        keys = roots.groupBy("key").agg(
+            F.max_by("root", F.struct("held", "root")).alias("commonest"), F.sum("held").alias("members")
+        )
+        ratio = math.log(100 / self.percent) + 1e-6
+        placed = members.join(keys, "key").select(
+            *members.columns,
+            "members",
+            (F.col("root") != F.col("commonest")).alias("minor"),
+            F.floor(F.log("n") / ratio).alias("band"),
+        )
+        out = ["pair", "side", "sid", "root", "n", "sigs", "parts"]
+        whole = placed.where(F.col("members") <= BLOCK)
+        whole = whole.withColumn("pair", F.col("key")).withColumn("side", F.when(F.col("minor"), 2).otherwise(1))
+        many = placed.where(F.col("members") > BLOCK)
+        of = ["key", "minor", "band"]
+        counts = many.groupBy(of).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        cut = many.join(counts, of).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks"))
+        blocks = counts.select(*of, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        left = blocks.where("minor").select("key", F.col("band").alias("band1"), F.col("block").alias("block1"))
+        pairs = blocks.join(left, "key").where(
+            "abs(band - band1) <= 1 AND (NOT minor OR struct(band1, block1) <= struct(band, block))"
+        )
+        same = F.expr("minor AND band = band1 AND block = block1")
+        pairs = pairs.select(
+            "*", same.alias("same"), F.xxhash64("key", "band1", "block1", "minor", "band", "block").alias("pair")
+        )
+        first = pairs.select(
+            "pair",
+            F.when(F.col("same"), 2).otherwise(0).alias("side"),
+            "key",
+            F.lit(True).alias("minor"),
+            F.col("band1").alias("band"),
+            F.col("block1").alias("block"),
+        )
+        second = pairs.where("NOT same").select("pair", F.lit(1).alias("side"), *of, "block")
+        dealt = cut.join(first.union(second), [*of, "block"])
+        return whole.select(out).union(dealt.select(out))
+
     def _apart(self, many: DataFrame, links: DataFrame) -> DataFrame:
         """Members of signatures whose members are not all connected."""
         roots = components(links)

@@ -122,6 +122,27 @@ def test_similar(spark, docs, k, percent, group, monkeypatch):
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in want if want[i][1] == i)
 
 
+@pytest.mark.parametrize("k,percent,group", [(2, 60, 2), (1, 80, 3)])
+def test_similar_in_blocks(spark, docs, k, percent, group, monkeypatch):
+    """Members of a signature are compared in pairs of bounded blocks."""
+    monkeypatch.setattr(similar, "GROUP", group)
+    monkeypatch.setattr(similar, "BLOCK", 4)
+    sizes = []
+    paired = similar._Join._paired
+
+    def measured(join, apart):
+        out = paired(join, apart)
+        sizes.extend(r["count"] for r in out.groupBy("pair").count().collect())
+        return out
+
+    monkeypatch.setattr(similar._Join, "_paired", measured)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = similar.similar(docs, k, percent).collect()
+    want = brute_similar(rows.items(), k, percent)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert 10 < len(sizes) and max(sizes) <= 32
+
+
 def test_similar_with_repeated_and_null_ids(spark):
     p, q = (" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
     rows = [(5, p), (5, p), (5, q), (None, q), (7, p), (None, None), (9, ""), (9, "")]
