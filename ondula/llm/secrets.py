@@ -22,7 +22,6 @@ KINDS = ["assign", "access", "hex", "markov"]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 UUID = "[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # an id, not a secret
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-SAMPLE_DOCS = 2000  # documents whose words teach what is ordinary
 SAMPLE_RANDOM = 3000  # generated random strings of each shape
 MIN_RATIO = 0.7  # mean log-likelihood ratio of a step (nats)
 PLACEHOLDER = "[SECRET]"
@@ -145,21 +144,10 @@ def random_strings(spark: SparkSession) -> DataFrame:
 
 
 def ordinary_strings(docs: DataFrame) -> DataFrame:
-    """Labelled ordinary identifiers: the ASCII words of SAMPLE_DOCS documents
-    with the smallest text hashes, without those that hold a base secret."""
-    hashed = docs.select("text", F.xxhash64("text").alias("_h")).where("text IS NOT NULL")
-    smallest = hashed.select("_h").distinct().orderBy("_h").limit(SAMPLE_DOCS)
-    limit = smallest.agg(F.max("_h")).first()[0]
-    if limit is None:
-        return docs.sparkSession.createDataFrame([], "text string, is_random int")
-    words = (
-        hashed.where(F.col("_h") <= limit)
-        .dropDuplicates(["_h"])
-        .select(
-            F.explode(
-                F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))
-            ).alias("text")
-        )
+    """Labelled ordinary identifiers: the ASCII words of all documents, without
+    those that hold a base secret."""
+    words = docs.where("text IS NOT NULL").select(
+        F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("text")
     )
     secret = F.col("text").rlike(f"AKIA[A-Z0-9]{{16}}|[0-9a-f]{{12}}|(?i)password|token")
     return words.where(~secret).select("text", F.lit(0).alias("is_random"))
@@ -217,7 +205,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     or more of ``A-Za-z0-9+/_=-`` with a letter and a digit that hold no base
     span are scored by the two models and added as kind markov from MIN_RATIO
     up. The models are trained on generated random strings and the words of
-    at most SAMPLE_DOCS documents. A null or empty text has no span; repeated
+    all documents. A null or empty text has no span; repeated
     rows each get a row; other columns are left out.
 
     Returns doc_id, text, base, spans: arrays of (start, kind, stop) by start,

@@ -98,6 +98,13 @@ def test_secret_spans(spark):
     assert got[len(SECRETS)]["spans"] == []
 
 
+def test_ordinary_strings_are_of_all_documents(spark):
+    rows = [(n, f"word{n} token123 - {n}") for n in range(2500)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["text"] for r in secrets.ordinary_strings(docs).collect())
+    assert got == sorted([f"word{n}" for n in range(2500)] + [str(n) for n in range(1000, 2500)])
+
+
 def test_secret_stage_keeps_columns(spark):
     docs = frame(spark, SECRETS)
     out = secrets.without_secrets(docs)
