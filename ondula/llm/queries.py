@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.llm import byte_bpe, classifier, decontaminate, html, repeats, rules, secrets, sharding, similar, tokens
+from ondula.llm import byte_bpe, classifier, decontaminate, html, repeats, rules, secrets, sharding, similar, spelling, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -220,3 +220,8 @@ def op10_byte_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
         public_tokenizers.PATTERN,
     )
+
+
+@query
+def op11_pivotal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
