@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.llm import byte_bpe, classifier, decontaminate, html, repeats, rules, secrets, sharding, similar, spelling, tokens
+from ondula.llm import byte_bpe, classifier, decontaminate, html, linededup, repeats, rules, secrets, sharding, similar, spelling, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -225,3 +225,27 @@ def op10_byte_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_pivotal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), digest=True)
+
+
+_KEY = r"translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op13_cuckoo_lines"] = f"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), l AS (
+  SELECT doc_id, p, x, {_KEY} AS k
+  FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS p FROM d)
+), h AS (
+  SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= {linededup.MIN_CHARS}
+  GROUP BY k HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS}
+), f AS (
+  SELECT doc_id, p, x, coalesce(last <> doc_id, false) AS gone FROM l LEFT JOIN h USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
