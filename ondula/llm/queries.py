@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.llm import byte_bpe, classifier, decontaminate, html, linededup, repeats, rules, secrets, sharding, similar, spelling, tokens
+from ondula.llm import byte_bpe, classifier, decontaminate, html, linededup, negatives, repeats, rules, secrets, sharding, similar, spelling, tokens
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -227,6 +227,11 @@ def op11_pivotal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"), digest=True)
