@@ -215,5 +215,14 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows stay."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = fit(describe(ids.where(~held_out()), ["doc_id"]), labels)
-    rows = docs.select("text", F.struct("*").alias("_row"))
-    return scored(describe(rows, ["_row"]), model).where("predicted = 1").select("_row.*")
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # each text is held once; features and scores of 1 MB at a time
+        for part in text_slices(batches, "text", 1 << 20):
+            score = model.score(features(part.column(at)))
+            yield part.filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
