@@ -9,6 +9,7 @@ tokens, and its base, the number of tokens in all shards before it.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,18 +31,46 @@ CACHE_CHARS = 4_000_000
 READ_DOCS = 4096  # documents that a reading task takes at a time
 
 
+# A tokenizer file with these steps can be applied chunk by chunk.
+NORMALIZER = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_blanks(tokenizer: Tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, drops white space, and gives runs of
+    letters to a byte-level model, so that its file fits :class:`ChunkEncoder`."""
+    said = json.loads(tokenizer.to_str())
+    first, *rest = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        (said.get("normalizer") or {}).get("normalizers") == NORMALIZER
+        and first.get("type") == "Split"
+        and first.get("pattern") == {"Regex": SPLIT}
+        and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+        and [r.get("type") for r in rest] == ["ByteLevel"]
+        and not rest[0].get("add_prefix_space")
+        and said["model"]["type"] == "BPE"
+    )
+
+
 class ChunkEncoder:
     """Encodes texts by the tokenizer through a table of their chunks.
 
     The tokenizer drops white space and never joins across it, so a text may
     be cut at blanks and newlines. A chunk of plain letters with at most one
     mark behind them goes to the model directly, lower-cased and in the
-    model's byte alphabet; all others go through the whole tokenizer.
+    model's byte alphabet; all others go through the whole tokenizer. A
+    tokenizer file with other steps gets whole texts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_chunks = cuts_at_blanks(self.tokenizer)
+        self.marks = {m: [t.id for t in self.model.tokenize(m)] for m in ".,"}
         self.forget()
 
     def forget(self) -> None:
@@ -51,40 +80,55 @@ class ChunkEncoder:
         self.held = 0
         self.ids = Ragged()
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(_in_bytes(piece))]
-            self.held += len(piece)
-        return ids
-
     def _learn(self) -> None:
         """Encode the chunks that have been numbered since the last time."""
+        tokenize, pieces, marks = self.model.tokenize, self.pieces, self.marks
         ids: list = []
         rest: list[tuple[int, str]] = []
-        for n, (_, c) in enumerate(self.fresh):
-            if is_latin(c) and c.isalpha():
-                ids.append(self._piece(c.lower()))
-            elif c[-1:] in (".", ",") and is_latin(c) and c[:-1].isalpha():
-                ids.append(self._piece(c[:-1].lower()) + self._piece(c[-1]))
+        for _, c in self.fresh:
+            if c.isalpha():
+                core, mark = c, None
             else:
-                rest.append((n, c))
-                ids.append(())
-            self.held += len(c)
+                core, mark = c[:-1], marks.get(c[-1:])
+                if mark is None or not core.isalpha():
+                    rest.append((len(ids), c))
+                    ids.append(())
+                    continue
+            found = pieces.get(core)
+            if found is None:
+                if core.isascii():
+                    found = [t.id for t in tokenize(core.lower())]
+                elif is_latin(core):
+                    found = [t.id for t in tokenize(_in_bytes(core.lower()))]
+                else:
+                    rest.append((len(ids), c))
+                    ids.append(())
+                    continue
+                pieces[core] = found
+            ids.append(found if mark is None else found + mark)
+        self.held += sum(len(c) for _, c in self.fresh)
         self.fresh.clear()
         done = self.tokenizer.encode_batch([c for _, c in rest], add_special_tokens=False)
         for (n, _), e in zip(rest, done):
             ids[n] = e.ids
-        self.ids.add(
-            np.array([i for x in ids for i in x], dtype=np.uint32),
-            np.array([len(x) for x in ids], dtype=np.int64),
-        )
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, ``end`` behind each text; ids of each text."""
+        if not self.by_chunks:
+            ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            lens = np.array([len(x) + 1 for x in ids], dtype=np.int64)
+            flat = chain.from_iterable(chain(x, (end,)) for x in ids)
+            return np.fromiter(flat, np.uint32, int(lens.sum())), lens
         if len(self.ids.lens) > CACHE_CHUNKS or self.held > CACHE_CHARS:
             self.forget()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        # the tokenizer lower-cases anyway; before the cut there are fewer chunks
+        # (special tokens are looked for before that, so texts that may hold one stay)
+        cut = [
+            (t.lower() if is_latin(t) and "<|" not in t else t).replace("\n", " ").split(" ")
+            for t in texts
+        ]
         sizes = np.array([len(c) for c in cut], dtype=np.int64)
         index = np.fromiter(
             map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum())
