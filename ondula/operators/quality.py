@@ -91,8 +91,8 @@ def drop_failed(rows: DataFrame, violations: DataFrame, keys: list[str]) -> Data
     return marked.join(failed.distinct(), "_parts", "left_anti").drop("_parts")
 
 
-def file_violations(names: DataFrame, clashes: DataFrame, arity: DataFrame, tokens: DataFrame) -> DataFrame:
-    """V02-V05, from the outputs of the scan and rename operators."""
+def header_violations(names: DataFrame, clashes: DataFrame) -> DataFrame:
+    """V02 and V03, from header names and the outcome of the renaming."""
     duplicates = names.groupBy("source", "column").agg(F.count(F.lit(1)).alias("times"))
     return union_all(
         [
@@ -100,6 +100,15 @@ def file_violations(names: DataFrame, clashes: DataFrame, arity: DataFrame, toke
                   F.concat(F.lit("new name taken: "), F.col("clash")))]),
             check(duplicates, ["source"], [("V03", F.col("times") > 1,
                   F.concat_ws(" x ", F.col("times"), F.col("column")))]),
+        ]
+    )
+
+
+def file_violations(names: DataFrame, clashes: DataFrame, arity: DataFrame, tokens: DataFrame) -> DataFrame:
+    """V02-V05, from the outputs of the scan and rename operators."""
+    return union_all(
+        [
+            header_violations(names, clashes),
             check(arity, ["source"], [("V04", F.lit(True), F.col("detail"))]),
             check(tokens, ["source"], [("V05", F.lit(True),
                   F.concat(F.lit("token "), F.col("token")))]),

@@ -7,16 +7,17 @@ stored table instead of recomputing the text scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import ondula
 from ondula.operators import quality
 from ondula.functions.names import spectrum_stage
-from ondula.operators.columns import extract_pairs, locate_pairs, rename_columns
+from ondula.operators.columns import locate_pairs, rename_columns
 from ondula.operators.gridstats import (
     COUNTS_FOR_STATS,
     interp_stats,
@@ -32,7 +33,7 @@ from ondula.operators.sweep import sweep_domains, sweep_series
 from ondula.plans.catalog import catalog, explode_tags, summary, tag_values
 from ondula.plans.settings import resolve_settings, unmatched_overrides, work_list
 from ondula.plans.template import Template
-from ondula.session import broadcast_if_small, cut
+from ondula.session import broadcast_if_small, cut, observed
 from ondula.sinks.stages import (
     read_spectra,
     read_stage,
@@ -40,16 +41,7 @@ from ondula.sinks.stages import (
     write_spectra,
     write_stage,
 )
-from ondula.sources.text import (
-    arity_problems,
-    bad_tokens,
-    columns,
-    data_rows,
-    header_ends,
-    numbered_rows,
-    read_lines,
-    suspicious_rows,
-)
+from ondula.sources.tabbed import checked_samples, file_names, file_rows, row_violations
 
 KEYS = ["variable", "file"]
 STATS_SCHEMA = (
@@ -82,6 +74,8 @@ class Analysis:
     max_rows: int = MAX_ROWS
     checked: bool = True
     pairs: DataFrame | None = None
+    # what the scan of the samples found: violations, and the series they hit
+    scanned: Callable[[], tuple[DataFrame, DataFrame]] | None = None
     _found: list[DataFrame] = field(default_factory=list)
 
     def keep(self, rows: DataFrame, stage: str) -> DataFrame:
@@ -129,6 +123,15 @@ class Analysis:
             samples, settings = self.screen(found, samples, settings)
         unprocessed = self.keep(samples, "unprocessed")
         pairs = self.pairs
+        if self.scanned is not None:
+            found, hit = self.scanned()
+            self._found.append(found)
+            if self.strict:
+                quality.raise_on_errors(found)
+            else:
+                unprocessed = unprocessed.join(broadcast_if_small(hit), KEYS, "left_anti")
+                settings = settings.join(hit, KEYS, "left_anti")
+                pairs = pairs.join(hit, KEYS, "left_anti")
         if pairs is None and self.checked:
             pairs = settings.select(
                 *KEYS, F.lit(True).alias("x_found"), F.lit(True).alias("y_found")
@@ -287,30 +290,30 @@ def run_template(
     overrides = template.overrides_df(spark)
     settings = resolve_settings(work, overrides, template.global_settings)
 
-    lines = read_lines(spark, base, [f["source"] for f in template.files])
-    ends = broadcast_if_small(cut(header_ends(lines)))
-    names = cut(columns(lines, ends))
+    sources = [f["source"] for f in template.files]
+    names = cut(file_names(spark, base, sources))
     renamed = rename_columns(names, template.renames)
-    rows = data_rows(lines, drop_first_row, ends)
     located = broadcast_if_small(cut(locate_pairs(work, renamed.drop("clash"))))
 
     analysis = Analysis(
         template.fft, strict, store, template.project["format"] == "csv", max_rows
     )
-    # rows are numbered, for the messages, only when there is a bad one
-    counted = rows.limit(0).withColumn("row", F.lit(0).cast("bigint"))
-    if not suspicious_rows(rows, names).isEmpty():
-        counted = numbered_rows(rows, max_rows)
-    file_errors = quality.file_violations(
-        names, renamed, arity_problems(counted, names), bad_tokens(counted)
-    )
-    if strict:
-        quality.raise_on_errors(file_errors)
-    else:
-        failed = file_errors.where("severity = 'error'").selectExpr("key AS source")
-        located = cut(located.join(failed, "source", "left_anti"))
-    samples = extract_pairs(rows, located, KEYS)
-    analysis._found.append(file_errors)
+    # one pass gives the samples and tells whether any row is at fault
+    scan = Observation()
+    judged = checked_samples(file_rows(spark, base, sources, drop_first_row), located, KEYS)
+    faulty = F.expr("count_if(n_tokens <> n_headers OR size(bad) > 0)").alias("rows")
+    kept = judged.observe(scan, faulty).where(F.col(KEYS[0]).isNotNull())
+    samples = kept.select(*KEYS, "x", "y")
+
+    def scanned() -> tuple[DataFrame, DataFrame]:
+        found = quality.header_violations(names, renamed)
+        if observed(scan, "rows") != 0:
+            found = found.unionByName(row_violations(judged.where(F.col(KEYS[0]).isNull())))
+        found = cut(found)
+        failed = found.where("severity = 'error'").selectExpr("key AS source").distinct()
+        return found, located.join(failed, "source", "left_semi").select(*KEYS)
+
+    analysis.scanned = scanned
     unmatched = unmatched_overrides(overrides, work)
     analysis._found.append(
         quality.check(unmatched, ["dest", "variable"], [("V33", F.lit(True), "override target does not exist")])

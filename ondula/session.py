@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Rows (of some hundred bytes) that every executor may hold a copy of.
@@ -29,6 +31,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so later recomputation can't change it."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -43,6 +51,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df)
 
 
+def observed(observation: Observation, name: str):
+    """An observed metric, or None where the plan was so empty that nothing
+    was observed."""
+    try:
+        return observation.get[name]
+    except (Py4JJavaError, KeyError):
+        return None
+
+
 def sql_value(value, dtype: str = "double") -> str:
     """SQL for a parameter: a Python value, ``None``, or a SQL expression over
     the columns of the series (most often just a column name)."""

@@ -161,6 +161,15 @@ def test_strict_mode_stops_at_bad_files(spark, tmp_path):
     assert "V05 f1.dat" in str(error.value)
 
 
+def test_lenient_mode_goes_on_without_bad_files(spark, tmp_path):
+    good = "\n".join(f"{2 + i / 10}\t{math.sin(i)} {math.cos(i)}" for i in range(150))
+    (tmp_path / "f0.dat").write_text("Depth (km)\tch_a\tch_b\n" + good + "\n")
+    (tmp_path / "f1.dat").write_text("Depth (km)\tch_a\tch_b\n1\t1 1\n2 2 2\n3 x 3\n")
+    result = run_template(spark, parse_template(TEMPLATE), str(tmp_path), str(tmp_path / "out"), strict=False)
+    assert {r["file"] for r in result.catalog.collect()} == {"site/run_0"}
+    assert {r["code"] for r in result.violations.where("severity = 'error'").collect()} == {"V05"}
+
+
 def test_lines_of_spaced_numbers_are_headers(spark, tmp_path):
     # only TABs separate header tokens, so this file has no data at all
     for f in (0, 1):

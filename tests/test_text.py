@@ -6,7 +6,7 @@ from conftest import collect
 from ondula.functions.names import natural_key, sanitise_name
 from ondula.functions.values import format_length, parse_length, to_double
 from ondula.operators.columns import extract_pairs, locate_pairs, rename_columns
-from ondula.sources import text
+from ondula.sources import tabbed, text
 from pyspark.sql import functions as F
 
 FILES = {
@@ -28,6 +28,71 @@ def lines(spark, tmp_path_factory):
     return text.read_lines(spark, str(base), list(FILES)).cache()
 
 
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    base = tmp_path_factory.mktemp("text files")
+    for name, content in FILES.items():
+        (base / name).write_text(content, newline="")
+    (base / "empty.dat").write_text("")
+    long = "\n".join(f"{i}\t{i} {'9' * (i % 400)}" for i in range(3000))
+    (base / "long.dat").write_text("a\tb\n" + "deep\t" * 30_000 + "\n\n" + long)
+    return str(base)
+
+
+@pytest.mark.parametrize("split", [1, 3, 7, 64, 1000, 1 << 20])
+def test_ranges_of_any_size_give_the_same_rows(spark, lines, folder, split):
+    names = [*FILES, "empty.dat"]
+    rows = tabbed.file_rows(spark, folder, names, split_bytes=split)
+    got = sorted((r["source"], r["tokens"]) for r in rows.collect())
+    assert got == sorted((r["source"], r["tokens"]) for r in text.data_rows(lines).collect())
+    every = tabbed.file_rows(spark, folder, names, False, split)
+    for r in every.collect():
+        rest = FILES[r["source"]].encode()[r["offset"] :].decode()
+        assert rest.split("\n")[0].split() == r["tokens"]
+
+
+def test_long_files_and_heads(spark, folder):
+    for split in (5000, 100_000, 64 << 20):
+        rows = tabbed.file_rows(spark, folder, ["long.dat"], split_bytes=split).collect()
+        assert len(rows) == 2999 and {r["n_headers"] for r in rows} == {30_002}
+        assert len({r["offset"] for r in rows}) == 2999
+    names = tabbed.file_names(spark, folder, list(FILES))
+    with pytest.raises(ValueError, match="V01"):
+        tabbed.file_rows(spark, folder, [])
+    with pytest.raises(Exception, match="nosuch.dat"):
+        tabbed.file_rows(spark, folder, ["nosuch.dat"]).collect()
+    assert names.where("source = 'headeronly.dat' AND idx IS NULL").count() == 3
+
+
+def test_names_by_either_scan(spark, lines, folder):
+    got = tabbed.file_names(spark, folder, list(FILES))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(
+        map(tuple, text.columns(lines).collect()), key=repr
+    )
+
+
+def test_one_pass_gives_samples_and_problems(spark, folder):
+    names = ["short.dat", "bad.dat", "plain.dat"]
+    work = spark.createDataFrame(
+        [("short.dat", "s", "v", "a", "b"), ("bad.dat", "t", "v", "b", "a"), ("bad.dat", "t", "w", "b", "b")],
+        "source string, file string, variable string, x_col string, y_col string",
+    )
+    located = locate_pairs(work, tabbed.file_names(spark, folder, names))
+    judged = tabbed.checked_samples(tabbed.file_rows(spark, folder, names), located, ["variable", "file"])
+    samples = judged.where("file IS NOT NULL").select("file", "variable", "offset", "x", "y")
+    assert collect(samples, "file", "variable", "offset") == [
+        ("s", "v", 8, 1, 2), ("s", "v", 12, 3, None), ("s", "v", 14, 4, 5),
+        ("t", "v", 8, 2, None), ("t", "v", 15, 3, None), ("t", "w", 8, 2, 2), ("t", "w", 15, 3, 3),
+    ]
+    found = tabbed.row_violations(judged.where("file IS NULL"))
+    assert collect(found.select("key", "code", "detail"), "code", "detail") == [
+        ("short.dat", "V04", "byte 12: 1 tokens for 2 names"),
+        ("short.dat", "V04", "byte 14: 3 tokens for 2 names"),
+        ("bad.dat", "V05", "byte 15: token abc"),
+        ("bad.dat", "V05", "byte 8: token 1.5f"),
+    ]
+
+
 def test_sources_keep_their_names(lines):
     assert {r[0] for r in lines.select("source").distinct().collect()} == set(FILES)
 
