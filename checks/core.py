@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.views import E, EH, KEYS, L, events, hourly, prices, rounded, six_sql, unique
 from ondula.operators.gridstats import global_length, interp_stats, min_dx_length, with_grid_length
-from ondula.operators.impulse import impulse_filter, median_filter
+from ondula.operators.impulse import impulse_filter, impulse_filter_mixed, median_filter
 from ondula.operators.resample import resample
 from ondula.operators.segments import MAX_ROWS
 from ondula.operators.series import (
@@ -26,7 +26,7 @@ from ondula.operators.series import (
     scale_y,
     trim,
 )
-from ondula.operators.spectrum import spectrum, windowed
+from ondula.operators.spectrum import sweep_spectra, windowed
 from ondula.operators.sweep import sweep_series
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,6 +205,42 @@ register(
     IMPULSE_L,
     over(prices, lambda s: impulse_filter(s, KEYS, 14, 1.5), "y", max_rows=TINY),
 )
+def mixed_sql(view: str, key: str) -> str:
+    """Width 2 * (key % 4) + 1 and tuning 0.5 + key % 3 / 2; key % 4 = 0 is off."""
+    parts = [f"SELECT series, x, {Y6} AS y FROM ({view}) WHERE {key} % 4 = 0"]
+    for half in (1, 2, 3):
+        for step in range(3):
+            own = f"SELECT * FROM ({view}) WHERE {key} % 4 = {half} AND {key} % 3 = {step}"
+            tuning = 0.5 + step / 2
+            parts.append(
+                filter_sql(own, half, f"CASE WHEN abs(y - med) > {tuning} * sn THEN med ELSE y END")
+            )
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
+def mixed(key: str):
+    def chain(s):
+        return impulse_filter_mixed(
+            s.selectExpr(
+                "*", f"IF({key} % 4 = 0, 0, 2 * ({key} % 4) + 1) AS width",
+                f"0.5D + {key} % 3 / 2 AS tuning",
+            ),
+            KEYS, "width", "tuning",
+        )
+
+    return chain
+
+
+register(
+    "impulse_filter_mixed",
+    mixed_sql(unique(EH), "series"),
+    over(hourly, mixed("series"), "y"),
+)
+register(
+    "impulse_filter_mixed_segmented",
+    mixed_sql(unique(L), "ascii(series)"),
+    over(prices, lambda s: mixed("ascii(series)")(s).drop("_seg"), "y", max_rows=TINY),
+)
 register(
     "median_filter",
     filter_sql(unique(EH), 2, "med"),
@@ -409,8 +445,9 @@ def spectrum_query(
     def chain(s):
         s = invert_x(s) if inverted else s
         grid = resample(s, KEYS, n, max_rows=max_rows)
-        swept = sweep_series(grid, KEYS, sweep, steps, inverted)
-        return spectrum(windowed(swept, KEYS, center, hann), KEYS, n_fft, lower, upper, method)
+        return sweep_spectra(
+            grid, KEYS, n_fft, sweep, steps, inverted, lower, upper, center, hann, method
+        )
 
     def run(spark, d):
         out = on_monotonic(view(spark, d), KEYS, chain, max_rows)

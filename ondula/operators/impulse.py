@@ -3,20 +3,22 @@
 The window of width K reaches K // 2 samples to either side and is cut off at
 the series ends, so an even K acts as K + 1. Scale is the Sn statistic of
 Rousseeuw and Croux (1993): 1.1926 * c_n * lomed_i himed_j |y_i - y_j|.
-Everything is native; the cost per sample grows with K squared.
+``impulse_filter`` is native, for one width; its cost per sample grows with K
+squared. ``impulse_filter_mixed`` takes a width per series: it holds a series
+(or a segment with what lies around it) as an array, and its cost per sample
+is K log K.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ondula.operators.segments import moving_window
+from ondula.functions.slices import SN_FACTOR, SN_SMALL, mixed_filter
+from ondula.operators.segments import group_columns, moving_window, segmented, surroundings
 from ondula.session import sql_value
 
-# Consistency factor, and the small-sample factors c_2 .. c_9.
-SN_FACTOR = 1.1926
-SN_SMALL = {2: 0.743, 3: 1.851, 4: 0.954, 5: 1.351, 6: 0.993, 7: 1.198, 8: 1.005, 9: 1.131}
-
 # Median of the sorted array w of n values.
 MEDIAN = "(get(w, CAST((n - 1) DIV 2 AS int)) + get(w, CAST(n DIV 2 AS int))) / 2"
 
@@ -67,3 +69,43 @@ def impulse_filter(samples: DataFrame, keys: list[str], width: int, tuning=1.0)
     outlier = f"y != _m AND abs(y - _m) > {sql_value(tuning)} * {SN}"
     filtered = [f"IF({outlier}, _m, y) AS y" if c == "y" else f"`{c}`" for c in samples.columns]
     return scored.selectExpr(*filtered)
+
+
+def impulse_filter_mixed(samples: DataFrame, keys: list[str], width: str, tuning: str) -> DataFrame:
+    """The same with a width and a tuning for each series, by two columns of
+    ``samples`` that are constant within a series; a width of 0 or NULL leaves
+    a series as it is. Rows (keys, x, y), and the segment if there is one.
+
+    One grouping serves all widths. A NULL tuning counts as 1.
+    """
+    group = group_columns(samples, keys)
+    rows = samples.selectExpr(
+        *[f"`{k}`" for k in group],
+        f"CAST({width} AS int) AS _width",
+        f"coalesce(CAST({tuning} AS double), 1.0D) AS _tuning",
+        "x",
+        "y",
+    )
+    if rows.where("_width < 0").limit(1).count():
+        raise ValueError("the window width must not be negative")
+    packed = rows.groupBy(*group).agg(
+        F.expr("first(_width) AS _width"),
+        F.expr("first(_tuning) AS _tuning"),
+        F.expr("collect_list(struct(x, y)) AS _data"),
+    )
+    nothing = "CAST(array() AS array<struct<x: double, y: double>>)"
+    if segmented(samples):
+        depth = (rows.agg(F.expr("max(_width) DIV 2")).first()[0] or 0) or 1
+        around = surroundings(rows, keys, ["y"], depth, "x")
+        packed = packed.join(around, group, "left")
+        before, after = f"coalesce(_before, {nothing})", f"coalesce(_after, {nothing})"
+    else:
+        before = after = nothing
+    packed = packed.selectExpr(
+        *[f"`{k}`" for k in group], "_width", "_tuning", f"{before} AS _ahead",
+        f"{after} AS _behind", "_data",
+    )
+    fields = [packed.schema[k] for k in group]
+    schema = T.StructType([*fields, packed.schema["_data"]])
+    done = packed.mapInArrow(mixed_filter(schema.names), schema)
+    return done.select(*group, F.inline("_data"))

@@ -111,7 +111,7 @@ def by_length(
     return out.drop(SEG).unionByName(chain(spread(long, keys)).drop(SEG))
 
 
-def _surroundings(
+def surroundings(
     df: DataFrame, keys: list[str], columns: list[str], depth: int, order: str
 ) -> DataFrame:
     """Per segment: up to ``depth`` rows just before and just after it.
@@ -171,7 +171,7 @@ def neighbours(
     out = df.selectExpr("*", *[f"{e} AS `{n}`" for n, e in added.items()])
     if not segmented(df):
         return out
-    outside = _surroundings(df, keys, columns, ahead, order)
+    outside = surroundings(df, keys, columns, ahead, order)
     filled = {}
     for c in columns:
         filled[f"prev_{c}"] = f"coalesce(prev_{c}, get(_before, size(_before) - 1).`{c}`)"
@@ -198,7 +198,7 @@ def moving_window(
     inside = f"collect_list(`{column}`) {around} AS `{name}`"
     if not segmented(df) or half == 0:
         return df.selectExpr("*", inside)
-    outside = _surroundings(df, keys, [column], half, order)
+    outside = surroundings(df, keys, [column], half, order)
     before = over(f"{half} PRECEDING", "1 PRECEDING")
     after = over("1 FOLLOWING", f"{half} FOLLOWING")
     return (

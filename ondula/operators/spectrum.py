@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ondula.functions.transforms import FourStep, batch_transform, first_step, second_step
-from ondula.operators.segments import explode_range, with_stats
+from ondula.functions.slices import sliced_spectra
+from ondula.operators.segments import explode_range, segmented, with_stats
+from ondula.operators.sweep import sweep_indices, sweep_series
 from ondula.session import sql_value
 
 # Columns that the spectra add, which keys can't be called.
@@ -78,10 +80,7 @@ def spectrum(
     A sub-domain longer than the transform is an error (V20), raised when it is
     read. A band that holds no bin of a sub-domain (V17, V19) selects no row.
     """
-    if n_fft < 2 or n_fft & (n_fft - 1):
-        raise ValueError("the transform length must be a power of two")
-    if RESERVED & set(keys):
-        raise ValueError(f"key columns may not be named {sorted(RESERVED & set(keys))}")
+    _refuse(n_fft, keys)
     if method == "auto":
         method = "grouped" if n_fft <= GROUPED_MAX else "split"
     route = {"grouped": _grouped, "split": _split, "bins": _bins}[method]
@@ -96,7 +95,78 @@ def spectrum(
         .where("_start < _stop")
     )
     window = [c for c in ("domain_left", "domain_right") if c in prepared.columns]
-    return route(rows, [*keys, "sweep_index"], [*window, "n_data", "dt"], n_fft).selectExpr(
+    bins = route(rows, [*keys, "sweep_index"], [*window, "n_data", "dt"], n_fft)
+    return _scaled(bins, keys, n_fft, window)
+
+
+def sweep_spectra(
+    series: DataFrame,
+    keys: list[str],
+    n_fft: int,
+    sweep: str = "full",
+    steps: int | None = None,
+    inverted=False,
+    lower=None,
+    upper=None,
+    center: bool = True,
+    hann: bool = True,
+    method: str = "auto",
+) -> DataFrame:
+    """Spectra of the sub-domains of every series, as ``spectrum`` gives them.
+
+    Up to N = 2^20 a series is packed once, as one array, and its sub-domains
+    are slices of that: samples aren't copied to every window that holds them.
+    Longer transforms and segmented series take the steps one by one.
+    """
+    if method not in ("auto", "packed") or segmented(series) or n_fft > GROUPED_MAX:
+        swept = sweep_series(series, keys, sweep, steps, inverted)
+        return spectrum(
+            windowed(swept, keys, center, hann), keys, n_fft, lower, upper,
+            "auto" if method == "packed" else method,
+        )
+    _refuse(n_fft, keys)
+    first, last = sweep_indices(sweep, steps)
+    if "x_left" not in series.columns:
+        series = with_stats(series, keys, x_left=("min", "x"), x_right=("max", "x"))
+    packed = (
+        series.selectExpr(
+            *[f"`{k}`" for k in keys], "x_left", "x_right", "x", "y",
+            f"coalesce({sql_value(inverted, 'boolean')}, false) AS _inverted",
+            f"{sql_value(lower)} AS _lower", f"{sql_value(upper)} AS _upper",
+        )
+        .groupBy(*keys)
+        .agg(
+            *_firsts(["x_left", "x_right", "_inverted", "_lower", "_upper"]),
+            F.expr("collect_list(struct(x, y)) AS _data"),
+        )
+    )
+    schema = T.StructType(
+        [
+            *[packed.schema[k] for k in keys],
+            T.StructField("sweep_index", T.IntegerType()),
+            T.StructField("domain_left", T.DoubleType()),
+            T.StructField("domain_right", T.DoubleType()),
+            T.StructField("n_data", T.LongType()),
+            T.StructField("dt", T.DoubleType()),
+            T.StructField("_start", T.LongType()),
+            T.StructField("_norms", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    done = packed.mapInArrow(
+        sliced_spectra(n_fft, sweep, steps, first, last, center, hann, schema.names), schema
+    )
+    return _scaled(_unpack(done), keys, n_fft, ["domain_left", "domain_right"])
+
+
+def _refuse(n_fft: int, keys: list[str]) -> None:
+    if n_fft < 2 or n_fft & (n_fft - 1):
+        raise ValueError("the transform length must be a power of two")
+    if RESERVED & set(keys):
+        raise ValueError(f"key columns may not be named {sorted(RESERVED & set(keys))}")
+
+
+def _scaled(bins: DataFrame, keys: list[str], n_fft: int, window: list[str]) -> DataFrame:
+    return bins.selectExpr(
         *keys,
         "sweep_index",
         "k",

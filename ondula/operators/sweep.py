@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from ondula.operators.segments import SEG, neighbours, segmented, with_row_index, with_stats
-from ondula.session import sql_value
+from pyspark.sql import types as T
+
+from ondula.functions.slices import marks_in_segments
+from ondula.operators.segments import (
+    SEG,
+    neighbours,
+    segmented,
+    window_sql,
+    with_row_index,
+    with_stats,
+)
+from ondula.session import cut, sql_value
 
 SWEEPS = ("full", "lower", "upper", "windows")
 
@@ -128,8 +137,8 @@ def sweep_domains(
     inverted=False,
 ) -> DataFrame:
     """Every window of every series, also those that hold few samples or none:
-    keys, sweep_index, domain_left, domain_right, n_data, dt (null below two
-    samples)."""
+    keys, sweep_index, domain_left, domain_right, n_data, y_mean, dt (null below
+    two samples)."""
     first, last = sweep_indices(sweep, steps)
     gridded = with_grid_columns(series, keys)
     inv = sql_value(inverted, "boolean")
@@ -143,14 +152,88 @@ def sweep_domains(
             F.max("_inverted").alias("_inverted"),
         )
         .selectExpr("*", f"explode(sequence({first}, {last})) AS sweep_index")
-        .selectExpr(*keys, "sweep_index", f"{lo} AS domain_left", f"{hi} AS domain_right")
+        .selectExpr(
+            *keys, "sweep_index", f"{lo} AS domain_left", f"{hi} AS domain_right", "x_right"
+        )
     )
-    counts = (
-        sweep_series(series, keys, sweep, steps, inverted)
-        .groupBy(*keys, "sweep_index")
-        .agg(F.count(F.lit(1)).alias("n_data"), F.expr("min(struct(x, i, x_next))").alias("_first"))
-        .selectExpr(*keys, "sweep_index", "n_data", "IF(n_data > 1, _first.x_next - _first.x, NULL) AS dt")
+    totals = window_totals(gridded, keys, expected)
+    return expected.drop("x_right").join(totals, [*keys, "sweep_index"], "left").selectExpr(
+        *keys, "sweep_index", "domain_left", "domain_right",
+        "coalesce(n_data, 0L) AS n_data", "y_mean", "dt",
+    )
+
+
+def window_totals(series: DataFrame, keys: list[str], windows: DataFrame) -> DataFrame:
+    """Samples, mean and step of sub-domains (keys, sweep_index, domain_left,
+    domain_right, x_right): n_data, y_mean, dt (both NULL where there are none).
+
+    A prefix scan: each segment of a series is packed once as an array, and
+    knows the count and the sum of all segments before it; a window is the
+    difference of two look-ups, at its bounds. No sample is copied to the
+    windows that hold it.
+    """
+    has_segments = segmented(series)
+    rows = series.selectExpr(
+        *[f"`{k}`" for k in keys], f"{SEG if has_segments else '0'} AS _part", "x", "y", "x_next"
     )
-    return expected.join(counts, [*keys, "sweep_index"], "left").withColumn(
-        "n_data", F.coalesce("n_data", F.lit(0).cast("bigint"))
+    over = window_sql(keys, "_from")
+    past = window_sql(keys, "_from", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    packed = rows.groupBy(*keys, "_part").agg(F.expr("collect_list(struct(x, y, x_next)) AS _data"))
+    parts = (
+        rows.groupBy(*keys, "_part")
+        .agg(
+            F.expr("count(1) AS _n"), F.expr("sum(y) AS _sum"),
+            F.expr("min(struct(x, x_next)) AS _start"),
+        )
+        .selectExpr("*", "_start.x AS _from")
+        .selectExpr(
+            *keys, "_part",
+            f"row_number() {over} = 1 AS _first",
+            "_from",
+            f"lead(_start) {over} AS _next",
+            f"struct(coalesce(sum(_n) {past}, 0L) AS n, coalesce(sum(_sum) {past}, 0D) AS sum)"
+            " AS _before",
+        )
+    )
+    if has_segments:
+        parts = cut(parts)
+    marks = windows.selectExpr(
+        *keys,
+        "inline(array(struct(sweep_index, domain_left AS at, false AS upper),"
+        " struct(sweep_index, least(domain_right, x_right) AS at, true AS upper)))",
+    ).where("at IS NOT NULL")
+    # a mark belongs to the last segment that begins at or before it
+    located = (
+        marks.join(parts, keys)
+        .where("(_first OR at >= _from) AND (_next IS NULL OR at < _next.x)")
+        .groupBy(*keys, "_part")
+        .agg(
+            F.expr("first(_before) AS _before"), F.expr("first(_next) AS _next"),
+            F.expr("collect_list(struct(at, sweep_index, upper)) AS _marks"),
+        )
+    )
+    asked = located.join(packed, [*keys, "_part"]).select(
+        *keys, "_before", "_next", "_marks", "_data"
+    )
+    schema = T.StructType(
+        [
+            *[series.schema[k] for k in keys],
+            *[T.StructField(n, t) for n, t in (
+                ("sweep_index", T.IntegerType()), ("upper", T.BooleanType()), ("n", T.LongType()),
+                ("sum", T.DoubleType()), ("x", T.DoubleType()), ("x_next", T.DoubleType()),
+            )],
+        ]
+    )
+    found = asked.mapInArrow(marks_in_segments(schema.names), schema)
+    return (
+        found.groupBy(*keys, "sweep_index")
+        .agg(
+            F.expr("greatest(max(IF(upper, n, NULL)) - max(IF(upper, NULL, n)), 0L) AS n_data"),
+            F.expr("max(IF(upper, sum, NULL)) - max(IF(upper, NULL, sum)) AS _sum"),
+            F.expr("max(IF(upper, NULL, x_next - x)) AS _step"),
+        )
+        .selectExpr(
+            *keys, "sweep_index", "n_data", "IF(n_data > 0, _sum / n_data, NULL) AS y_mean",
+            "IF(n_data > 1, _step, NULL) AS dt",
+        )
     )
