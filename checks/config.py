@@ -5,18 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.core import (
-    E,
     EH,
-    LINEAR_Y,
     Y6,
-    dft_sql,
-    filter_sql,
-    grid_sql,
-    hann_sql,
-    mask_sql,
     register,
     sweep_sql,
-    trim_sql,
 )
 from checks.views import KEYS, events, hourly, rounded, six_sql, table, unique
 from ondula.functions.names import natural_key, sanitise_name
@@ -30,7 +22,6 @@ from ondula.operators.columns import (
 )
 from ondula.operators.series import dedup_mean
 from ondula.operators.sweep import sweep_domains
-from ondula.plans.analysis import Analysis
 from ondula.plans.catalog import catalog, read_back, tag_values
 from ondula.plans.settings import FIELDS, resolve_settings, unmatched_overrides, work_list
 from ondula.sinks.stages import pack_pairs, unpack_pairs
@@ -603,49 +594,3 @@ register(
         "raw", "nation", "7",
     ),
 )
-
-# -- the whole analysis -----------------------------------------------------
-
-
-def analysis(spark, d):
-    """Every stage with per-series settings, on the events of each user."""
-    samples = events(spark, d).selectExpr(
-        "'V' AS variable", "CAST(series AS string) AS file", "x", "y"
-    )
-    chosen = {
-        "impulse_filter": "5", "impulse_tuning": "2.0D", "prefactor_y": "-0.5D",
-        "masks": "array(struct(200.0D AS left, 210.0D AS right))",
-        "trim_left": "50.0D", "trim_right": "600.0D",
-        "interpolation": "'linear'", "interpolation_n": "'300'",
-    }
-    settings = samples.select("variable", "file").distinct().selectExpr(
-        "variable", "file",
-        *[
-            f"CAST({chosen.get(f, 'NULL' if default is None else repr(default))} AS {dtype}) AS {f}"
-            for f, (dtype, default) in FIELDS.items()
-        ],
-    )
-    fft = {"zero_pad": 512, "sweep": "upper", "sweep_steps": 3, "truncate_upper": 0.03}
-    run = Analysis(fft=fft).run(samples, settings)
-    return rounded(
-        run.spectra.selectExpr(
-            "CAST(file AS bigint) AS series", "sweep_index", "k", "frequency", "amplitude"
-        ),
-        "frequency", "amplitude",
-    )
-
-
-_CLEANED = filter_sql(unique(E), 2, "y0").replace(
-    f"{six_sql('y0')} AS y", "CASE WHEN abs(y - med) > 2.0 * sn THEN med ELSE y END AS y"
-)
-_KEPT = trim_sql(mask_sql(_CLEANED, 200.0, 210.0), "50.0", "600.0")
-register(
-    "analysis",
-    dft_sql(
-        hann_sql(sweep_sql(
-            grid_sql(f"SELECT series, x, y * -0.5 AS y FROM ({_KEPT})", 300, LINEAR_Y), "upper", 3
-        )),
-        512, None, 0.03,
-    ),
-    analysis,
-)

@@ -24,11 +24,11 @@ from ondula.operators.gridstats import (
     min_dx_length,
     with_grid_length,
 )
-from ondula.operators.impulse import impulse_filter
+from ondula.operators.impulse import impulse_filter_mixed
 from ondula.operators.resample import resample
 from ondula.operators.segments import MAX_ROWS, SEG, lay_out, segmented, spread
 from ondula.operators.series import dedup_mean, invert_x, mask, scale_x, scale_y, trim
-from ondula.operators.spectrum import spectrum, windowed
+from ondula.operators.spectrum import spectrum, sweep_spectra, windowed
 from ondula.operators.sweep import sweep_domains, sweep_series
 from ondula.plans.catalog import catalog, explode_tags, summary, tag_values
 from ondula.plans.settings import resolve_settings, unmatched_overrides, work_list
@@ -44,6 +44,8 @@ from ondula.sinks.stages import (
 from ondula.sources.tabbed import checked_samples, file_names, file_rows, row_violations
 
 KEYS = ["variable", "file"]
+# Stages that are materialised where no store does it.
+CUT_STAGES = ("raw", "preprocessed", "processed")
 STATS_SCHEMA = (
     "variable string, n_mean double, n_stddev double, n_mean_log2 bigint, n_var bigint"
 )
@@ -80,7 +82,8 @@ class Analysis:
 
     def keep(self, rows: DataFrame, stage: str) -> DataFrame:
         if self.store is None:
-            return rows
+            # every stage is read by its checks and by the next one
+            return cut(rows.drop(SEG)) if stage in CUT_STAGES else rows
         write_stage(rows, self.store, stage)
         if self.csv:
             write_csv(rows, f"{self.store}/csv", stage)
@@ -146,10 +149,9 @@ class Analysis:
         for part, own in self._own_settings(self.parts(stages["raw"]), settings):
             parts.append(self._preprocess(part, own))
         preprocessed = self.keep(_union(parts), "preprocessed")
-        if self.store is not None:
-            # series have only become shorter: without long ones, none are now
-            any_long = any(segmented(part) for part in parts)
-            parts = self.parts(preprocessed) if any_long else [spread(preprocessed, KEYS)]
+        # series have only become shorter: without long ones, none are now
+        any_long = any(segmented(part) for part in parts)
+        parts = self.parts(preprocessed) if any_long else [spread(preprocessed, KEYS)]
         if self.checked:
             found = quality.preprocessed_violations(preprocessed, settings, KEYS)
             settings, *parts = self.screen(found, settings, *parts)
@@ -188,6 +190,8 @@ class Analysis:
         stages["processed"] = self.keep(
             _union([p.select(*KEYS, "i", "x", "y") for p in processed]), "processed"
         )
+        if self.store is None and not any(segmented(p) for p in processed):
+            processed = [spread(stages["processed"], KEYS)]
         if not plain.isEmpty():
             processed += [part.join(plain, KEYS, "left_semi") for part in parts]
 
@@ -199,18 +203,10 @@ class Analysis:
 
     def _preprocess(self, rows: DataFrame, settings: DataFrame) -> DataFrame:
         """Impulse filter, masks, trim and scaling, with their checks."""
-        widths = [r[0] for r in settings.select("impulse_filter").distinct().collect()]
-        if widths != [0]:
+        if not settings.where("impulse_filter > 0").isEmpty():
             tuned = rows.join(settings.select(*KEYS, "impulse_filter", "impulse_tuning"), KEYS)
-            # a window frame needs a literal width, so series go by width
-            rows = _union(
-                [
-                    impulse_filter(
-                        tuned.where(F.col("impulse_filter") == width), KEYS, width,
-                        "impulse_tuning",
-                    ).select(*rows.columns)
-                    for width in widths
-                ]
+            rows = impulse_filter_mixed(tuned, KEYS, "impulse_filter", "impulse_tuning").select(
+                *rows.columns
             )
         masks = settings.agg(F.max(F.size("masks"))).first()[0] or 0
         for step in range(masks):
@@ -248,13 +244,18 @@ class Analysis:
             if self.strict:
                 quality.raise_on_errors(found)
             failed = found
+        shape = fft.get("center", True), fft.get("hann", True), fft.get("method", "auto")
         out = []
         for part in flagged:
+            if failed is None or self.strict:
+                out.append(
+                    sweep_spectra(part, KEYS, band[0], sweep, steps, "invert_x", *band[1:], *shape)
+                )
+                continue
             swept = sweep_series(part, KEYS, sweep, steps, "invert_x")
-            if failed is not None and not self.strict:
-                swept = quality.drop_failed(swept, failed, domain)
-            prepared = windowed(swept, KEYS, fft.get("center", True), fft.get("hann", True))
-            out.append(spectrum(prepared, KEYS, *band, fft.get("method", "auto")))
+            swept = quality.drop_failed(swept, failed, domain)
+            prepared = windowed(swept, KEYS, *shape[:2])
+            out.append(spectrum(prepared, KEYS, *band, shape[2]))
         stage = spectrum_stage(F.lit(sweep), F.col("sweep_index"))
         spectra = _union(out).withColumn("stage", stage)
         if self.store is None:
