@@ -21,6 +21,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = (2 << 20) - (1 << 16)
 
 
+# Bytes of a record batch that Spark hands to a Python task.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the record batches of Python tasks by bytes, not only by rows,
+    for this session: 10,000 texts at once may be any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""
     ensure_checkpoint_dir(spark)

@@ -10,6 +10,7 @@ tokens, and its base, the number of tokens in all shards before it.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ondula.llm.common import Numbered, Ragged, is_latin, shared_folder, stored, text_slices
+from ondula.llm.common import Numbered, Ragged, bounded_batches, is_latin, shared_folder, stored, text_slices
 
 # Distinct chunks that a Python worker remembers; beyond it starts anew.
 CACHE_CHUNKS = 300_000
@@ -56,6 +57,9 @@ def cuts_at_blanks(tokenizer: Tokenizer) -> bool:
     )
 
 
+_MARK = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
+
+
 class ChunkEncoder:
     """Encodes texts by the tokenizer through a table of their chunks.
 
@@ -125,8 +129,11 @@ class ChunkEncoder:
             self.forget()
         # the tokenizer lower-cases anyway; before the cut there are fewer chunks
         # (special tokens are looked for before that, so texts that may hold one stay)
+        # and a mark between a letter and white space is a piece of its own
         cut = [
-            (t.lower() if is_latin(t) and "<|" not in t else t).replace("\n", " ").split(" ")
+            (_MARK.sub(r" \1", t.lower()) if is_latin(t) and "<|" not in t else t)
+            .replace("\n", " ")
+            .split(" ")
             for t in texts
         ]
         sizes = np.array([len(c) for c in cut], dtype=np.int64)
@@ -224,6 +231,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str) -> Data
     files, root = _place(folder)
     files.create_dir(root, recursive=True)
     spark = docs.sparkSession
+    bounded_batches(spark)
     totals = stored(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .withColumn("_hash", F.xxhash64("text"))
