@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ondula.llm import byte_bpe, classifier, decontaminate, secrets, similar
-from ondula.llm.common import stored
+from ondula.llm.common import bounded_batches, stored
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
@@ -19,6 +19,7 @@ SIMILAR_PERCENT = 80
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality discriminant accepts."""
+    bounded_batches(spark)
     return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
