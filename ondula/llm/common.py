@@ -25,10 +25,10 @@ SLICE_BYTES = (2 << 20) - (1 << 16)
 BATCH_BYTES = 4 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, max_bytes: int = BATCH_BYTES) -> None:
     """Bound the record batches of Python tasks by bytes, not only by rows,
     for this session: 10,000 texts at once may be any size."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
