@@ -15,11 +15,13 @@ from ondula.llm.common import bounded_batches, stored
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
+# Bytes of text that a Python task is handed at a time, in all stages.
+BATCH_BYTES = 1 << 20
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality discriminant accepts."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     return classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
