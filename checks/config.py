@@ -22,7 +22,7 @@ from ondula.operators.columns import (
 )
 from ondula.operators.series import dedup_mean
 from ondula.operators.sweep import sweep_domains
-from ondula.plans.catalog import catalog, read_back, tag_values
+from ondula.plans.catalog import catalog, tag_values
 from ondula.plans.settings import FIELDS, resolve_settings, unmatched_overrides, work_list
 from ondula.sinks.stages import pack_pairs, unpack_pairs
 from ondula.sources import text
@@ -578,19 +578,3 @@ register(
         "CAST(tags['nation'] AS int) AS nation",
     ),
 )
-register(
-    "readback",
-    f"""SELECT variable, file, stage, x, y FROM (
-          SELECT 'Va' AS variable, 'c/' || o_custkey AS file, 'raw' AS stage,
-                 CAST(o_orderkey AS DOUBLE) AS x, o_totalprice AS y FROM orders)
-        SEMI JOIN ({CATALOG}) c USING (variable, file, stage)
-        WHERE file IN (SELECT file FROM ({CATALOG}) WHERE nation = 7)""",
-    lambda spark, d: read_back(
-        customer_catalog(spark, d),
-        table(spark, d, "orders").selectExpr(
-            "'Va' AS variable", "'c/' || o_custkey AS file", "'raw' AS stage",
-            "CAST(o_orderkey AS double) AS x", "o_totalprice AS y",
-        ),
-        "raw", "nation", "7",
-    ),
-)

@@ -186,6 +186,56 @@ def marks_in_segments(names: list[str]) -> Callable[[Batches], Batches]:
     return transform
 
 
+def masked(names: list[str]) -> Callable[[Batches], Batches]:
+    """Apply all masks of each packed series, in order, each to what the ones
+    before it left. Columns in: keys, _masks, _data (x, y); out: keys, _kept,
+    _found (the masks that reach beyond what they met: step, left, right, and
+    the ends of that)."""
+    n_keys = len(names) - 2
+    found_type = pa.list_(
+        pa.struct([("step", pa.int32()), *[(c, pa.float64()) for c in ("left", "right", "x_left", "x_right")]])
+    )
+
+    def transform(batches: Batches) -> Batches:
+        for batch in batches:
+            masks = batch.column(n_keys).to_pylist()
+            xs, ys, lens, found = [], [], [], []
+            for own, (x, y) in zip(masks, arrays(batch, "_data", ["x", "y"])):
+                beyond = []
+                for step, one in enumerate(own or []):
+                    if one is None or one["left"] is None or one["right"] is None or not len(x):
+                        continue
+                    left, right = one["left"], one["right"]
+                    if left < x[0] or right > x[-1]:
+                        beyond.append(
+                            {"step": step, "left": left, "right": right, "x_left": x[0], "x_right": x[-1]}
+                        )
+                    # from the first sample at or beyond left (the last one if
+                    # there is none) to the first at or beyond right
+                    gone = x >= left
+                    gone[-1] = True
+                    gone[1:] &= x[:-1] < right
+                    x, y = x[~gone], y[~gone]
+                xs.append(x)
+                ys.append(y)
+                lens.append(len(x))
+                found.append(beyond)
+            offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+            pairs = pa.StructArray.from_arrays(
+                [pa.array(np.concatenate(c) if c else np.zeros(0)) for c in (xs, ys)], names=["x", "y"]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(i) for i in range(n_keys)],
+                    pa.ListArray.from_arrays(offsets, pairs),
+                    pa.array(found, found_type),
+                ],
+                names=names,
+            )
+
+    return transform
+
+
 # -- order statistics in a moving window -------------------------------------
 
 

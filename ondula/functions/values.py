@@ -97,8 +97,3 @@ def bad_derivative(c: Column) -> Column:
 
 def bad_tuning(c: Column) -> Column:
     return c < 0
-
-
-def bad_sweep_steps(sweep: Column, steps: Column) -> Column:
-    """Steps must exceed one when given, and be given for a real sweep."""
-    return F.coalesce(steps <= 1, sweep != "full")

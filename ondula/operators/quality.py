@@ -192,6 +192,15 @@ def mask_violations(before: DataFrame, settings: DataFrame, keys: list[str], ste
     )
 
 
+def packed_mask_violations(packed: DataFrame, keys: list[str]) -> DataFrame:
+    """V10 for all masks at once, from the rows of ``mask_packed``."""
+    found = packed.select(*keys, F.inline("_found"))
+    detail = F.concat_ws(
+        " ", F.lit("mask"), "left", "right", F.lit("beyond"), "x_left", "x_right"
+    )
+    return check(found, keys, [("V10", F.lit(True), detail)])
+
+
 def trim_violations(masked: DataFrame, settings: DataFrame, keys: list[str]) -> DataFrame:
     """V11-V14 and Q8, from the masked series."""
     series = settings.select(*keys, "masks", "trim_left", "trim_right", "invert_x").join(

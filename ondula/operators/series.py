@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ondula.functions.slices import masked
 from ondula.operators.segments import (
     MAX_ROWS,
     by_length,
@@ -21,6 +23,7 @@ from ondula.operators.segments import (
 )
 from ondula.session import sql_value
 
+BEYOND = "step int, left double, right double, x_left double, x_right double"
 FINITE = "NOT (isnan({c}) OR abs({c}) = double('inf'))"
 
 
@@ -102,6 +105,27 @@ def mask_all(samples: DataFrame, keys: list[str], masks, count: int | None = Non
     return samples
 
 
+def mask_packed(samples: DataFrame, keys: list[str], masks: str) -> DataFrame:
+    """Apply an array<struct<left,right>> column of masks, constant within a
+    series, to series that fit a task: one row per series (keys, _kept, _found).
+
+    ``_kept`` holds the samples that are left, ``_found`` the masks that reach
+    beyond what the ones before them left (step, left, right, x_left, x_right).
+    All masks of all series take one pass; ``inline`` gives rows again.
+    """
+    packed = samples.groupBy(*keys).agg(
+        F.expr(f"first({masks}) AS _masks"), F.expr("collect_list(struct(x, y)) AS _data")
+    ).select(*keys, "_masks", "_data")
+    schema = T.StructType(
+        [
+            *[packed.schema[k] for k in keys],
+            T.StructField("_kept", packed.schema["_data"].dataType),
+            T.StructField("_found", T.ArrayType(T.StructType.fromDDL(BEYOND))),
+        ]
+    )
+    return packed.mapInArrow(masked(schema.names), schema)
+
+
 def trim_bounds(x_left: str, x_right: str, left, right) -> tuple[str, str]:
     """Effective trim bounds: open ends default to the domain, and bounds given
     as magnitudes are mirrored onto a domain that lies left of zero."""

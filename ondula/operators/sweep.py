@@ -69,12 +69,12 @@ def _guess_index(sweep: str, steps: int | None, inverted) -> str:
     if sweep == "full":
         return "0"
     if sweep == "windows":
-        return f"CAST(floor((x - x_left) / ((x_right - x_left) / {steps + 1})) AS int)"
+        return f"CAST(floor(try_divide(x - x_left, (x_right - x_left) / {steps + 1})) AS int)"
     inv = sql_value(inverted, "boolean")
     plain_left, plain_right = _uninverted("x_left", "x_right", inv)
     plain = f"IF({inv}, try_divide(1.0D, x), x)"
     moved = f"{plain_right} - {plain}" if sweep == "lower" else f"{plain} - {plain_left}"
-    return f"CAST(ceil(({moved}) / (({plain_right} - {plain_left}) / {steps})) AS int)"
+    return f"CAST(ceil(try_divide({moved}, ({plain_right} - {plain_left}) / {steps})) AS int)"
 
 
 def with_grid_columns(series: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,13 +27,14 @@ from ondula.operators.gridstats import (
 from ondula.operators.impulse import impulse_filter_mixed
 from ondula.operators.resample import resample
 from ondula.operators.segments import MAX_ROWS, SEG, lay_out, segmented, spread
-from ondula.operators.series import dedup_mean, invert_x, mask, scale_x, scale_y, trim
+from ondula.operators.series import dedup_mean, invert_x, mask, mask_packed, scale_x, scale_y, trim
 from ondula.operators.spectrum import spectrum, sweep_spectra, windowed
 from ondula.operators.sweep import sweep_domains, sweep_series
-from ondula.plans.catalog import catalog, explode_tags, summary, tag_values
+from ondula.plans.catalog import catalog, explode_tags, summary, summary_lines, tag_values
 from ondula.plans.settings import resolve_settings, unmatched_overrides, work_list
 from ondula.plans.template import Template
 from ondula.session import broadcast_if_small, cut, observed
+from ondula.sinks.runs import publish
 from ondula.sinks.stages import (
     read_spectra,
     read_stage,
@@ -115,7 +116,8 @@ class Analysis:
         long_keys = cut(parts[1].select(*KEYS).distinct())
         return [
             (parts[0], settings.join(long_keys, KEYS, "left_anti")),
-            (parts[1], settings.join(long_keys, KEYS, "left_semi")),
+            # as many as rows / max_rows at most: a hot series isn't shuffled for them
+            (parts[1], F.broadcast(settings.join(long_keys, KEYS, "left_semi"))),
         ]
 
     def run(self, samples: DataFrame, settings: DataFrame) -> Result:
@@ -209,6 +211,15 @@ class Analysis:
                 *rows.columns
             )
         masks = settings.agg(F.max(F.size("masks"))).first()[0] or 0
+        if masks and not segmented(rows):
+            # short series: all masks in one pass, bounds and all
+            with_masks = rows.join(settings.select(*KEYS, "masks"), KEYS)
+            packed = cut(mask_packed(with_masks, KEYS, "masks"))
+            rows = spread(packed.select(*KEYS, F.inline("_kept")), KEYS)
+            if self.checked:
+                found = quality.packed_mask_violations(packed, KEYS)
+                rows, settings = self.screen(found, rows, settings)
+            masks = 0
         for step in range(masks):
             if self.checked:
                 found = quality.mask_violations(rows, settings, KEYS, step)
@@ -328,15 +339,31 @@ def run_template(
     ends = _processed_ends(result)
     described = result.settings.join(ends, KEYS, "left")
     result.catalog = catalog(described, template.project, template.fft, store, _written(result))
-    result.summary = summary(
+    about = (
         result.interp_stats, [name for name, _, _ in template.extracts],
         tag_values(explode_tags(files), max_rows), ondula.__version__,
     )
+    result.summary = summary(*about)
     result.catalog.write.mode("overwrite").json(f"{store}/catalog")
-    result.summary.write.mode("overwrite").text(f"{store}/metadata")
+    summary_lines(*about).write.mode("overwrite").json(f"{store}/metadata")
     return result
 
 
+def publish_template(
+    spark: SparkSession, template: Template, base: str, root: str, **options
+) -> Result:
+    """Run a template in a folder of its own below ``root`` and publish its
+    catalog when all outputs are there; ``runs.open_catalog`` reads it."""
+    results = []
+
+    def run(folder: str) -> DataFrame:
+        results.append(run_template(spark, template, base, folder, **options))
+        return results[0].catalog
+
+    publish(spark, root, run)
+    return results[0]
+
+
 def _written(result: Result) -> DataFrame:
     """Stage, variable and file of every output."""
     parts = [rows.select(F.lit(name).alias("stage"), *KEYS) for name, rows in result.stages.items()]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,7 +88,9 @@ def catalog(
         output("inverted", condition=F.col("invert_x")),
         output("processed", pro, n, condition=resampled),
     ]
+    rows = settings.withColumn("_o", F.explode(F.array_compact(F.array(*outputs))))
     if fft is not None:
+        # a row per window, from a sequence: many steps don't make a long plan
         first, last = sweep_indices(fft["sweep"], fft.get("sweep_steps"))
         fft_json = F.to_json(F.struct(*[
             F.lit(fft.get(k)).alias(k)
@@ -94,19 +98,19 @@ def catalog(
                       "sweep", "sweep_steps")
             if fft.get(k) is not None
         ]))
-        for i in range(first, last + 1):
-            domain = none
-            if "x_left" in has:
-                lo, hi = sweep_bounds(
-                    fft["sweep"], fft.get("sweep_steps"), str(i), "x_left", "x_right", "invert_x"
-                )
-                domain = F.expr(f"array({lo}, {hi})")
-            outputs.append(
-                output(spectrum_stage(F.lit(fft["sweep"]), F.lit(i)), fft_json, domain=domain)
+        domain = none
+        if "x_left" in has:
+            lo, hi = sweep_bounds(
+                fft["sweep"], fft.get("sweep_steps"), "_i", "x_left", "x_right", "invert_x"
             )
+            domain = F.expr(f"array({lo}, {hi})")
+        spectral_output = output(
+            spectrum_stage(F.lit(fft["sweep"]), F.col("_i")), fft_json, domain=domain
+        )
+        windows = settings.withColumn("_i", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        rows = rows.unionByName(windows.withColumn("_o", spectral_output).drop("_i"))
     csv = project["format"] == "csv"
     fmt = F.lit("csv" if csv else "parquet")
-    rows = settings.withColumn("_o", F.explode(F.array_compact(F.array(*outputs))))
     after_inversion = F.col("invert_x") & F.col("_o.stage").isin("processed")
     spectral = F.col("_o.stage").startswith("fft")
     if written is not None:
@@ -175,6 +179,29 @@ def summary(stats: DataFrame, variables: list[str], tag_rows: DataFrame, version
     return grid.join(tags, "_one").select(document.alias("metadata"))
 
 
+def summary_lines(stats: DataFrame, variables: list[str], tag_rows: DataFrame, version: str) -> DataFrame:
+    """The same as JSON lines, one per variable and one per tag key, so that no
+    row holds all of them: section, key, and the value as JSON."""
+    spark = stats.sparkSession
+    head = spark.createDataFrame(
+        [("version", None, json.dumps(version)), *[("variable", v, None) for v in variables]],
+        "section string, key string, value string",
+    )
+    lengths = stats.select(
+        F.lit("interpolation").alias("section"), F.col("variable").cast("string").alias("key"),
+        F.col("n_var").cast("string").alias("value"),
+    )
+    top = stats.agg(F.max("n_var").cast("string").alias("value")).select(
+        F.lit("interpolation").alias("section"), F.lit(None).cast("string").alias("key"), "value"
+    )
+    tags = tag_rows.groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("position", "value"))).alias("_v")
+    ).select(
+        F.lit("tag").alias("section"), "key", F.to_json(F.col("_v.value")).alias("value")
+    )
+    return head.unionByName(lengths).unionByName(top).unionByName(tags)
+
+
 def read_back(catalog_rows: DataFrame, stored: DataFrame, stage: str, tag: str, value: str) -> DataFrame:
     """Stored rows of one stage whose file carries a tag value."""
     wanted = catalog_rows.where(

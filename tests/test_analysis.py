@@ -6,9 +6,10 @@ import pytest
 
 import brute
 from ondula.operators.quality import QualityError
-from ondula.plans.analysis import run_template
+from ondula.plans.analysis import publish_template, run_template
 from ondula.plans.catalog import read_back
 from ondula.plans.template import TemplateError, parse_template
+from ondula.sinks.runs import current, open_catalog, publish, published
 from ondula.sinks.stages import pack_pairs, read_stage, unpack_pairs
 
 TEMPLATE = """
@@ -224,3 +225,42 @@ def test_packing_cuts_long_series(series):
     assert len(parts) > 3 and sum([list(p["x"]) for p in parts], []) == list(x)
     assert packed.where("k = 'b'").first()["y"] == [6, 5]
     assert unpack_pairs(packed, ["k"]).exceptAll(df).isEmpty()
+
+
+def test_a_run_that_stops_halfway_changes_nothing(spark, tmp_path):
+    root = str(tmp_path / "root")
+    assert current(spark, root) is None
+    with pytest.raises(FileNotFoundError):
+        open_catalog(spark, root)
+
+    def good(names):
+        return lambda folder: spark.createDataFrame([(n,) for n in names], "stage string")
+
+    def bad(folder):
+        spark.range(3).write.parquet(f"{folder}/stage=raw")
+        raise RuntimeError("stopped")
+
+    assert publish(spark, root, good(["raw"]))["run"] == 1
+    with pytest.raises(RuntimeError):
+        publish(spark, root, bad)
+    assert [r[0] for r in open_catalog(spark, root).collect()] == ["raw"]
+    done = publish(spark, root, good(["raw", "fft"]))
+    assert (done["run"], done["outputs"]) == (2, 2) and current(spark, root)["id"] == done["id"]
+    assert open_catalog(spark, root).count() == 2 and published(spark, root).count() == 2
+
+
+def test_published_templates(spark, tmp_path):
+    body = "\n".join(f"{2 + i / 10}\t{math.sin(i)} {math.cos(i)}" for i in range(150))
+    for f in (0, 1):
+        (tmp_path / f"f{f}.dat").write_text("Depth (km)\tch_a\tch_b\n" + body + "\n")
+    root = str(tmp_path / "root")
+    result = publish_template(spark, parse_template(TEMPLATE), str(tmp_path), root)
+    rows = open_catalog(spark, root)
+    assert rows.count() == result.catalog.count() == 4 * 7
+    folder = current(spark, root)["folder"]
+    about = spark.read.json(f"{folder}/metadata").collect()
+    assert {(r["section"], r["key"]) for r in about} >= {("variable", "Ghost"), ("tag", "salinity")}
+    (bad := tmp_path / "f1.dat").write_text(bad.read_text() + "1 2\n")
+    with pytest.raises(QualityError, match="V04"):
+        publish_template(spark, parse_template(TEMPLATE), str(tmp_path), root)
+    assert open_catalog(spark, root).exceptAll(rows).isEmpty()

@@ -7,7 +7,7 @@ from conftest import collect
 
 import brute
 from ondula.operators.gridstats import interp_stats, min_dx_length, with_grid_length
-from ondula.operators.impulse import impulse_filter, median_filter
+from ondula.operators.impulse import impulse_filter, impulse_filter_mixed, median_filter
 from ondula.operators.resample import resample
 from ondula.operators.segments import (
     SEG,
@@ -24,6 +24,7 @@ from ondula.operators.series import (
     invert_x,
     mask,
     mask_all,
+    mask_packed,
     on_monotonic,
     plot_extent,
     scale_x,
@@ -246,3 +247,62 @@ def test_long_grids_explode_in_blocks(series):
     out = resample(series({"a": ([0, 1, 10], [0, 1, 10])}), K, n)
     assert out.count() == n and out.select("i").distinct().count() == n
     assert SEG in resample(series({"a": ([0, 1], [0, 1])}), K, n, max_rows=1000).columns
+
+
+def ragged_series(seed, n, keys=3):
+    rng = np.random.default_rng(seed)
+    data = {}
+    for k in range(keys):
+        x = np.sort(rng.choice(np.arange(4 * n), n - k, replace=False)) / 4.0
+        data[f"s{k}"] = (x, np.round(np.sin(x) + (rng.random(n - k) < 0.1) * rng.normal(0, 9, n - k), 6))
+    return data
+
+
+@pytest.mark.parametrize("max_rows", [10**6, 37])
+def test_impulse_filter_with_a_width_per_series(series, max_rows):
+    data = ragged_series(3, 150)
+    width = {"s0": 0, "s1": 5, "s2": 12}
+
+    def chain(df):
+        mixed = df.selectExpr(
+            "*", "CASE k WHEN 's0' THEN NULL WHEN 's1' THEN 5 ELSE 12 END AS width",
+            "IF(k = 's1', 0.5D, NULL) AS tuning",
+        )
+        return impulse_filter_mixed(mixed, ["k"], "width", "tuning")
+
+    got = collect(on_monotonic(series(data), ["k"], chain, max_rows).select("k", "x", "y"), "k", "x")
+    want = []
+    for k, (x, y) in data.items():
+        y = y if not width[k] else brute.impulse(y, width[k], 0.5 if k == "s1" else 1.0)
+        want += [(k, *p) for p in zip(x, y)]
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    np.testing.assert_allclose([g[2] for g in got], [w[2] for w in want], rtol=1e-12)
+    with pytest.raises(ValueError):
+        impulse_filter_mixed(series(data).selectExpr("*", "-1 AS w"), ["k"], "w", "1.0D")
+
+
+def test_wide_and_short_windows(series):
+    data = {"a": (range(40), [0.0] * 20 + [7.0] + [0.0] * 19), "b": ([1], [5]), "c": ([1, 2], [5, 9])}
+    got = impulse_filter_mixed(series(data).selectExpr("*", "101 AS w"), ["k"], "w", "1.0D")
+    rows = {(k, x): y for k, x, y in collect(got, "k", "x")}
+    assert rows[("a", 20)] == 0 and rows[("b", 1)] == 5
+    want = brute.impulse(np.array([5.0, 9.0]), 101, 1.0)
+    assert [rows[("c", 1)], rows[("c", 2)]] == list(want)
+
+
+def test_packed_masks_equal_steps(series):
+    data = ragged_series(6, 80)
+    masks = [(3.0, 9.5), (-5.0, 2.0), (30.0, 30.0), (50.0, 5000.0), (0.0, 1.0)]
+    column = ", ".join(f"struct({a}D AS left, {b}D AS right)" for a, b in masks)
+    df = series(data).selectExpr("*", f"array({column}) AS masks")
+    packed = mask_packed(df, ["k"], "masks").cache()
+    kept = packed.selectExpr("k", "inline(_kept)")
+    assert collect(kept, "k", "x") == collect(mask_all(series(data), ["k"], masks), "k", "x")
+    for k, (x, y) in data.items():
+        want, at = [], (np.array(x), np.array(y))
+        for step, (a, b) in enumerate(masks):
+            if len(at[0]) and (a < at[0][0] or b > at[0][-1]):
+                want.append((step, a, b, at[0][0], at[0][-1]))
+            at = brute.mask(*at, a, b) if len(at[0]) else at
+        got = packed.where(f"k = '{k}'").selectExpr("inline(_found)").collect()
+        assert [tuple(r) for r in got] == want

@@ -5,8 +5,8 @@ import brute
 from ondula.operators.resample import resample
 from ondula.operators.segments import by_length
 from ondula.operators.series import invert_x
-from ondula.operators.spectrum import spectrum, windowed
-from ondula.operators.sweep import sweep_series
+from ondula.operators.spectrum import spectrum, sweep_spectra, windowed
+from ondula.operators.sweep import sweep_domains, sweep_series
 
 K = ["s"]
 METHODS = ("grouped", "split", "bins")
@@ -107,3 +107,53 @@ def test_refused_settings(series, signal):
     # data longer than the transform is never left out silently
     with pytest.raises(Exception, match="V20"):
         spectrum(windowed(sweep_series(df, K), K), K, 128).collect()
+
+
+def uneven(seed, n, shift=1.0):
+    rng = np.random.default_rng(seed)
+    x = np.cumsum(rng.choice([0.25, 0.5, 3.0], n)) + shift
+    return x, rng.normal(size=n)
+
+
+@pytest.mark.parametrize("sweep,steps", [("full", None), ("lower", 4), ("upper", 7), ("windows", 5)])
+@pytest.mark.parametrize("inverted", [False, True])
+def test_slices_equal_copies(series, sweep, steps, inverted):
+    data = {"a": uneven(1, 90), "b": uneven(2, 61, 0.5), "c": ([1.0, 2.0], [3.0, 4.0]), "d": ([1.0], [1.0])}
+    df = series(data, "s")
+    if inverted:
+        df = invert_x(df)
+    args = sweep, steps, inverted
+    got = sweep_spectra(df, K, 128, *args, lower=0.1).orderBy("s", "sweep_index", "k").collect()
+    want = spectrum(windowed(sweep_series(df, K, *args), K), K, 128, lower=0.1)
+    want = want.orderBy("s", "sweep_index", "k").collect()
+    assert [r[:3] for r in got] == [r[:3] for r in want] and got
+    np.testing.assert_allclose([r[3:] for r in got], [r[3:] for r in want], rtol=1e-9, atol=1e-12)
+    plan = sweep_spectra(df, K, 128, *args)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1  # of the bins, none of the samples
+
+
+def test_too_short_transforms_raise(series):
+    with pytest.raises(Exception, match="V20"):
+        sweep_spectra(series({"s": uneven(1, 90)}, "s"), K, 64).collect()
+    with pytest.raises(ValueError):
+        sweep_spectra(series({"s": uneven(1, 90)}, "s"), K, 100)
+
+
+@pytest.mark.parametrize("sweep,steps", [("full", None), ("lower", 3), ("upper", 4), ("windows", 30)])
+@pytest.mark.parametrize("max_rows", [10**6, 11])
+def test_windows_by_prefix_sums(series, sweep, steps, max_rows):
+    data = {"a": uneven(3, 100), "b": uneven(4, 57), "c": ([1.0, 2.0], [3.0, 4.0])}
+    out = by_length(
+        series(data, "s"), K, lambda df: sweep_domains(df, K, sweep, steps), max_rows=max_rows
+    )
+    rows = out.collect()
+    assert len(rows) == 3 * (steps or 1)
+    for r in rows:
+        x, y = map(np.asarray, data[r["s"]])
+        inside = (x >= r["domain_left"]) & (x < min(r["domain_right"], x[-1]))
+        assert r["n_data"] == inside.sum()
+        if inside.sum() > 1:
+            a = int(np.argmax(inside))
+            np.testing.assert_allclose([r["y_mean"], r["dt"]], [y[inside].mean(), x[a + 1] - x[a]])
+        else:
+            assert r["dt"] is None
