@@ -76,7 +76,8 @@ class Cuckoo:
         done = self._fill(place, prints)
         left = np.flatnonzero(~done)
         there = self._other(place[left], prints[left])
-        left, there = (x[~self._fill(there, prints[left])] for x in (left, there))
+        done = self._fill(there, prints[left])
+        left, there = left[~done], there[~done]
         for key, p, at in zip(keys[left], prints[left], there.tolist()):
             self._kick(key, p, at)
 
