@@ -48,7 +48,7 @@ def features(texts: pa.Array) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(member[words.data], dtype=np.int64)])
         columns.append(np.sqrt(np.diff(total[words.offsets]) / some))
     of = np.repeat(np.arange(n), np.diff(words.edges))
-    h = words.hashes()
+    h = words.hashes(exact=False)
     again = np.zeros(n)
     if len(h) > 1:
         same = (h[1:] == h[:-1]) & (of[1:] == of[:-1])

@@ -28,8 +28,9 @@ def bucket_count(docs: DataFrame) -> int:
 
 
 def repeated(rows: DataFrame) -> bool:
-    """Whether an id occurs in more than one row."""
-    return bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    """Whether an id occurs in more than one row; NO_ID counts as null."""
+    ids = rows.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"))
+    return bool(ids.count().where("count > 1").limit(1).count())
 
 
 def identified(docs: DataFrame) -> DataFrame:

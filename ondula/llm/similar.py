@@ -98,11 +98,12 @@ def _describe(k: int):
                 [
                     part.column(0),
                     part.column(1),
+                    part.column(2),
                     pa.array(sets.sizes.astype(np.int64)),
                     pa.array(sets.ids),
                     pa.array([p.tobytes() for p in parts], pa.binary()),
                 ],
-                ["_id", "_tag", "n", "sid", "parts"],
+                ["_id", "_tag", "doc_id", "n", "sid", "parts"],
             )
 
     return run
@@ -402,17 +403,17 @@ class _Join:
 
     def __init__(self, rows: DataFrame, k: int, percent: int):
         self.k, self.percent = k, percent
-        self.texts = rows.select("_id", "_tag", "text")
+        self.texts = rows.select("_id", "_tag", "doc_id", "text")
         self.described = stored(
             self.texts.mapInArrow(
-                _describe(k), "_id long, _tag long, n long, sid long, parts binary"
+                _describe(k), "_id long, _tag long, doc_id long, n long, sid long, parts binary"
             ),
             "shingle-sets",
         )
         # one row stands for all whose sets are equal
         self.classes = stored(
             self.described.groupBy("sid").agg(
-                F.min(F.struct("_id", "_tag")).alias("first"),
+                F.min(F.struct("_id", "_tag", "doc_id")).alias("first"),
                 F.first("n").alias("n"),
                 F.first("parts").alias("parts"),
             ),
@@ -453,7 +454,7 @@ class _Join:
             "close-pairs",
         )
         used = close.select(F.col("a").alias("sid")).union(close.select("b")).distinct()
-        first = used.join(self.classes, "sid").select("first.*", F.lit(1).alias("_used"))
+        first = used.join(self.classes, "sid").select("first._id", "first._tag", F.lit(1).alias("_used"))
         first = broadcast_if_small(first, BROADCAST_ROWS)
         sets = stored(
             self.texts.join(first, ["_id", "_tag"])
@@ -567,8 +568,8 @@ class _Join:
 
 
 def _placed(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """For identified rows: _id, _tag, n, and _least, the first row (_id,
-    _tag) of the component."""
+    """For identified rows: _id, _tag, doc_id, n, and _least, the first row
+    (_id, _tag, doc_id) of the component."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50")
     join = _Join(rows, k, percent)
@@ -578,10 +579,9 @@ def _placed(rows: DataFrame, k: int, percent: int) -> DataFrame:
     ).select("sid", F.coalesce("root", "sid").alias("root"), F.col("first").alias("_first"))
     least = labelled.groupBy("root").agg(F.min("_first").alias("_least"))
     named = labelled.join(least, "root").select("sid", "_least")
-    empty = join.described.where("n = 0").select(
-        "_id", "_tag", "n", F.struct("_id", "_tag").alias("_least")
-    )
-    full = join.described.where("n > 0").join(named, "sid").select("_id", "_tag", "n", "_least")
+    row = ["_id", "_tag", "doc_id"]
+    empty = join.described.where("n = 0").select(*row, "n", F.struct(*row).alias("_least"))
+    full = join.described.where("n > 0").join(named, "sid").select(*row, "n", "_least")
     return empty.union(full)
 
 
@@ -597,11 +597,8 @@ def similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     Returns doc_id, n_shingles, component_id (the least doc_id reachable).
     """
-    real = lambda c: F.when(F.col(c) != packed.NO_ID, F.col(c))
     return _placed(packed.identified(docs), k, percent).select(
-        real("_id").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        real("_least._id").alias("component_id"),
+        "doc_id", F.col("n").alias("n_shingles"), F.col("_least.doc_id").alias("component_id")
     )
 
 

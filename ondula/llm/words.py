@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,9 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _RANDOM = np.random.Generator(np.random.PCG64(20240501))
 _FACTOR = int(_RANDOM.integers(1 << 62, 1 << 63)) * 2 + 1
 _VALUE = _RANDOM.integers(1, 1 << 63, size=256, dtype=np.uint64)
+# Words that long are hashed apart: whatever the factor, a polynomial modulo a
+# power of two can't tell some words of 1024 bytes (Thue-Morse) from each other.
+LONG_BYTES = 512
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -46,15 +50,20 @@ class Words:
     stops: np.ndarray
     edges: np.ndarray
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A hash of every word's bytes: a polynomial from prefix sums."""
+    def hashes(self, lower: bool = False, exact: bool = True) -> np.ndarray:
+        """A hash of every word's bytes: a polynomial from prefix sums, or
+        BLAKE2 where words are long (not so if ``exact`` is false)."""
         n = len(self.data)
         up, down = _powers(((n >> 21) + 1) << 21)
         data = _LOWER[self.data] if lower else self.data
         prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_VALUE[data] * up[:n], out=prefix[1:])
         h = (prefix[self.stops] - prefix[self.starts]) * down[self.starts]
-        return mixed(h + (self.stops - self.starts).astype(np.uint64))
+        h = mixed(h + (self.stops - self.starts).astype(np.uint64))
+        for i in np.flatnonzero(self.stops - self.starts >= LONG_BYTES).tolist() if exact else ():
+            word = data[self.starts[i] : self.stops[i]].tobytes()
+            h[i] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return h
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

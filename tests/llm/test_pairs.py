@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import hashlib
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ondula.llm import html, packed, repeats, similar
@@ -156,6 +157,33 @@ def test_similar_with_repeated_and_null_ids(spark):
     assert similar.similar(docs.limit(0), 3, 90).count() == 0
 
 
+def test_similar_keeps_the_least_long_apart_from_null(spark):
+    least = -(1 << 63)
+    p, q = (" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
+    rows = [(least, p), (3, p), (least + 1, q), (8, q)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in similar.similar(docs, 3, 90).collect())
+    assert got == Counter(
+        [(least, 28, least), (3, 28, least), (least + 1, 28, least + 1), (8, 28, least + 1)]
+    )
+    docs = spark.createDataFrame([(least, q), (None, p)], docs.schema)
+    got = Counter(tuple(r) for r in similar.similar(docs, 3, 90).collect())
+    assert got == Counter([(least, 28, least), (None, 28, None)])
+
+
+def test_similar_tells_long_words_apart():
+    """Thue-Morse words of 1024 letters, which a polynomial can't tell apart."""
+    other = str.maketrans("ab", "ba")
+    word = "a"
+    for _ in range(10):
+        word += word.translate(other)
+    turned = word.translate(other)
+    texts = pa.array([f"{word} x y", f"{turned} x y", f"{word} x y {turned} x y", f"{word.upper()} x y"])
+    sets = similar.Sets(pa.RecordBatch.from_arrays([texts], ["text"]), 3)
+    assert sets.sizes.tolist() == [1, 1, 4, 1]
+    assert len(set(sets.ids.tolist())) == 3 and sets.ids[0] == sets.ids[3]
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (5, 55)])
 def test_prefix_pairs_survive_losses(k, percent):
     """Dropping any need - 1 tokens of a prefix leaves one of its pairs."""
