@@ -9,7 +9,7 @@ from checks.config import _DIRTY, _HEADERS, _NUMBER, _line
 from checks.core import register
 from checks.views import table
 from ondula.operators.columns import locate_pairs
-from ondula.session import shared_folder
+from ondula.session import cut, parallelism, shared_folder
 from ondula.sources.tabbed import checked_samples, file_names, file_rows, row_violations
 
 # Events per file: a file of one type holds those of so many consecutive ids.
@@ -33,7 +33,7 @@ def written_files(spark, d, tail=_DIRTY):
     folder = shared_folder(spark, "text-files")
     (
         heads.unionByName(data)
-        .repartition("file")
+        .repartition(parallelism(spark), "file")
         .sortWithinPartitions("file", "pos")
         .select("file", "line")
         .write.partitionBy("file")
@@ -55,7 +55,7 @@ def judged(spark, d):
         [(n, v, x, y) for n in names for v, x, y in _PAIRS],
         "source string, variable string, x_col string, y_col string",
     ).withColumn("file", file_of("source"))
-    located = locate_pairs(work, file_names(spark, folder, names))
+    located = locate_pairs(work, cut(file_names(spark, folder, names)))
     rows = file_rows(spark, folder, names, split_bytes=SPLIT)
     return checked_samples(rows, located, ["variable", "file"])
 

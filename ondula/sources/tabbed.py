@@ -3,11 +3,13 @@
 ``spark.read.format("tabbed")`` cuts every file into byte ranges. A range owns
 the lines that begin in it; its task also reads the file's header, so each row
 knows where it stands (file and byte offset) and how many names the header has.
+A task takes as many ranges, of several files, as make up its share of bytes.
 Nothing is joined or numbered, rows are the same for any size of the ranges,
 and one pass gives the samples and what is wrong with them.
 
 Options: ``files`` (a JSON list of names), ``base`` (a folder or URI that
-pyarrow opens), ``split_bytes``, and ``part``: ``rows`` for the data lines
+pyarrow opens), ``split_bytes``, ``tasks`` (at least so many, if there are as
+many ranges), and ``part``: ``rows`` for the data lines
 (source, offset, line, n_headers, first) or ``header`` for the names
 (source, idx, column), which reads no more than the heads of the files.
 """
@@ -30,13 +32,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ondula.functions.values import DECIMAL, LINE_SPACE, SPECIAL, data_tokens, is_number, to_double
 from ondula.operators.quality import check
-from ondula.session import broadcast_if_small
+from ondula.session import broadcast_if_small, cut, parallelism
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SPLIT_BYTES = 64 << 20
 READ_BYTES = 4 << 20  # bytes that a task takes from a file at a time
 HEAD_BYTES = 64 << 10
+OPEN_BYTES = 256 << 10  # bytes that could be read while a file is opened
 SCHEMAS = {
     "rows": "source string, offset bigint, line string, n_headers int, first boolean",
     "header": "source string, idx int, column string",
@@ -50,12 +53,32 @@ _NUMBER = re.compile(
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     source: str
     start: int
     stop: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    ranges: list[Range]
+
+
+def _dealt(ranges: list[Range], tasks: int) -> list[Ranges]:
+    """Ranges that follow one another, together up to the bytes of a task."""
+    costs = [OPEN_BYTES + r.stop - r.start for r in ranges]
+    share = min(SPLIT_BYTES + OPEN_BYTES, max(OPEN_BYTES, sum(costs) // max(1, tasks)))
+    out: list[Ranges] = []
+    held = share
+    for one, cost in zip(ranges, costs):
+        if held + cost > share:
+            out.append(Ranges([]))
+            held = 0
+        out[-1].ranges.append(one)
+        held += cost
+    return out
+
+
 def _opened(base: str, name: str):
     """A file below a folder or URI, for reading at any place."""
     place = f"{base.rstrip('/')}/{name}" if base else name
@@ -128,22 +151,29 @@ class TabbedReader(DataSourceReader):
         self.files = json.loads(options["files"])
         self.part = options.get("part", "rows")
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        self.tasks = int(options.get("tasks", 1))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         out = []
         for name in self.files:
             files, path = _opened(self.base, name)
             info = files.get_file_info(path)
             if info.type != fs.FileType.File:
                 raise FileNotFoundError(f"no file {name} below {self.base}")
-            step = info.size if self.part == "header" else self.split
+            if self.part == "header":  # no more than the head is read
+                out.append(Range(name, 0, info.size))
+                continue
             out += [
-                Range(name, a, min(a + step, info.size))
-                for a in range(0, max(1, info.size), max(1, step))
+                Range(name, a, min(a + self.split, info.size))
+                for a in range(0, max(1, info.size), max(1, self.split))
             ]
-        return out
+        return _dealt(out, self.tasks)
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self.read_range(one)
 
-    def read(self, range: Range) -> Iterator[pa.RecordBatch]:
+    def read_range(self, range: Range) -> Iterator[pa.RecordBatch]:
         files, path = _opened(self.base, range.source)
         with files.open_input_file(path) as file:
             names, first = _head(file, range.stop)
@@ -198,6 +228,7 @@ def _load(spark: SparkSession, base: str, sources: list[str], part: str, split:
         .option("files", json.dumps(list(dict.fromkeys(sources))))
         .option("part", part)
         .option("split_bytes", split)
+        .option("tasks", parallelism(spark))
         .load()
     )
 
@@ -230,8 +261,10 @@ def checked_samples(rows: DataFrame, located: DataFrame, keys: list[str]) -> Dat
     at fault: whose tokens aren't as many as the header's names, or aren't all
     numbers (``bad`` lists those).
     """
-    wanted = located.where("x_idx IS NOT NULL AND y_idx IS NOT NULL").groupBy("source").agg(
-        F.collect_list(F.struct(*keys, "x_idx", "y_idx")).alias("_items")
+    wanted = cut(
+        located.where("x_idx IS NOT NULL AND y_idx IS NOT NULL")
+        .groupBy("source")
+        .agg(F.collect_list(F.struct(*keys, "x_idx", "y_idx")).alias("_items"))
     )
     judged = rows.select(
         "source",

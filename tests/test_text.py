@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -179,3 +180,22 @@ def test_names_and_lengths(spark):
     tags = spark.createDataFrame([(t,) for t in ["12K", "2K", "1p3K", "10p0K", "4.2K"]], "t string")
     order = [r[0] for r in tags.orderBy(natural_key(F.col("t"))).collect()]
     assert order == ["1p3K", "2K", "4.2K", "10p0K", "12K"]
+
+
+def test_tasks_hold_several_ranges(tmp_path):
+    """Many small files make few tasks, which hold every byte once."""
+    for i in range(300):
+        (tmp_path / f"f{i}.dat").write_text("a\tb\n" + "1\t2\n" * (i + 1))
+    names = [f"f{i}.dat" for i in range(300)]
+    options = {"base": str(tmp_path), "files": json.dumps(names), "split_bytes": "100", "tasks": "8"}
+    reader = tabbed.TabbedReader(options)
+    tasks = reader.partitions()
+    assert 8 <= len(tasks) <= 17
+    ranges = [(r.source, r.start, r.stop) for t in tasks for r in t.ranges]
+    assert len(ranges) == len(set(ranges)) > 1500
+    for name in names:
+        own = sorted((a, b) for n, a, b in ranges if n == name)
+        assert own[0][0] == 0 and own[-1][1] == (tmp_path / name).stat().st_size
+        assert all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    assert sum(b.num_rows for t in tasks for b in reader.read(t)) == 300 * 301 // 2
+    assert 8 <= len(tabbed.TabbedReader({**options, "part": "header"}).partitions()) <= 9
