@@ -17,6 +17,7 @@ from ondula.functions.transforms import BATCH_DOUBLES
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 Batches = Iterator[pa.RecordBatch]
+PIECE = BATCH_DOUBLES // 32  # list items that a task turns into arrays at a time
 
 # Consistency factor of Sn, and its small-sample factors.
 SN_FACTOR = 1.1926
@@ -34,6 +35,21 @@ def arrays(batch: pa.RecordBatch, name: str, fields: list[str]) -> Iterator[list
         yield [v[start:stop][order] for v in values]
 
 
+def pieces(batch: pa.RecordBatch, columns: list[str], most: int = PIECE) -> Batches:
+    """Cut a batch so that each piece holds about ``most`` items of the lists
+    in ``columns`` (one row at least)."""
+    if not batch.num_rows:
+        return
+    sizes = sum(
+        batch.column(batch.schema.get_field_index(c)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for c in columns
+    )
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    edges = [0, *cuts.tolist(), batch.num_rows]
+    for start, stop in zip(edges, edges[1:]):
+        yield batch.slice(start, stop - start)
+
+
 # -- sub-domains --------------------------------------------------------------
 
 
@@ -151,7 +167,7 @@ def marks_in_segments(names: list[str]) -> Callable[[Batches], Batches]:
     n_keys = names.index("sweep_index")
 
     def transform(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, ["_marks", "_data"])):
             before = batch.column(n_keys).to_pylist()
             after = batch.column(n_keys + 1).to_pylist()
             out: list[list] = [[] for _ in range(7)]

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.session import ensure_checkpoint_dir
+from ondula.session import BATCH_BYTES, bounded_batches, ensure_checkpoint_dir  # noqa: F401
 
 # White space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,15 +21,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SLICE_BYTES = (2 << 20) - (1 << 16)
 
 
-# Bytes of a record batch that Spark hands to a Python task.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession, max_bytes: int = BATCH_BYTES) -> None:
-    """Bound the record batches of Python tasks by bytes, not only by rows,
-    for this session: 10,000 texts at once may be any size."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
-
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder of the session."""

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ondula.functions.slices import SN_FACTOR, SN_SMALL, mixed_filter
 from ondula.operators.segments import group_columns, moving_window, segmented, surroundings
-from ondula.session import sql_value
+from ondula.session import bounded_batches, sql_value
 
 # Median of the sorted array w of n values.
 MEDIAN = "(get(w, CAST((n - 1) DIV 2 AS int)) + get(w, CAST(n DIV 2 AS int))) / 2"
@@ -78,6 +78,7 @@ def impulse_filter_mixed(samples: DataFrame, keys: list[str], width: str, tuning
 
     One grouping serves all widths. A NULL tuning counts as 1.
     """
+    bounded_batches(samples.sparkSession)
     group = group_columns(samples, keys)
     rows = samples.selectExpr(
         *[f"`{k}`" for k in group],

@@ -21,7 +21,7 @@ from ondula.operators.segments import (
     neighbours,
     with_stats,
 )
-from ondula.session import sql_value
+from ondula.session import bounded_batches, sql_value
 
 BEYOND = "step int, left double, right double, x_left double, x_right double"
 FINITE = "NOT (isnan({c}) OR abs({c}) = double('inf'))"
@@ -113,6 +113,7 @@ def mask_packed(samples: DataFrame, keys: list[str], masks: str) -> DataFrame:
     beyond what the ones before them left (step, left, right, x_left, x_right).
     All masks of all series take one pass; ``inline`` gives rows again.
     """
+    bounded_batches(samples.sparkSession)
     packed = samples.groupBy(*keys).agg(
         F.expr(f"first({masks}) AS _masks"), F.expr("collect_list(struct(x, y)) AS _data")
     ).select(*keys, "_masks", "_data")

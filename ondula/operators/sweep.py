@@ -15,7 +15,7 @@ from ondula.operators.segments import (
     with_row_index,
     with_stats,
 )
-from ondula.session import cut, sql_value
+from ondula.session import bounded_batches, cut, sql_value
 
 SWEEPS = ("full", "lower", "upper", "windows")
 
@@ -172,6 +172,7 @@ def window_totals(series: DataFrame, keys: list[str], windows: DataFrame) -> Dat
     difference of two look-ups, at its bounds. No sample is copied to the
     windows that hold it.
     """
+    bounded_batches(series.sparkSession)
     has_segments = segmented(series)
     rows = series.selectExpr(
         *[f"`{k}`" for k in keys], f"{SEG if has_segments else '0'} AS _part", "x", "y", "x_next"

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Rows (of some hundred bytes) that every executor may hold a copy of.
 BROADCAST_ROWS = 50_000
+# Bytes of a record batch that Spark hands to a Python task.
+BATCH_BYTES = 4 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -31,6 +33,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def bounded_batches(spark: SparkSession, max_bytes: int = BATCH_BYTES) -> None:
+    """Bound the record batches of Python tasks by bytes, not only by rows,
+    for this session: 10,000 texts or series at once may be any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)

@@ -2,10 +2,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import collect
 
 import brute
+from ondula.functions import slices
 from ondula.operators.gridstats import interp_stats, min_dx_length, with_grid_length
 from ondula.operators.impulse import impulse_filter, impulse_filter_mixed, median_filter
 from ondula.operators.resample import resample
@@ -306,3 +308,28 @@ def test_packed_masks_equal_steps(series):
             at = brute.mask(*at, a, b) if len(at[0]) else at
         got = packed.where(f"k = '{k}'").selectExpr("inline(_found)").collect()
         assert [tuple(r) for r in got] == want
+
+
+def test_marks_of_a_large_batch_come_in_pieces():
+    """A task holds the marks of some series at a time, however many a batch has."""
+    pair = pa.list_(pa.struct([("at", pa.float64()), ("sweep_index", pa.int32()), ("upper", pa.bool_())]))
+    sample = pa.list_(pa.struct([(c, pa.float64()) for c in ("x", "y", "x_next")]))
+    n, steps = 3000, 100
+    marks = [{"at": float(i % 7), "sweep_index": i, "upper": i % 2 == 1} for i in range(steps)]
+    data = [{"x": float(i), "y": 2.0 * i, "x_next": i + 1.0} for i in range(6)]
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array(range(n)),
+            pa.array([{"n": 5, "sum": 1.0}] * n),
+            pa.array([None] * n, pa.struct([("x", pa.float64()), ("x_next", pa.float64())])),
+            pa.array([marks] * n, pair),
+            pa.array([data] * n, sample),
+        ],
+        ["k", "_before", "_next", "_marks", "_data"],
+    )
+    names = ["k", "sweep_index", "upper", "n", "sum", "x", "x_next"]
+    out = list(slices.marks_in_segments(names)(iter([batch])))
+    assert len(out) > 2 and max(b.num_rows for b in out) <= slices.PIECE
+    table = pa.Table.from_batches(out)
+    assert table.column("k").to_pylist() == [k for k in range(n) for _ in range(steps)]
+    assert table.column("n").to_pylist() == sorted(5 + i % 7 for i in range(steps)) * n
