@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from ondula.functions.names import natural_key
 from ondula.functions.values import data_tokens, has_number, header_tokens, is_number, to_double
-from ondula.operators.segments import MAX_ROWS, by_length, with_row_index
+from ondula.operators.segments import by_length, with_row_index
 from ondula.session import broadcast_if_small, cut
 
+# Rows of a source that one task numbers: they carry all their tokens.
+MAX_ROWS = 500_000
+
 
 def read_lines(spark: SparkSession, base: str, sources: list[str] | str) -> DataFrame:
     """Lines of the listed files below ``base`` (or of a glob pattern).

@@ -1,3 +1,4 @@
+import inspect
 import json
 import math
 
@@ -199,3 +200,9 @@ def test_tasks_hold_several_ranges(tmp_path):
         assert all(a[1] == b[0] for a, b in zip(own, own[1:]))
     assert sum(b.num_rows for t in tasks for b in reader.read(t)) == 300 * 301 // 2
     assert 8 <= len(tabbed.TabbedReader({**options, "part": "header"}).partitions()) <= 9
+
+
+def test_a_task_numbers_a_bounded_part_of_a_source():
+    """Rows carry their tokens, so fewer fit a task than samples do."""
+    for f in (text.numbered_rows, text.cells):
+        assert inspect.signature(f).parameters["max_rows"].default <= 500_000
