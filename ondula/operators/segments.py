@@ -3,8 +3,9 @@
 A window over ``partitionBy(series)`` puts a whole series in one task.
 :func:`lay_out` bounds that: it measures the series, and when some exceed
 ``max_rows`` it sets them apart and range-partitions them by (keys, order
-column) into *segments*, marked in the ``_seg`` column. Frames without that
-column hold only series that fit a task.
+column) into *segments*, marked in the ``_seg`` column; where segments are
+short, a task holds several. Frames without that column hold only series that
+fit a task.
 
 The helpers below (:func:`neighbours`, :func:`moving_window`,
 :func:`with_stats`, :func:`with_row_index`) accept either kind of frame. On a
@@ -27,6 +28,8 @@ from ondula.session import cut, parallelism
 
 SEG = "_seg"
 MAX_ROWS = 4_000_000
+# Rows that one task of a layout sorts where segments are shorter than that.
+TASK_ROWS = 250_000
 
 Chain = Callable[[DataFrame], DataFrame]
 
@@ -58,6 +61,13 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(parallelism(df.sparkSession), *group_columns(df, keys))
 
 
+def spread_segments(long: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for the segments of :func:`lay_out`, into as many tasks as keep
+    a task at about what one held there, however many segments there are."""
+    tasks = max(parallelism(long.sparkSession), 4 * long.rdd.getNumPartitions())
+    return long.repartition(tasks, *group_columns(long, keys))
+
+
 def lay_out(
     df: DataFrame,
     keys: list[str],
@@ -84,9 +94,14 @@ def lay_out(
     long_rows = df.join(long_keys, keys, "left_semi")
     if prepare is not None:
         long_rows = prepare(long_rows)
-    parts = -(-found // max_rows) + 1
+    parts = -(-found // max(max_rows, TASK_ROWS)) + 1
     ranged = long_rows.repartitionByRange(parts, *keys, order)
-    segments = cut(ranged.withColumn(SEG, F.spark_partition_id()))
+    if max_rows >= TASK_ROWS:
+        segment = F.spark_partition_id().cast("bigint")
+    else:  # ids count the sorted rows of a task, and leave gaps between tasks
+        ranged = ranged.sortWithinPartitions(*keys, order)
+        segment = F.expr(f"monotonically_increasing_id() DIV {max_rows}")
+    segments = cut(ranged.withColumn(SEG, segment))
     return df.join(long_keys, keys, "left_anti"), segments
 
 
@@ -108,7 +123,7 @@ def by_length(
     out = chain(short if prepare is None else prepare(short))
     if long is None:
         return out
-    return out.drop(SEG).unionByName(chain(spread(long, keys)).drop(SEG))
+    return out.drop(SEG).unionByName(chain(spread_segments(long, keys)).drop(SEG))
 
 
 def surroundings(

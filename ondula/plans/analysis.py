@@ -26,7 +26,7 @@ from ondula.operators.gridstats import (
 )
 from ondula.operators.impulse import impulse_filter_mixed
 from ondula.operators.resample import resample
-from ondula.operators.segments import MAX_ROWS, SEG, lay_out, segmented, spread
+from ondula.operators.segments import MAX_ROWS, SEG, lay_out, segmented, spread, spread_segments
 from ondula.operators.series import dedup_mean, invert_x, mask, mask_packed, scale_x, scale_y, trim
 from ondula.operators.spectrum import spectrum, sweep_spectra, windowed
 from ondula.operators.sweep import sweep_domains, sweep_series
@@ -105,7 +105,7 @@ class Analysis:
         short, long = lay_out(rows, KEYS, max_rows=self.max_rows)
         if long is None:
             return [spread(short, KEYS)]
-        long = spread(long, KEYS)
+        long = spread_segments(long, KEYS)
         return [long] if short.isEmpty() else [spread(short, KEYS), long]
 
     @staticmethod

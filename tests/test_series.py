@@ -88,6 +88,18 @@ def test_lay_out_splits_only_long_series(series, data):
     assert none is None and SEG not in whole.columns
 
 
+def test_a_task_holds_several_short_segments(spark, series, data):
+    _, long = lay_out(series(shuffled(data)), K, max_rows=3)
+    assert long.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    held = {}
+    for r in long.collect():
+        held.setdefault((r["k"], r[SEG]), []).append(r["x"])
+    assert max(map(len, held.values())) <= 3
+    for k in {k for k, _ in held}:
+        ends = sorted((min(x), max(x)) for (own, _), x in held.items() if own == k)
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 @BOTH
 def test_neighbours_index_and_stats(series, data, max_rows):
     def chain(df):
