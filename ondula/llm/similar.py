@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ondula.llm import packed
-from ondula.llm.common import stored, text_slices
+from ondula.llm.common import bounded_batches, stored, text_slices
 from ondula.llm.components import components
 from ondula.llm.words import mixed, runs_hash, words_in
 from ondula.session import broadcast_if_small
@@ -51,6 +51,7 @@ COARSE = 32
 MAX_SHARED = 8
 MAX_FREQUENT = 200_000
 BROADCAST_ROWS = 500_000
+SLICE_BYTES = 1 << 20  # bytes of text whose sets a task holds at a time
 
 
 class Sets:
@@ -89,7 +90,7 @@ class Sets:
 
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE_BYTES):
             sets = Sets(part, k)
             part_of = (sets.g >> np.uint64(8)) % np.uint64(PARTS) + sets.of.astype(np.uint64) * np.uint64(PARTS)
             parts = np.bincount(part_of.astype(np.int64), minlength=part.num_rows * PARTS)
@@ -113,7 +114,7 @@ def _counts(k: int, n_buckets: int):
     """How many different sets of a slice hold each token of the lower range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE_BYTES):
             sets = Sets(part, k)
             chosen = np.zeros(part.num_rows, dtype=bool)
             chosen[sets.distinct()] = True
@@ -170,7 +171,7 @@ def _signatures(k: int, percent: int, frequent, n_buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = frequent.value
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE_BYTES):
             sets = Sets(part, k)
             chosen = np.zeros(part.num_rows, dtype=bool)
             chosen[sets.distinct()] = True
@@ -349,7 +350,7 @@ def _cross(percent: int, forest: bool):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE_BYTES):
             sets = Sets(part, k)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -597,6 +598,7 @@ def similar(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     Returns doc_id, n_shingles, component_id (the least doc_id reachable).
     """
+    bounded_batches(docs.sparkSession)
     return _placed(packed.identified(docs), k, percent).select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("_least.doc_id").alias("component_id")
     )
