@@ -10,7 +10,6 @@ tokens, and its base, the number of tokens in all shards before it.
 from __future__ import annotations
 
 import json
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +57,23 @@ def cuts_at_blanks(tokenizer: Tokenizer) -> bool:
     )
 
 
-_MARK = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
+_MARK = r"([a-z])([.,])([ \n])"
+# Texts that are cut as they stand: a character above U+00FF, or what may be a special token.
+_AS_IS = r"[^\x{0}-\x{FF}]|<\|"
+
+
+def chunks(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """What texts hold between blanks and newlines, end to end, each different
+    chunk once; and where every text's chunks begin and end.
+
+    The tokenizer lower-cases anyway; before the cut there are fewer chunks
+    (special tokens are looked for before that, so texts that may hold one
+    stay), and a mark between a letter and white space is a piece of its own.
+    """
+    plain = pc.replace_substring_regex(pc.utf8_lower(texts), _MARK, r"\1 \2\3")
+    as_is = pc.match_substring_regex(texts, _AS_IS)
+    cut = pc.split_pattern(pc.replace_substring(pc.if_else(as_is, texts, plain), "\n", " "), " ")
+    return cut.flatten().dictionary_encode(), np.asarray(cut.offsets, dtype=np.int64)
 
 
 class ChunkEncoder:
@@ -80,13 +96,12 @@ class ChunkEncoder:
     def forget(self) -> None:
         self.fresh: list[tuple[str, str]] = []
         self.known = Numbered("", self.fresh, [0])
-        self.pieces: dict[str, list[int]] = {}
         self.held = 0
         self.ids = Ragged()
 
     def _learn(self) -> None:
         """Encode the chunks that have been numbered since the last time."""
-        tokenize, pieces, marks = self.model.tokenize, self.pieces, self.marks
+        tokenize, marks = self.model.tokenize, self.marks
         ids: list = []
         rest: list[tuple[int, str]] = []
         for _, c in self.fresh:
@@ -98,17 +113,14 @@ class ChunkEncoder:
                     rest.append((len(ids), c))
                     ids.append(())
                     continue
-            found = pieces.get(core)
-            if found is None:
-                if core.isascii():
-                    found = [t.id for t in tokenize(core.lower())]
-                elif is_latin(core):
-                    found = [t.id for t in tokenize(_in_bytes(core.lower()))]
-                else:
-                    rest.append((len(ids), c))
-                    ids.append(())
-                    continue
-                pieces[core] = found
+            if core.isascii():
+                found = [t.id for t in tokenize(core.lower())]
+            elif is_latin(core):
+                found = [t.id for t in tokenize(_in_bytes(core.lower()))]
+            else:
+                rest.append((len(ids), c))
+                ids.append(())
+                continue
             ids.append(found if mark is None else found + mark)
         self.held += sum(len(c) for _, c in self.fresh)
         self.fresh.clear()
@@ -118,33 +130,26 @@ class ChunkEncoder:
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         self.ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, ``end`` behind each text; ids of each text."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
         if not self.by_chunks:
-            ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            done = self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)
+            ids = [e.ids for e in done]
             lens = np.array([len(x) + 1 for x in ids], dtype=np.int64)
             flat = chain.from_iterable(chain(x, (end,)) for x in ids)
             return np.fromiter(flat, np.uint32, int(lens.sum())), lens
         if len(self.ids.lens) > CACHE_CHUNKS or self.held > CACHE_CHARS:
             self.forget()
-        # the tokenizer lower-cases anyway; before the cut there are fewer chunks
-        # (special tokens are looked for before that, so texts that may hold one stay)
-        # and a mark between a letter and white space is a piece of its own
-        cut = [
-            (_MARK.sub(r" \1", t.lower()) if is_latin(t) and "<|" not in t else t)
-            .replace("\n", " ")
-            .split(" ")
-            for t in texts
-        ]
-        sizes = np.array([len(c) for c in cut], dtype=np.int64)
-        index = np.fromiter(
-            map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum())
-        )
+        # a text may grow by the blanks before its marks
+        found, starts = chunks(texts.cast(pa.large_string()))
+        names = found.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
         if self.fresh:
             self._learn()
-        ids, lens = self.ids.take(index)
-        total = np.concatenate([[0], np.cumsum(lens)])
-        edges = total[np.concatenate([[0], np.cumsum(sizes)])]
+        ids, lens = self.ids.take(numbers[np.asarray(found.indices)])
+        edges = np.concatenate([[0], np.cumsum(lens)])[starts]
         return np.insert(ids, edges[1:], np.uint32(end)), np.diff(edges) + 1
 
 
@@ -209,7 +214,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str) -> Data
                 files, root = _place(folder)
                 path = f"{root}/{shard:05d}"
                 out = files.open_output_stream(f"{path}.bin.{tries}")
-            tokens, counts = encoder.encode([t or "" for t in part.column(1).to_pylist()], end)
+            tokens, counts = encoder.encode(part.column(1).fill_null(""), end)
             out.write(tokens.astype(dtype).tobytes())
             ids.append(np.asarray(part.column(0).fill_null(0), dtype="<i8"))
             nulls.append(np.asarray(part.column(0).is_null(), dtype=np.uint8))

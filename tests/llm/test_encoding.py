@@ -113,6 +113,36 @@ def test_token_files(spark, odd):
         at += r["n_tokens"]
 
 
+def test_words_of_a_slice_are_looked_up_once():
+    encoder = tokens.ChunkEncoder(WORDS)
+    asked = []
+
+    class Counting(common.Numbered):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    encoder.known = Counting("", encoder.fresh, [0])
+    flat, counts = encoder.encode(["one two. three, One\ntwo. " * 500, "two three. " * 500], 2)
+    assert len(asked) == len(set(asked)) < 10
+    one, two, three, dot, comma = (
+        Tokenizer.from_file(WORDS).encode(t, add_special_tokens=False).ids
+        for t in ("one", "two", "three", ".", ",")
+    )
+    first = (one + two + dot + three + comma + one + two + dot) * 500
+    assert flat.tolist() == [*first, 2, *(two + three + dot) * 500, 2]
+    assert counts.tolist() == [len(first) + 1, len(flat) - len(first) - 1]
+
+
+def test_chunks_of_latin_marks_and_others():
+    whole = Tokenizer.from_file(WORDS)
+    texts = [f"a{chr(c)}. B{chr(c)}, {chr(c)}\n{chr(c)}x.\n" for c in range(1, 0x180)]
+    texts += ["a. b, c.\nd.", "a., b. . c", "A. ΑΣ. b. İ, c", "x. <|endoftext|> y, ", ". ", "a.", ""]
+    flat, counts = tokens.ChunkEncoder(WORDS).encode(texts, 2)
+    for ids, text in zip(np.split(flat, np.cumsum(counts)[:-1]), texts):
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_token_files_hold_ids(spark, empty):
     docs = spark.createDataFrame([(5, "some words"), (1, "the first"), (3, None)], "doc_id long, text string")
     folder = common.shared_folder(spark, "files")
