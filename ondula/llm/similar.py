@@ -509,10 +509,8 @@ class _Join:
         commonest component are compared with all. Where there are more than
         BLOCK, blocks are cut by that, by size and by hash; sets in sizes
         that aren't next to each other can't link."""
-        least = apart.groupBy("sig").agg(F.min("sid").alias("key"))
         members = stored(
-            apart.join(least, "sig")
-            .groupBy("key", "sid")
+            apart.groupBy("key", "sid")
             .agg(F.collect_set("sig").alias("sigs"), F.first("root").alias("root"))
             .join(self.classes.select("sid", "n", "parts"), "sid"),
             "open-members",
@@ -522,18 +520,23 @@ class _Join:
             F.max_by("root", F.struct("held", "root")).alias("commonest"), F.sum("held").alias("members")
         )
         ratio = math.log(100 / self.percent) + 1e-6
-        placed = members.join(keys, "key").select(
-            *members.columns,
-            "members",
-            (F.col("root") != F.col("commonest")).alias("minor"),
-            F.floor(F.log("n") / ratio).alias("band"),
+        placed = stored(
+            members.join(keys, "key").select(
+                *members.columns,
+                "members",
+                (F.col("root") != F.col("commonest")).alias("minor"),
+                F.floor(F.log("n") / ratio).alias("band"),
+            ),
+            "placed-members",
         )
         out = ["pair", "side", "sid", "root", "n", "sigs", "parts"]
         whole = placed.where(F.col("members") <= BLOCK)
         whole = whole.withColumn("pair", F.col("key")).withColumn("side", F.when(F.col("minor"), 2).otherwise(1))
         many = placed.where(F.col("members") > BLOCK)
         of = ["key", "minor", "band"]
-        counts = many.groupBy(of).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        counts = stored(
+            many.groupBy(of).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "block-counts"
+        )
         cut = many.join(counts, of).withColumn("block", F.pmod(F.xxhash64("sid"), "blocks"))
         blocks = counts.select(*of, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
         left = blocks.where("minor").select("key", F.col("band").alias("band1"), F.col("block").alias("block1"))
@@ -557,15 +560,16 @@ class _Join:
         return whole.select(out).union(dealt.select(out))
 
     def _apart(self, many: DataFrame, links: DataFrame) -> DataFrame:
-        """Members of signatures whose members are not all connected."""
+        """Members of signatures whose members are not all connected; ``key``
+        is the least member."""
         roots = components(links)
         placed = many.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
             "root", F.coalesce("root", "sid")
         )
-        open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-        return stored(
-            placed.join(open_.where("lo < hi").select("sig"), "sig", "left_semi"), "apart"
+        open_ = placed.groupBy("sig").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("sid").alias("key")
         )
+        return stored(placed.join(open_.where("lo < hi").select("sig", "key"), "sig"), "apart")
 
 
 def _placed(rows: DataFrame, k: int, percent: int) -> DataFrame:

@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ondula.llm import html, packed, repeats, similar
+from ondula.llm import common, html, packed, repeats, similar
+from ondula.llm import components as graph
 from ondula.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -197,6 +198,28 @@ def test_prefix_pairs_survive_losses(k, percent):
             assert whole & set(similar._prefix_pairs(left, need + 10**6))
 
 
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Every round over so few links costs a dozen stages."""
+    links = [(i, i + 1) for i in range(900)] + [(2000, 1500), (1500, 2000), (3, 3)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    want = {i: 0 for i in range(901)} | {1500: 1500, 2000: 1500}
+    written = []
+
+    def stored(df, name):
+        written.append(name)
+        return common.stored(df, name)
+
+    monkeypatch.setattr(graph, "stored", stored)
+    found = components(frame).collect()
+    assert {r["node"]: r["root"] for r in found} == want and len(found) == len(want)
+    assert len(written) <= 2
+    # more links than a task connects at a time: rounds between the tasks
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 100)
+    found = components(frame.repartition(12)).collect()
+    assert {r["node"]: r["root"] for r in found} == want and len(found) == len(want)
+    assert len(written) > 4
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 80)]
