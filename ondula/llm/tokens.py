@@ -10,6 +10,7 @@ tokens, and its base, the number of tokens in all shards before it.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from tokenizers import Tokenizer
 from ondula.llm.common import Numbered, Ragged, bounded_batches, is_latin, shared_folder, stored, text_slices
 
 # Distinct chunks that a Python worker remembers; beyond it starts anew.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 200_000
 CACHE_CHARS = 4_000_000
 READ_DOCS = 4096  # documents that a reading task takes at a time
 
@@ -204,6 +205,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, folder: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tries = TaskContext.get().partitionId(), uuid.uuid4().hex
+        # tasks fill the cores; threads of the library would each keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _ENCODERS.get(tokenizer)
         if encoder is None:
             encoder = _ENCODERS[tokenizer] = ChunkEncoder(tokenizer)
