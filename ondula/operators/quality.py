@@ -250,7 +250,8 @@ def spectrum_violations(
     domains: DataFrame, keys: list[str], n_fft: int, lower: float | None = None,
     upper: float | None = None,
 ) -> DataFrame:
-    """V17-V20 and V32 over the rows of ``sweep_domains``.
+    """V17-V20 and V32 over the rows of ``sweep_domains`` or
+    ``window_counts``.
 
     An inverted band gives no bins either, so it counts as empty. A transform
     shorter than its data is always an error.

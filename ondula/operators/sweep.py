@@ -90,18 +90,10 @@ def with_grid_columns(series: DataFrame, keys: list[str]) -> DataFrame:
     return series
 
 
-def sweep_series(
-    series: DataFrame, keys: list[str], sweep: str = "full", steps: int | None = None,
-    inverted=False,
-) -> DataFrame:
-    """One copy of each sample per window that holds it, in ``sweep_index``.
-
-    Every row knows the ends of its series, so it finds the windows it belongs
-    to by itself: there is no join with a window table, and no row is made for
-    a window only to be filtered away. The computed window number may be off by
-    rounding, so its neighbours are tested on the window bounds themselves.
-    Like every trim, the right end is exclusive.
-    """
+def _held(sweep: str, steps: int | None, inverted) -> tuple[str, str]:
+    """For rows that know their guessed window ``_g``: ``_r``, the first window
+    that holds the row where each holds the one before it, and then an array of
+    all windows that hold the row."""
     first, last = sweep_indices(sweep, steps)
 
     def held_by(d: int) -> str:
@@ -118,6 +110,22 @@ def sweep_series(
         near = (0,) if sweep == "full" else (-2, -1, 0, 1)
         reached = "_g"
         chosen = f"array_compact(array({', '.join(held_by(d) for d in near)}))"
+    return reached, chosen
+
+
+def sweep_series(
+    series: DataFrame, keys: list[str], sweep: str = "full", steps: int | None = None,
+    inverted=False,
+) -> DataFrame:
+    """One copy of each sample per window that holds it, in ``sweep_index``.
+
+    Every row knows the ends of its series, so it finds the windows it belongs
+    to by itself: there is no join with a window table, and no row is made for
+    a window only to be filtered away. The computed window number may be off by
+    rounding, so its neighbours are tested on the window bounds themselves.
+    Like every trim, the right end is exclusive.
+    """
+    reached, chosen = _held(sweep, steps, inverted)
     lo, hi = sweep_bounds(sweep, steps, "sweep_index", "x_left", "x_right", inverted)
     return (
         with_grid_columns(series, keys)
@@ -163,6 +171,65 @@ def sweep_domains(
     )
 
 
+def window_counts(
+    series: DataFrame, keys: list[str], sweep: str = "full", steps: int | None = None,
+    inverted=False,
+) -> DataFrame:
+    """``sweep_domains`` without the means: keys, sweep_index, domain_left,
+    domain_right, n_data, dt.
+
+    Rows find their windows by themselves and are counted where they are, in
+    one pass: no series is packed, and of each only a row per window is kept.
+    """
+    first, last = sweep_indices(sweep, steps)
+    nested = sweep in ("lower", "upper")
+    reached, chosen = _held(sweep, steps, inverted)
+    inv = sql_value(inverted, "boolean")
+    placed = (
+        with_grid_columns(series, keys)
+        .selectExpr("*", f"{inv} AS _inverted", f"{_guess_index(sweep, steps, inverted)} AS _g")
+        .selectExpr("*", f"{reached} AS _r")
+    )
+    if not nested:
+        placed = placed.drop("_r").selectExpr("*", f"explode_outer({chosen}) AS _r")
+    found = cut(
+        placed.groupBy(*keys, "_r").agg(
+            F.expr("count(1) AS _n"),
+            # x_next is the least where x is; plain minima are hashed, not sorted
+            F.min("x").alias("_x"),
+            F.min("x_next").alias("_x_next"),
+            F.min("x_left").alias("x_left"),
+            F.max("x_right").alias("x_right"),
+            F.max("_inverted").alias("_inverted"),
+        )
+    )
+    lo, hi = sweep_bounds(sweep, steps, "sweep_index", "x_left", "x_right", "_inverted")
+    expected = (
+        found.groupBy(*keys)
+        .agg(
+            F.min("x_left").alias("x_left"),
+            F.max("x_right").alias("x_right"),
+            F.max("_inverted").alias("_inverted"),
+        )
+        .selectExpr("*", f"explode(sequence({first}, {last})) AS sweep_index")
+        .selectExpr(*keys, "sweep_index", f"{lo} AS domain_left", f"{hi} AS domain_right")
+    )
+    held = found.selectExpr(*[f"`{k}`" for k in keys], "_r AS sweep_index", "_n", "_x", "_x_next")
+    # where windows are nested, one holds all that those before it hold
+    over = f" {window_sql(keys, 'sweep_index')}" if nested else ""
+    total, x, x_next = (
+        [f"sum(_n){over}", f"min(_x){over}", f"min(_x_next){over}"] if nested else ["_n", "_x", "_x_next"]
+    )
+    return (
+        expected.join(held, [*keys, "sweep_index"], "left")
+        .selectExpr("*", f"coalesce({total}, 0L) AS n_data", f"{x_next} - {x} AS _step")
+        .selectExpr(
+            *keys, "sweep_index", "domain_left", "domain_right", "n_data",
+            "IF(n_data > 1, _step, NULL) AS dt",
+        )
+    )
+
+
 def window_totals(series: DataFrame, keys: list[str], windows: DataFrame) -> DataFrame:
     """Samples, mean and step of sub-domains (keys, sweep_index, domain_left,
     domain_right, x_right): n_data, y_mean, dt (both NULL where there are none).

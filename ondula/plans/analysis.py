@@ -29,7 +29,7 @@ from ondula.operators.resample import resample
 from ondula.operators.segments import MAX_ROWS, SEG, lay_out, segmented, spread, spread_segments
 from ondula.operators.series import dedup_mean, invert_x, mask, mask_packed, scale_x, scale_y, trim
 from ondula.operators.spectrum import spectrum, sweep_spectra, windowed
-from ondula.operators.sweep import sweep_domains, sweep_series
+from ondula.operators.sweep import sweep_series, window_counts
 from ondula.plans.catalog import catalog, explode_tags, summary, summary_lines, tag_values
 from ondula.plans.settings import resolve_settings, unmatched_overrides, work_list
 from ondula.plans.template import Template
@@ -249,7 +249,7 @@ class Analysis:
         flagged = [part.join(flags, KEYS) for part in series]
         failed = None
         if self.checked:  # every window, before any is transformed
-            windows = _union([sweep_domains(p, KEYS, sweep, steps, "invert_x") for p in flagged])
+            windows = _union([window_counts(p, KEYS, sweep, steps, "invert_x") for p in flagged])
             found = cut(quality.spectrum_violations(windows, domain[:2], *band))
             self._found.append(found)
             if self.strict:

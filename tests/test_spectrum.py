@@ -6,7 +6,7 @@ from ondula.operators.resample import resample
 from ondula.operators.segments import by_length
 from ondula.operators.series import invert_x
 from ondula.operators.spectrum import spectrum, sweep_spectra, windowed
-from ondula.operators.sweep import sweep_domains, sweep_series
+from ondula.operators.sweep import sweep_domains, sweep_series, window_counts
 
 K = ["s"]
 METHODS = ("grouped", "split", "bins")
@@ -157,3 +157,21 @@ def test_windows_by_prefix_sums(series, sweep, steps, max_rows):
             np.testing.assert_allclose([r["y_mean"], r["dt"]], [y[inside].mean(), x[a + 1] - x[a]])
         else:
             assert r["dt"] is None
+
+
+@pytest.mark.parametrize(
+    "sweep,steps,inverted",
+    [("full", None, False), ("lower", 3, False), ("upper", 4, True), ("upper", 3, False), ("windows", 9, False)],
+)
+@pytest.mark.parametrize("max_rows", [10**6, 11])
+def test_windows_are_counted_without_packing(series, sweep, steps, inverted, max_rows):
+    data = {"a": uneven(3, 100), "b": uneven(4, 57, 0.5), "c": ([1.0, 2.0], [3.0, 4.0]), "d": ([1.0], [1.0])}
+    df = series(data, "s")
+    if inverted:
+        df = invert_x(df)
+    args = K, sweep, steps, inverted
+    counted = by_length(df, K, lambda part: window_counts(part, *args), max_rows=max_rows)
+    want = by_length(df, K, lambda part: sweep_domains(part, *args).drop("y_mean"), max_rows=max_rows)
+    got = sorted(counted.collect(), key=lambda r: r[:2])
+    assert got == sorted(want.collect(), key=lambda r: r[:2]) and len(got) == 4 * (steps or 1)
+    assert "MapInArrow" not in counted._jdf.queryExecution().executedPlan().toString()
