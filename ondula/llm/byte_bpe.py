@@ -19,12 +19,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ondula.llm.common import Numbered, Ragged, is_latin, ragged_take, text_slices
+from ondula.llm.common import Numbered, Ragged, is_latin, ragged_take, released, text_slices
 
 # Distinct chunks, and their characters, that a Python worker remembers; beyond
 # either it starts anew, which changes no result.
 CACHE_CHUNKS = 700_000
 CACHE_CHARS = 16_000_000
+# Chunks that a worker of the pipeline still remembers when a task is done; the
+# next one may belong to another stage, which has no use for them.
+KEPT_CHUNKS = 100_000
 # Bytes of text whose new pieces are merged together.
 BLOCK_BYTES = 12 << 20
 # White space other than blank and newline.
@@ -349,9 +352,11 @@ def encode_checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [part.column(0), pa.array(counts), pa.array(exact), _lists(ids)],
                 ["doc_id", "n_tokens", "exact", "ids"],
             )
+        if len(encoder.of_chunk.lens) > KEPT_CHUNKS:
+            encoder.forget()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(
-        run, "doc_id long, n_tokens long, exact boolean, ids array<int>"
+        released(run), "doc_id long, n_tokens long, exact boolean, ids array<int>"
     )
 
 

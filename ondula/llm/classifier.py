@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ondula.llm.common import stored, text_slices
+from ondula.llm.common import released, stored, text_slices
 from ondula.llm.words import words_in
 
 FOLDS = 5
 SHRINKAGE = 0.2  # weight of the pooled diagonal in each class covariance
 RIDGE = 1e-4
 THRESHOLD = 0.3
+SLICE_BYTES = 1 << 18  # bytes of text whose features are made at a time
 
 # Counted bytes; each group gives a share of the text's bytes.
 _GROUPS = {
@@ -145,7 +146,7 @@ def describe(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The features of every text beside the columns ``keep`` of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "_text", 1 << 20):
+        for part in text_slices(batches, "_text", SLICE_BYTES):
             x = features(part.column(0))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[1:], pa.array(list(x), pa.list_(pa.float64()))],
@@ -154,7 +155,7 @@ def describe(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     kept = docs.select(F.col("text").alias("_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[1:])
-    return kept.mapInArrow(run, f"{fields}, features array<double>")
+    return kept.mapInArrow(released(run), f"{fields}, features array<double>")
 
 
 def scored(described: DataFrame, model: Discriminant | None) -> DataFrame:
@@ -220,9 +221,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # each text is held once; features and scores of 1 MB at a time
-        for part in text_slices(batches, "text", 1 << 20):
+        # each text is held once; features and scores of a slice at a time
+        for part in text_slices(batches, "text", SLICE_BYTES):
             score = model.score(features(part.column(at)))
             yield part.filter(pa.array(score >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

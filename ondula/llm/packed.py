@@ -77,6 +77,27 @@ def pack(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays(arrays, ["bucket"] + [f"c{n}" for n in range(len(columns))])
 
 
+def pack_together(
+    pieces: Iterator[tuple[np.ndarray, list[np.ndarray]]], rows: int
+) -> Iterator[pa.RecordBatch]:
+    """``pack`` over (bucket, columns) of several slices, until they hold
+    ``rows`` hashes: slices may be small without more rows being written."""
+    held, n = [], 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*(columns for _, columns in held))]
+        yield from pack(np.concatenate([bucket for bucket, _ in held]), columns)
+
+    for bucket, columns in pieces:
+        held.append((bucket, columns))
+        n += len(bucket)
+        if n >= rows:
+            yield from done()
+            held, n = [], 0
+    if held:
+        yield from done()
+
+
 def schema(n: int) -> str:
     return "bucket int, " + ", ".join(f"c{i} binary" for i in range(n))
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ondula.llm import packed
-from ondula.llm.common import bounded_batches, stored, text_slices
+from ondula.llm.common import bounded_batches, released, stored, text_slices
 from ondula.llm.components import components
 from ondula.llm.words import mixed, runs_hash, words_in
 from ondula.session import broadcast_if_small
@@ -51,7 +51,8 @@ COARSE = 32
 MAX_SHARED = 8
 MAX_FREQUENT = 200_000
 BROADCAST_ROWS = 500_000
-SLICE_BYTES = 1 << 20  # bytes of text whose sets a task holds at a time
+SLICE_BYTES = 1 << 18  # bytes of text whose sets a task holds at a time
+PACKED_ROWS = 50_000  # tokens or signatures that a task packs at a time
 
 
 class Sets:
@@ -113,14 +114,17 @@ def _describe(k: int):
 def _counts(k: int, n_buckets: int):
     """How many different sets of a slice hold each token of the lower range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in text_slices(batches, "text", SLICE_BYTES):
             sets = Sets(part, k)
             chosen = np.zeros(part.num_rows, dtype=bool)
             chosen[sets.distinct()] = True
             g = sets.g[chosen[sets.of] & (sets.g < np.uint64(RANGE))]
             g, n = np.unique(g, return_counts=True)
-            yield from packed.pack(g % np.uint64(n_buckets), [g, n.astype(np.uint32)])
+            yield g % np.uint64(n_buckets), [g, n.astype(np.uint32)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed.pack_together(counted(batches), PACKED_ROWS)
 
     return run
 
@@ -169,7 +173,7 @@ def _signatures(k: int, percent: int, frequent, n_buckets: int):
     the others' signatures. A pair of larger sets meets in the others.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         common = frequent.value
         for part in text_slices(batches, "text", SLICE_BYTES):
             sets = Sets(part, k)
@@ -205,7 +209,7 @@ def _signatures(k: int, percent: int, frequent, n_buckets: int):
             sig, row = np.concatenate(sigs), np.concatenate(rows).astype(np.int64)
             order = np.argsort(row, kind="stable")
             sig, row, own = sig[order], row[order], np.concatenate(strong)[order]
-            yield from packed.pack(
+            yield (
                 (sig >> np.uint64(32)) % np.uint64(n_buckets),
                 [
                     sig.view(np.uint8).reshape(-1, 8)[:, :4],
@@ -214,6 +218,9 @@ def _signatures(k: int, percent: int, frequent, n_buckets: int):
                 ],
             )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed.pack_together(signed(batches), PACKED_ROWS)
+
     return run
 
 
@@ -407,7 +414,7 @@ class _Join:
         self.texts = rows.select("_id", "_tag", "doc_id", "text")
         self.described = stored(
             self.texts.mapInArrow(
-                _describe(k), "_id long, _tag long, doc_id long, n long, sid long, parts binary"
+                released(_describe(k)), "_id long, _tag long, doc_id long, n long, sid long, parts binary"
             ),
             "shingle-sets",
         )
@@ -424,17 +431,17 @@ class _Join:
     def groups(self) -> DataFrame:
         n = packed.bucket_count(self.texts)
         counted = packed.by_bucket(
-            self.texts.mapInArrow(_counts(self.k, n), packed.schema(2)), n
-        ).mapInArrow(_frequent, "g long, n long")
+            self.texts.mapInArrow(released(_counts(self.k, n)), packed.schema(2)), n
+        ).mapInArrow(released(_frequent), "g long, n long")
         top = counted.orderBy(F.desc("n"), "g").limit(MAX_FREQUENT).select("g").collect()
         common = np.sort(np.array([r["g"] for r in top], dtype=np.int64).view(np.uint64))
         told = self.texts.sparkSession.sparkContext.broadcast(common)
         signed = self.texts.mapInArrow(
-            _signatures(self.k, self.percent, told, n), packed.schema(3)
+            released(_signatures(self.k, self.percent, told, n)), packed.schema(3)
         )
         return stored(
             packed.by_bucket(signed, n).mapInArrow(
-                _groups(self.percent), "sig long, a long, b long, times long, enough long"
+                released(_groups(self.percent)), "sig long, a long, b long, times long, enough long"
             ),
             "signature-groups",
         )
@@ -451,7 +458,7 @@ class _Join:
                 f"100 * na >= {self.percent} * nb AND 100 * nb >= {self.percent} * na"
             )
             .select("a", "b", "na", "nb", "pa", "pb")
-            .mapInArrow(_close(self.percent), "a long, b long"),
+            .mapInArrow(released(_close(self.percent)), "a long, b long"),
             "close-pairs",
         )
         used = close.select(F.col("a").alias("sid")).union(close.select("b")).distinct()
@@ -460,7 +467,7 @@ class _Join:
         sets = stored(
             self.texts.join(first, ["_id", "_tag"])
             .select("text")
-            .mapInArrow(_sets(self.k), "sid long, tokens binary"),
+            .mapInArrow(released(_sets(self.k)), "sid long, tokens binary"),
             "token-sets",
         ).dropDuplicates(["sid"])
         left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
@@ -469,7 +476,7 @@ class _Join:
             close.join(left, "a")
             .join(right, "b")
             .select("a", "b", "ta", "tb")
-            .mapInArrow(_verify(self.percent), "a long, b long"),
+            .mapInArrow(released(_verify(self.percent)), "a long, b long"),
             "links",
         )
 
@@ -494,7 +501,7 @@ class _Join:
                 self._paired(apart)
                 .repartition("pair")
                 .sortWithinPartitions("pair")
-                .mapInArrow(_cross(self.percent, forest), "a long, b long")
+                .mapInArrow(released(_cross(self.percent, forest)), "a long, b long")
                 .distinct()
             )
             links = stored(links.union(self.verified(stored(pairs, "crossed"))), "links")

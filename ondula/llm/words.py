@@ -54,7 +54,8 @@ class Words:
         """A hash of every word's bytes: a polynomial from prefix sums, or
         BLAKE2 where words are long (not so if ``exact`` is false)."""
         n = len(self.data)
-        up, down = _powers(((n >> 20) + 1) << 20)
+        # few sizes, so that slices of one kind share the powers
+        up, down = _powers(((n >> 20) + 1) << 20 if n >= 1 << 19 else 1 << 19)
         data = _LOWER[self.data] if lower else self.data
         prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_VALUE[data] * up[:n], out=prefix[1:])

@@ -366,3 +366,26 @@ def test_named_wrappers(name):
 def test_elements_without_end_tags(source, text):
     assert page_text(source) == text
     assert page_text(f"<body><article><p>{source}</p></article></body>") == text
+
+
+def test_small_slices_are_packed_together():
+    pieces = [(np.array([0, 1, 1]), [np.array([i, 5, 6], dtype=np.uint64)]) for i in range(6)]
+    batches = list(packed.pack_together(iter(pieces), 6))
+    assert [b.num_rows for b in batches] == [2, 2, 2]  # a row for each bucket of two pieces
+    cells = [np.frombuffer(b.column(1)[0].as_py(), "<u8").tolist() for b in batches]
+    assert cells == [[0, 1], [2, 3], [4, 5]]
+
+
+def test_a_task_gives_memory_back():
+    given = []
+
+    def run(batches):
+        for batch in batches:
+            held = pa.allocate_buffer(32 << 20)
+            given.append(held.size)
+            yield batch
+
+    task = common.released(run)
+    batch = pa.record_batch({"a": [1, 2]})
+    assert list(task(iter([batch, batch]))) == [batch, batch] and len(given) == 2
+    assert pa.total_allocated_bytes() < 32 << 20
